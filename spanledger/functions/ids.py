@@ -7,21 +7,27 @@ from pyspark.sql import functions as F
 
 # Fixed value: the URL namespace of RFC 4122.
 URL_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+NIL = "00000000-0000-0000-0000-000000000000"
 
 
 def uuid5(namespace: Column | str, name: Column) -> Column:
-    """Name-based UUID (version 5) of ``name`` inside ``namespace``, as text."""
+    """Name-based UUID (version 5) of ``name`` inside ``namespace``, as text.
+
+    Never NULL (no name or namespace gives the nil id): joins on ids then need no
+    not-null filter, which Catalyst would push down as a second copy of the hashing.
+    """
     ns = F.lit(namespace) if isinstance(namespace, str) else namespace
-    digest = F.sha1(F.concat(F.unhex(F.replace(ns, F.lit("-"), F.lit(""))), F.encode(name, "UTF-8")))
+    digest = F.sha1(F.concat(F.unhex(F.replace(ns, F.lit("-"), F.lit(""))), name.cast("binary")))
     # the variant nibble keeps its two low bits under binary 10
     variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.concat(
+    text = F.concat(
         F.substring(digest, 1, 8), F.lit("-"),
         F.substring(digest, 9, 4), F.lit("-5"),
         F.substring(digest, 14, 3), F.lit("-"),
         variant, F.substring(digest, 18, 3), F.lit("-"),
         F.substring(digest, 21, 12),
     )
+    return F.coalesce(text, F.lit(NIL))
 
 
 def url_uuid5(*parts: Column | str) -> Column:
