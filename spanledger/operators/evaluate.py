@@ -140,10 +140,26 @@ def party_counts(predictions: Column, parties: Column, exact: bool = False) -> C
 
 
 def value_counts(labels: Column, predictions: Column) -> Column:
-    """Struct tp, fp, fn for normalised values: distinct predictions, one label each."""
-    said = F.array_distinct(predictions)
-    tp = F.size(F.array_intersect(said, labels))
-    return F.struct(tp.alias("tp"), (F.size(said) - tp).alias("fp"), (F.size(labels) - tp).alias("fn"))
+    """Struct tp, fp for normalised values: distinct predictions, one label each."""
+    tp = F.size(F.array_intersect(predictions, labels))
+    return F.struct(tp.alias("tp"), (F.size(F.array_distinct(predictions)) - tp).alias("fp"))
+
+
+def value_match(labels: DataFrame, predictions: DataFrame, keys: list[str]) -> DataFrame:
+    """tp, fp, fn per key for values held one per row in column v.
+
+    Predictions count once per value; a value takes one label. Counting both sides
+    per (key, value) first bounds what one key sends through the join.
+    """
+    have = labels.where("v IS NOT NULL").groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    said = predictions.where("v IS NOT NULL").select(*keys, "v").distinct().withColumn("said", F.lit(1))
+    both = have.join(said, [*keys, "v"], "full")
+    hit = F.col("n").isNotNull() & F.col("said").isNotNull()
+    return both.groupBy(*keys).agg(
+        F.count_if(hit).alias("tp"),
+        F.count_if(F.col("said").isNotNull() & F.col("n").isNull()).alias("fp"),
+        (F.sum(F.coalesce("n", F.lit(0))) - F.count_if(hit)).alias("fn"),
+    )
 
 
 def present(values: Column) -> Column:
@@ -168,95 +184,92 @@ def contract_metrics(rows: DataFrame, parties: str = "alias-aware") -> DataFrame
         .when(cat.isin(*VALUE_CATEGORIES), "value")
         .otherwise("clause")
     )
+    empty = F.array().cast(STRINGS)
+    no_parties = F.array().cast("array<struct<primary:string,names:array<string>>>")
+    clause_row = F.col("category_type") == "clause"
+    its, labels, quotes = F.col("__items"), F.col("__labels"), F.col("__quotes")
+
+    # staged, so that no later expression repeats an earlier one
     base = rows.select(
         "contract", "category", kind.alias("category_type"), answers.alias("__answers"),
         trimmed.alias("__items"), "contract_text",
     )
-    its, labels = F.col("__items"), F.filter("__answers", not_blank)
-    has_text = F.length("contract_text") > 0
-
-    def seen(i: Column) -> Column:
-        return F.when(has_text, quote_in_text(i["quote"], F.col("contract_text"))).otherwise(i["found"])
-
-    quotes = F.filter(F.transform(its, lambda i: i["quote"]), lambda q: q != "")
-    counted = F.when(
-        F.col("category_type") == "clause", F.filter(its, lambda i: i["quote"] != "")
-    ).otherwise(its)
-
-    def dates(texts: Column) -> Column:
-        return present(F.transform(texts, lambda t: N.calendar_date(t)))
+    lists = base.withColumns(
+        {
+            "__labels": F.filter("__answers", not_blank),
+            "__quotes": F.filter(F.transform(its, lambda i: i["quote"]), lambda q: q != ""),
+            "__text": normalize_ws(F.col("contract_text")),
+        }
+    )
 
-    def places(texts: Column) -> Column:
-        return present(F.transform(texts, lambda t: N.jurisdiction(t)))
+    def normal(texts: Column) -> Column:
+        """Comparable values of a date or law category."""
+        value = lambda t: F.when(cat == "Governing Law", N.jurisdiction(t)).otherwise(N.calendar_date(t))
+        by_value = cat.isin("Governing Law", *DATE_CATEGORIES)
+        return F.when(by_value, present(F.transform(texts, value))).otherwise(empty)
 
-    said = F.transform(its, value_or_quote)
-    party = party_counts(
-        party_predictions(its), F.col("__parties"), exact=parties == "exact-name"
-    )
-    empty = F.array().cast(STRINGS)
-    staged = base.withColumns(
+    staged = lists.withColumns(
         {
-            "__parties": F.when(cat == "Parties", party_sets(F.col("__answers"))).otherwise(
-                F.array().cast("array<struct<primary:string,names:array<string>>>")
-            ),
+            "__have": normal(labels),
+            "__said": normal(F.transform(its, value_or_quote)),
+            "__parties": F.when(cat == "Parties", party_sets(F.col("__answers"))).otherwise(no_parties),
+            "__names": F.when(cat == "Parties", party_predictions(its)).otherwise(empty),
             # texts travel to the Arrow function for clause rows only
             "__taken": greedy_matches(
-                F.when(F.col("category_type") == "clause", quotes).otherwise(empty),
-                F.when(F.col("category_type") == "clause", labels).otherwise(empty),
+                F.when(clause_row, quotes).otherwise(empty), F.when(clause_row, labels).otherwise(empty)
             ),
+            "__found": F.when(
+                F.length("contract_text") > 0,
+                F.transform(its, lambda i: (i["quote"] != "") & F.contains("__text", normalize_ws(i["quote"]))),
+            ).otherwise(F.transform(its, lambda i: i["found"])),
         }
     )
+    party = party_counts(F.col("__names"), F.col("__parties"), exact=parties == "exact-name")
     clause_tp = F.size(F.filter("__taken", lambda i: i >= 0))
-    clause = F.struct(
-        clause_tp.alias("tp"),
-        (F.size(quotes) - clause_tp).alias("fp"),
-        (F.size(labels) - clause_tp).alias("fn"),
-    )
-    parties_row = F.struct(
-        party["tp"].alias("tp"),
-        party["fp"].alias("fp"),
-        (F.size("__parties") - party["tp"]).alias("fn"),
+    tp_fp = (
+        F.when(cat == "Parties", party)
+        .when(
+            clause_row,
+            F.struct(clause_tp.alias("tp"), (F.size(quotes) - clause_tp).alias("fp")),
+        )
+        .otherwise(value_counts(F.col("__have"), F.col("__said")))
     )
-    zero = F.struct(F.lit(0).alias("tp"), F.lit(0).alias("fp"), F.lit(0).alias("fn"))
-    scored = staged.withColumn(
-        "__c",
-        F.when(F.col("category_type") == "not_scored", zero)
-        .when(cat == "Parties", parties_row)
-        .when(cat == "Governing Law", value_counts(places(labels), places(said)))
-        .when(cat.isin(*DATE_CATEGORIES), value_counts(dates(labels), dates(said)))
-        .otherwise(clause),
+    n_labels = (
+        F.when(cat == "Parties", F.size("__parties"))
+        .when(clause_row, F.size(labels))
+        .otherwise(F.size("__have"))
     )
-    is_clause = F.col("category_type") == "clause"
+    counted = staged.withColumns({"__c": tp_fp, "__n": n_labels})
+
     on = F.col("category_type") != "not_scored"
     has_label, has_said = F.size(labels) > 0, F.size(quotes) > 0
+    # a clause prediction without a quote is not counted, also when it claims to be found
+    seen = F.zip_with(
+        its, "__found", lambda i, ok: (ok & (~clause_row | (i["quote"] != ""))).cast("int")
+    )
+    template = F.filter(its, lambda i: N.is_template(i["value"]) | N.is_template(i["quote"]))
 
     def flag(cond: Column) -> Column:
-        return (is_clause & cond).cast("bigint")
+        return (clause_row & cond).cast("bigint")
+
+    def scored(value: Column) -> Column:
+        return F.when(on, value).otherwise(0).cast("bigint")
 
-    return scored.select(
+    return counted.select(
         "contract",
         "category",
         "category_type",
-        F.col("__c.tp").cast("bigint").alias("tp"),
-        F.col("__c.fp").cast("bigint").alias("fp"),
-        F.col("__c.fn").cast("bigint").alias("fn"),
-        F.when(on, F.col("__c.tp") + F.col("__c.fn"))
-        .otherwise(F.size("__answers"))
-        .cast("bigint")
-        .alias("support"),
+        scored(F.col("__c.tp")).alias("tp"),
+        scored(F.col("__c.fp")).alias("fp"),
+        scored(F.col("__n") - F.col("__c.tp")).alias("fn"),
+        F.when(on, F.col("__n")).otherwise(F.size("__answers")).cast("bigint").alias("support"),
         flag(has_label & has_said).alias("presence_tp"),
         flag(~has_label & has_said).alias("presence_fp"),
         flag(has_label & ~has_said).alias("presence_fn"),
         flag(~has_label & ~has_said).alias("presence_tn"),
-        F.when(on, F.size(F.filter(counted, seen))).otherwise(0).cast("bigint").alias("quotes_found"),
-        F.when(on, F.size(its)).otherwise(0).cast("bigint").alias("quotes_total"),
-        F.when(
-            on,
-            F.size(F.filter(its, lambda i: N.is_template(i["value"]) | N.is_template(i["quote"]))),
-        )
-        .otherwise(0)
-        .cast("bigint")
-        .alias("template_values"),
+        scored(F.size(F.filter(seen, lambda x: x == 1))).alias("quotes_found"),
+        scored(F.size(its)).alias("quotes_total"),
+        scored(F.size(template)).alias("template_values"),
     )
 
 
@@ -498,3 +511,20 @@ def sample_split(ids: DataFrame, key: str, n_test: int, n_dev: int, seed: str, d
     test = draw(keys, n_test, seed, "test")
     rest = keys.join(test, key, "left_anti")
     return test.unionByName(draw(rest, n_dev, dev_seed, "dev"))
+
+
+def next_chunks(
+    documents: DataFrame, key: str, n_test: int, seed: str, n_documents: int, n_chunks: int, size: int
+) -> DataFrame:
+    """The first pieces of the first documents that follow the test sample in hash order."""
+    order = F.md5(F.concat(F.lit(seed), F.lit(":"), F.col(key).cast("string")))
+    first = documents.select(key, order.alias("o")).orderBy("o", key).limit(n_test + n_documents)
+    reserved = first.orderBy("o", key).limit(n_test).select(key)
+    chosen = first.join(reserved, key, "left_anti").select(key)
+    rows = documents.join(chosen, key, "left_semi").select(
+        key, "text", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk_index")
+    )
+    piece = F.substring("text", F.col("chunk_index") * size + 1, F.lit(size))
+    return rows.select(key, F.col("chunk_index").cast("bigint").alias("chunk_index"), piece.alias("text")).where(
+        F.col("text") != ""
+    )

@@ -48,9 +48,19 @@ def compare_dates(rows: DataFrame, reference: Column) -> DataFrame:
     said = F.transform(F.coalesce("items", F.array().cast(ITEM)), value_or_quote)
     only = rows.where(F.col("category").isin(*DATE_CATEGORIES))
 
+    lists = only.select("category", answers.alias("a"), said.alias("s"))
+
     def counted(mode: str, norm) -> DataFrame:
-        counts = value_counts(present(F.transform(answers, norm)), present(F.transform(said, norm)))
-        return only.select("category", F.lit(mode).alias("mode"), counts.alias("c"))
+        normal = lists.select(
+            "category",
+            present(F.transform("a", norm)).alias("have"),
+            present(F.transform("s", norm)).alias("said"),
+        )
+        c = value_counts(F.col("have"), F.col("said"))
+        return normal.select(
+            "category", F.lit(mode).alias("mode"), c["tp"].alias("tp"), c["fp"].alias("fp"),
+            (F.size("have") - c["tp"]).alias("fn"),
+        )
 
     both = counted("before", lambda t: N.filled_date(t, reference)).unionByName(
         counted("after", lambda t: N.calendar_date(t))
@@ -58,7 +68,7 @@ def compare_dates(rows: DataFrame, reference: Column) -> DataFrame:
     c = F.col
     return (
         both.groupBy("mode", "category")
-        .agg(*[F.sum(f"c.{n}").alias(n) for n in ("tp", "fp", "fn")])
+        .agg(*[F.sum(n).alias(n) for n in ("tp", "fp", "fn")])
         .withColumns(
             {
                 "precision": share(c("tp"), c("tp") + c("fp")),

@@ -502,7 +502,7 @@ def eval_labels(spark: SparkSession, sf: str) -> DataFrame:
         F.initcap("lang"), F.lit(" Partners LLC (formerly known as Old "), F.initcap("lang"), F.lit(")"),
     )
     law = F.when(F.col("lang") == "en", F.concat(F.lit("State of "), F.initcap("source"), F.lit(", USA"))).otherwise(
-        F.concat(F.lit("the laws of the Commonwealth of "), F.initcap("source"))
+        F.concat(F.lit("laws of the Commonwealth of "), F.initcap("source"))
     )
     cells = F.array(
         F.struct(F.lit("Agreement Date").alias("category"), F.array(spelled(day, F.col("lang"))).alias("answers")),
@@ -542,10 +542,10 @@ def eval_predictions(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.initcap("source"), F.lit(" Holdings Inc")),
         F.when(good, F.concat(F.lit("old "), "lang")).otherwise(F.lit("Other Co.")),
     )
-    # clauses: each line without its last two words, upper case for poor documents
+    # clauses: each line without its last two words, lower case for poor documents
     said_lines = F.transform(
         _lines(5),
-        lambda x: F.when(good, x).otherwise(F.upper(x)),
+        lambda x: F.when(good, x).otherwise(F.lower(x)),
     )
     cut = F.transform(said_lines, lambda x: F.regexp_replace(x, r"( [^ ]*){2}$", ""))
     none = F.transform(cut, lambda x: F.lit(""))
