@@ -244,9 +244,7 @@ def contract_metrics(rows: DataFrame, parties: str = "alias-aware") -> DataFrame
     on = F.col("category_type") != "not_scored"
     has_label, has_said = F.size(labels) > 0, F.size(quotes) > 0
     # a clause prediction without a quote is not counted, also when it claims to be found
-    seen = F.zip_with(
-        its, "__found", lambda i, ok: (ok & (~clause_row | (i["quote"] != ""))).cast("int")
-    )
+    seen = F.zip_with(its, "__found", lambda i, ok: ok & (~clause_row | (i["quote"] != "")))
     template = F.filter(its, lambda i: N.is_template(i["value"]) | N.is_template(i["quote"]))
 
     def flag(cond: Column) -> Column:
@@ -267,7 +265,7 @@ def contract_metrics(rows: DataFrame, parties: str = "alias-aware") -> DataFrame
         flag(~has_label & has_said).alias("presence_fp"),
         flag(has_label & ~has_said).alias("presence_fn"),
         flag(~has_label & ~has_said).alias("presence_tn"),
-        scored(F.size(F.filter(seen, lambda x: x == 1))).alias("quotes_found"),
+        scored(F.size(F.filter(seen, lambda ok: ok))).alias("quotes_found"),
         scored(F.size(its)).alias("quotes_total"),
         scored(F.size(template)).alias("template_values"),
     )
