@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanledger.functions import normalizers as N
-from spanledger.functions.text import normalize_ws, not_blank, quote_in_text, strip
+from spanledger.functions.text import bound, normalize_ws, not_blank, quote_in_text, strip
 from spanledger.sources.dimensions import (
     CLAUSE_CATEGORIES,
     DATE_CATEGORIES,
@@ -31,21 +31,31 @@ ITEM = "array<struct<value:string,quote:string,found:boolean>>"
 STRINGS = "array<string>"
 
 
+def _f1_of_sets(s: Column) -> Column:
+    """F1 of the distinct tokens a and b of a struct; 0 when one is empty."""
+    n = F.size(s["a"]) + F.size(s["b"])
+    common = F.size(F.array_intersect(s["a"], s["b"])).cast("double")
+    return F.when((F.size(s["a"]) > 0) & (F.size(s["b"]) > 0), common * 2 / n).otherwise(F.lit(0.0))
+
+
+def _tokens(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(text, " "), lambda w: w != ""))
+
+
 def token_f1(left: Column, right: Column) -> Column:
     """F1 over the distinct tokens of two normalised texts; 0 when one is empty."""
-    a = F.array_distinct(F.filter(F.split(left, " "), lambda w: w != ""))
-    b = F.array_distinct(F.filter(F.split(right, " "), lambda w: w != ""))
-    common = F.size(F.array_intersect(a, b)).cast("double")
-    total = F.size(a) + F.size(b)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), common * 2 / total).otherwise(F.lit(0.0))
+    return bound(F.struct(_tokens(left).alias("a"), _tokens(right).alias("b")), _f1_of_sets)
 
 
 def texts_match(left: Column, right: Column, threshold: float = MATCH_THRESHOLD) -> Column:
     """Equal, or token F1 at the threshold; blank texts match nothing."""
-    a, b = normalize_ws(left), normalize_ws(right)
-    return F.coalesce(
-        (a != "") & (b != "") & ((a == b) | (token_f1(a, b) >= threshold)), F.lit(False)
-    )
+    def judge(s: Column) -> Column:
+        return (s["l"] != "") & (s["r"] != "") & (
+            (s["l"] == s["r"]) | (token_f1(s["l"], s["r"]) >= threshold)
+        )
+
+    both = F.struct(normalize_ws(left).alias("l"), normalize_ws(right).alias("r"))
+    return F.coalesce(bound(both, judge), F.lit(False))
 
 
 def match_in_order(

@@ -11,6 +11,7 @@ from spanledger.functions.ids import assertion_uuid, fact_uuid, url_uuid5
 from spanledger.functions.text import locate_span, normalize_for_provenance, not_blank, strip
 from spanledger.operators import graph, ontology as onto
 from spanledger.operators.ordered import first_per_key, last_per_key
+from spanledger.session import cut_lineage
 from spanledger.sources.documents import paragraph_chunks
 
 # Fixed value: length of the quote the built-in extractor takes.
@@ -99,9 +100,13 @@ def facts_of(entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def ingest(
     documents: DataFrame, extractor: Extractor = baseline_extract, separator: str = "\n\n"
 ) -> dict[str, DataFrame]:
-    """All tables the documents give rise to, keyed by table name."""
-    chunks = paragraph_chunks(documents, separator)
-    entities, edges = extractor(chunks)
+    """All tables the documents give rise to, keyed by table name.
+
+    Chunks and extractions are written once: six tables follow from them, and an
+    extractor that calls a model must not run again for each.
+    """
+    chunks = cut_lineage(paragraph_chunks(documents, separator))
+    entities, edges = (cut_lineage(rows) for rows in extractor(chunks))
     facts, assertions, spans = facts_of(entities)
     survivors, _, unique_edges = graph.dedupe_mentions(entities, edges)
     return {
@@ -168,7 +173,9 @@ def bind_quotes(rows: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFram
             .when(~not_blank(F.col("quote")), "blank_quote")
             .when(F.col("__span").isNull(), "quote_not_in_text"),
         )
+        .drop("__text")
     )
+    located = cut_lineage(located)
     bound = located.where(F.col("reason").isNull()).select(
         *[c for c in rows.columns if c != "quote"],
         F.col("__span.start_offset").alias("start_offset"),

@@ -13,6 +13,7 @@ from spanledger.functions.ids import url_uuid5
 from spanledger.functions.text import words
 from spanledger.operators.usage import priced
 from spanledger.plans.ingest import baseline_extract, facts_of
+from spanledger.session import cut_lineage
 from spanledger.sources import dimensions as dim
 from spanledger.sources.documents import paragraph_chunks
 
@@ -48,10 +49,16 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return paragraph_chunks(documents(spark, sf), "\n")
 
 
-def provenance(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """Chunks, entities, edges, facts, assertions and spans of all documents."""
-    c = chunks(spark, sf)
+def provenance(spark: SparkSession, sf: str, stored: bool = False) -> dict[str, DataFrame]:
+    """Chunks, entities, edges, facts, assertions and spans of all documents.
+
+    ``stored`` writes the two tables the others follow from, as an engine would have
+    them: for jobs that read them many times.
+    """
+    c = cut_lineage(chunks(spark, sf)) if stored else chunks(spark, sf)
     entities, edges = baseline_extract(c)
+    if stored:
+        entities = cut_lineage(entities)
     facts, assertions, spans = facts_of(entities)
     return {
         "documents": documents(spark, sf).select("tenant_id", "document_id"),
@@ -94,7 +101,7 @@ def assertions_with_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 def erasable(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """All tables a document erasure reaches."""
-    t = provenance(spark, sf)
+    t = provenance(spark, sf, stored=True)
     name = F.concat_ws(" ", F.slice(words(F.col("text")), 1, 2))
     mentions = t["chunks"].where(F.size(words(F.col("text"))) > 0).select(
         "tenant_id", "document_id", "chunk_id",
@@ -234,6 +241,11 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and edges as written tables, for walks that read them once per hop."""
+    return cut_lineage(entities(spark, sf)), cut_lineage(edges(spark, sf))
+
+
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     """Structural edges and one trade edge per order and part."""
     def ref(prefix: str, key: str) -> Column:
@@ -549,7 +561,7 @@ def eval_predictions(spark: SparkSession, sf: str) -> DataFrame:
     )
     cut = F.transform(said_lines, lambda x: F.regexp_replace(x, r"( [^ ]*){2}$", ""))
     none = F.transform(cut, lambda x: F.lit(""))
-    quotes4 = F.array(first, F.upper(first), F.lit("not in there"), first)
+    quotes4 = F.array(first, F.lower(first), F.lit("not in there"), first)
     cells = F.array(
         items(F.lit("Agreement Date"), F.array(said_day), F.array(first)),
         items(F.lit("Governing Law"), F.array(said_law), F.array(F.lit("no such quote"))),
