@@ -28,7 +28,7 @@ def scratch(spark, name: str) -> str:
 @query("src_documents", """SELECT doc_id, CAST(length(text) + 1 AS BIGINT) AS n_chars,
     sha256(chr(65533) || text) AS digest FROM documents""")
 def src_documents(spark, sf):
-    d = dt.table(spark, sf, "documents")
+    d = dt.spread_documents(spark, sf)
     # a stray byte in front of every text has to come out as U+FFFD
     raw = d.select("doc_id", F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8")).alias("content"))
     return docs.decoded(raw).select(
@@ -128,7 +128,7 @@ def src_resume_filter(spark, sf):
 @query("src_file_text_join", """SELECT 'doc.'||d.doc_id AS stem, CAST(length(text) AS BIGINT) AS n_chars, quality
     FROM documents d JOIN labels l ON l.doc_id = d.doc_id""")
 def src_file_text_join(spark, sf):
-    files = dt.table(spark, sf, "documents").select(
+    files = dt.spread_documents(spark, sf).select(
         F.concat(F.lit("/corpus/"), "source", F.lit("/doc."), F.col("doc_id").cast("string"), F.lit(" .txt")).alias("path"),
         "text",
     ).withColumn("stem", docs.file_stem(F.col("path")))
@@ -146,7 +146,7 @@ def src_file_text_join(spark, sf):
            ELSE 'ok' END AS status
     FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, toxic FROM labels WHERE toxic = 1) l ON l.doc_id = d.doc_id""")
 def src_manifest_verify(spark, sf):
-    d = dt.table(spark, sf, "documents")
+    d = dt.spread_documents(spark, sf)
     files = d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
                      F.encode("text", "UTF-8").alias("content"))
     bad = dt.table(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct().withColumn("bad", F.lit("!"))

@@ -17,7 +17,7 @@ from spanledger.sources import driver_tables as dt
 @query("fn_normalize_prov", """SELECT doc_id, length(text) + 12 AS n_chars, sha256('fi 1' || chr(10) || chr(10) || ' x ' || lang || text || ' ' || chr(10)) AS digest FROM documents""".replace(
     "length(text) + 12", "CAST(length('fi 1' || chr(10) || chr(10) || ' x ' || lang || text || ' ' || chr(10)) AS BIGINT)"))
 def fn_normalize_prov(spark, sf):
-    d = dt.table(spark, sf, "documents")
+    d = dt.spread_documents(spark, sf)
     # a ligature, a circled digit, both foreign line ends and a no-break space around every text
     dirty = F.concat(F.lit("\ufb01 \u2460\r\n\r\u00a0x "), "lang", "text", F.lit("\u00a0\r"))
     return d.select("doc_id", tx.normalize_for_provenance(dirty).alias("t")).select(
@@ -47,7 +47,7 @@ PACK = """
 
 @query("fn_chunk_lines", PACK)
 def fn_chunk_lines(spark, sf):
-    d = dt.table(spark, sf, "documents").select("doc_id", "text")
+    d = dt.spread_documents(spark, sf).select("doc_id", "text")
     return docs.line_chunks(d, 400).select("doc_id", "chunk_index", "start_offset", "end_offset", "text")
 
 
@@ -108,7 +108,7 @@ def fn_quote_in_text(spark, sf):
 
 @query("fn_normalize_ws", """SELECT doc_id, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS digest FROM documents""")
 def fn_normalize_ws(spark, sf):
-    return dt.table(spark, sf, "documents").select("doc_id", F.sha2(tx.normalize_ws(F.col("text")), 256).alias("digest"))
+    return dt.spread_documents(spark, sf).select("doc_id", F.sha2(tx.normalize_ws(F.col("text")), 256).alias("digest"))
 
 
 @query("fn_token_f1", """
@@ -120,7 +120,7 @@ def fn_normalize_ws(spark, sf):
 def fn_token_f1(spark, sf):
     # a text against its own first half
     half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
-    d = dt.table(spark, sf, "documents")
+    d = dt.spread_documents(spark, sf)
     return d.select(
         "doc_id",
         evaluate.token_f1(tx.normalize_ws(F.col("text")), tx.normalize_ws(half)).alias("f1"),
@@ -269,4 +269,4 @@ def fn_uuid5(spark, sf):
 
 @query("fn_content_hash", "SELECT doc_id, 'sha256:' || sha256(text) AS digest FROM documents")
 def fn_content_hash(spark, sf):
-    return dt.table(spark, sf, "documents").select("doc_id", content_hash(F.encode("text", "UTF-8")).alias("digest"))
+    return dt.spread_documents(spark, sf).select("doc_id", content_hash(F.encode("text", "UTF-8")).alias("digest"))

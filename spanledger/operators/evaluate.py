@@ -1,8 +1,8 @@
 """Scoring of extractions against labels, one row per contract and category.
 
 Input rows hold ``answers`` (array of label texts) and ``items`` (array of structs
-value, quote, found), both in their original order, and the contract text. All
-matching happens inside the row; only counts are shuffled.
+value, quote, found), both in their original order. All matching happens inside the
+row; only counts are shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanledger.functions import normalizers as N
-from spanledger.functions.text import bound, normalize_ws, not_blank, quote_in_text, strip
+from spanledger.functions.text import bound, normalize_ws, not_blank, strip
 from spanledger.sources.dimensions import (
     CLAUSE_CATEGORIES,
     DATE_CATEGORIES,
@@ -202,13 +202,12 @@ def contract_metrics(rows: DataFrame, parties: str = "alias-aware") -> DataFrame
     # staged, so that no later expression repeats an earlier one
     base = rows.select(
         "contract", "category", kind.alias("category_type"), answers.alias("__answers"),
-        trimmed.alias("__items"), "contract_text",
+        trimmed.alias("__items"),
     )
     lists = base.withColumns(
         {
             "__labels": F.filter("__answers", not_blank),
             "__quotes": F.filter(F.transform(its, lambda i: i["quote"]), lambda q: q != ""),
-            "__text": normalize_ws(F.col("contract_text")),
         }
     )
 
@@ -228,10 +227,6 @@ def contract_metrics(rows: DataFrame, parties: str = "alias-aware") -> DataFrame
             "__taken": greedy_matches(
                 F.when(clause_row, quotes).otherwise(empty), F.when(clause_row, labels).otherwise(empty)
             ),
-            "__found": F.when(
-                F.length("contract_text") > 0,
-                F.transform(its, lambda i: (i["quote"] != "") & F.contains("__text", normalize_ws(i["quote"]))),
-            ).otherwise(F.transform(its, lambda i: i["found"])),
         }
     )
     party = party_counts(F.col("__names"), F.col("__parties"), exact=parties == "exact-name")
@@ -254,7 +249,7 @@ def contract_metrics(rows: DataFrame, parties: str = "alias-aware") -> DataFrame
     on = F.col("category_type") != "not_scored"
     has_label, has_said = F.size(labels) > 0, F.size(quotes) > 0
     # a clause prediction without a quote is not counted, also when it claims to be found
-    seen = F.zip_with(its, "__found", lambda i, ok: ok & (~clause_row | (i["quote"] != "")))
+    seen = F.filter(its, lambda i: i["found"] & (~clause_row | (i["quote"] != "")))
     template = F.filter(its, lambda i: N.is_template(i["value"]) | N.is_template(i["quote"]))
 
     def flag(cond: Column) -> Column:
@@ -275,7 +270,7 @@ def contract_metrics(rows: DataFrame, parties: str = "alias-aware") -> DataFrame
         flag(~has_label & has_said).alias("presence_fp"),
         flag(has_label & ~has_said).alias("presence_fn"),
         flag(~has_label & ~has_said).alias("presence_tn"),
-        scored(F.size(F.filter(seen, lambda ok: ok))).alias("quotes_found"),
+        scored(F.size(seen)).alias("quotes_found"),
         scored(F.size(its)).alias("quotes_total"),
         scored(F.size(template)).alias("template_values"),
     )
@@ -362,11 +357,41 @@ def with_intervals(metrics: DataFrame) -> DataFrame:
     return metrics.withColumns(bounds)
 
 
+def mark_found(predictions: DataFrame, texts: DataFrame) -> DataFrame:
+    """``found`` of every item from the contract text; without a text it stays as given.
+
+    The categories of a contract, a handful, meet its text in one row: the text is
+    shuffled and normalised once, not once per category.
+    """
+    per_contract = predictions.groupBy("contract").agg(
+        F.collect_list(F.struct("category", "items")).alias("__cats")
+    )
+    normal = texts.where(F.length("contract_text") > 0).select(
+        "contract", normalize_ws(F.col("contract_text")).alias("__text")
+    )
+
+    def judged(i: Column) -> Column:
+        inside = not_blank(i["quote"]) & F.contains("__text", normalize_ws(i["quote"]))
+        return F.struct(
+            i["value"].alias("value"),
+            i["quote"].alias("quote"),
+            F.when(F.col("__text").isNull(), F.coalesce(i["found"], F.lit(True)))
+            .otherwise(inside)
+            .alias("found"),
+        )
+
+    cats = F.transform(
+        "__cats",
+        lambda c: F.struct(c["category"].alias("category"), F.transform(c["items"], judged).alias("items")),
+    )
+    met = per_contract.join(normal, "contract", "left").select("contract", F.explode(cats).alias("c"))
+    return met.select("contract", "c.category", "c.items")
+
+
 def align(labels: DataFrame, predictions: DataFrame, texts: DataFrame) -> DataFrame:
     """Labels and predictions side by side, one row per contract and category."""
     key = ["contract", "category"]
-    both = labels.select(*key, "answers").join(predictions.select(*key, "items"), key, "full")
-    return both.join(texts.select("contract", "contract_text"), "contract", "left")
+    return labels.select(*key, "answers").join(mark_found(predictions, texts), key, "full")
 
 
 def side_by_side(rows: DataFrame) -> DataFrame:
@@ -385,24 +410,16 @@ def side_by_side(rows: DataFrame) -> DataFrame:
         )
 
     zipped = F.arrays_zip(answers.alias("label"), items.alias("item"))
-    flat = rows.select(
-        "contract", "category", "contract_text", F.posexplode(zipped).alias("position", "z")
-    )
+    flat = rows.select("contract", "category", F.posexplode(zipped).alias("position", "z"))
     label, item = F.col("z.label"), F.col("z.item")
-    clause = ~cat.isin(*VALUE_CATEGORIES)
-    predicted = F.when(clause, item["quote"]).otherwise(value_or_quote(item))
+    predicted = F.when(cat.isin(*VALUE_CATEGORIES), value_or_quote(item)).otherwise(item["quote"])
     return flat.select(
         "contract",
         "category",
         F.col("position").cast("bigint").alias("position"),
         F.when(label.isNotNull(), shown(label)).alias("label"),
         F.when(item.isNotNull(), shown(predicted)).alias("prediction"),
-        F.when(
-            item.isNotNull(),
-            F.when(
-                F.length("contract_text") > 0, quote_in_text(item["quote"], F.col("contract_text"))
-            ).otherwise(F.coalesce(item["found"], F.lit(True))),
-        ).alias("quote_in_text"),
+        F.when(item.isNotNull(), item["found"]).alias("quote_in_text"),
     )
 
 

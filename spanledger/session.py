@@ -57,3 +57,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows hashed over the cores when the scan has fewer splits than cores.
+
+    Work per row on long texts would else run in the few tasks that hold a small
+    input. A table of many files has splits enough and passes unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)

@@ -13,7 +13,7 @@ from spanledger.functions.ids import url_uuid5
 from spanledger.functions.text import words
 from spanledger.operators.usage import priced
 from spanledger.plans.ingest import baseline_extract, facts_of
-from spanledger.session import cut_lineage
+from spanledger.session import cut_lineage, spread
 from spanledger.sources import dimensions as dim
 from spanledger.sources.documents import paragraph_chunks
 
@@ -33,9 +33,12 @@ def document_id(doc_id: Column) -> Column:
     return url_uuid5("document", doc_id.cast("string"))
 
 
+def spread_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    return d.select(
+    return spread_documents(spark, sf).select(
         F.col("source").alias("tenant_id"),
         document_id(F.col("doc_id")).alias("document_id"),
         "doc_id",
@@ -481,7 +484,7 @@ def contracts(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").groupBy("doc_id").agg(
         F.max("quality").alias("quality"), F.max("toxic").alias("toxic")
     )
-    return table(spark, sf, "documents").join(labels, "doc_id", "left").select(
+    return spread_documents(spark, sf).join(labels, "doc_id", "left").select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("contract"),
         "text", "lang", "source", "n_chars", "quality", "toxic",
     )
