@@ -3,7 +3,9 @@
 A plain window sorts every row of a key in one task. Here each key is cut into
 buckets that follow the order (a day, a range of sequence numbers). Rows are
 ordered inside their bucket, one small row per bucket carries what crosses the
-bucket edges, and the two are joined again. Results equal the plain window.
+bucket edges, and the two are joined again. Should a single bucket still be large,
+as when many rows share one instant, its rows are range-partitioned by the full
+order and cut along the partitions. Results equal the plain window.
 """
 
 from __future__ import annotations
@@ -13,7 +15,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanledger.session import cut_lineage
+
 BUCKET = "__bucket"
+# rows of one bucket that a task may sort without becoming the one others wait for
+HOT_ROWS = 5_000_000
+
+
+def hot_buckets(df: DataFrame, keys: Sequence[str], bucket: Column, hot_rows: int) -> DataFrame:
+    """The few (key, bucket) pairs with more than ``hot_rows`` rows, as a written table.
+
+    At most the number of rows over ``hot_rows`` of them exist.
+    """
+    sizes = df.groupBy(*keys, bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+    return cut_lineage(sizes.where(F.col("__n") > hot_rows).drop("__n"))
+
+
+def bucketed(
+    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], hot_rows: int
+) -> DataFrame:
+    """Adds the bucket, an orderable struct that never decreases along ``order``."""
+    hot = hot_buckets(df, keys, bucket, hot_rows)
+    whole = F.struct(F.col("__b").alias("b"), F.lit(0).alias("part"))
+    rows = df.withColumn("__b", bucket)
+    if hot.isEmpty():
+        return rows.withColumn(BUCKET, whole).drop("__b")
+    on = [*keys, "__b"]
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # written, so that the parts stay what they are when a task runs again
+    large = cut_lineage(
+        rows.join(hot, on, "left_semi")
+        .repartitionByRange(max(cores, 8), *on, *order)
+        .withColumn(BUCKET, F.struct(F.col("__b").alias("b"), F.spark_partition_id().alias("part")))
+    )
+    small = rows.join(hot, on, "left_anti").withColumn(BUCKET, whole)
+    return small.unionByName(large).drop("__b")
 
 
 def with_next(
@@ -23,12 +59,13 @@ def with_next(
     order: Sequence[str],
     values: Sequence[str],
     prefix: str = "next_",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds ``prefix + v`` holding column v of the following row of the key.
 
     ``bucket`` must not decrease along ``order``; ``order`` must be total.
     """
-    rows = df.withColumn(BUCKET, bucket)
+    rows = bucketed(df, keys, bucket, order, hot_rows)
     needed = list(dict.fromkeys([*order, *values]))
     head = F.struct(*[F.col(c) for c in needed])
     heads = (
@@ -62,9 +99,10 @@ def running_sum(
     order: Sequence[str],
     value: Column,
     out: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds the sum of ``value`` over the key up to and including the row."""
-    rows = df.withColumn(BUCKET, bucket).withColumn("__value", value)
+    rows = bucketed(df, keys, bucket, order, hot_rows).withColumn("__value", value)
     before = (
         rows.groupBy(*keys, BUCKET)
         .agg(F.sum("__value").alias("__total"))
@@ -103,6 +141,7 @@ def sum_before(
     span_micros: int,
     bucket_micros: int,
     out: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per event: sum of ``value`` over its key in [t - span, t).
 
@@ -132,7 +171,8 @@ def sum_before(
         ).alias("p"),
     ).select(*keys, *row_id, "p.*")
     bucket = F.floor(F.col("at") / F.lit(bucket_micros))
-    summed = running_sum(points, keys, bucket, ["at", "after"], F.col("amount"), "prefix")
+    order = ["at", "after", *row_id, "sign"]
+    summed = running_sum(points, keys, bucket, order, F.col("amount"), "prefix", hot_rows)
     return (
         summed.where(F.col("sign") != 0)
         .groupBy(*keys, *row_id)
@@ -143,15 +183,24 @@ def sum_before(
 def count_within(
     events: DataFrame,
     keys: Sequence[str],
+    row_id: Sequence[str],
     micros: str,
     span_micros: int,
     out: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per event: number of rows of its key strictly inside (t - span, t).
 
     Each row is placed in its own span-wide bucket and, as context, in the next.
+    Where a bucket is too large for that, prefix sums give the same number.
     """
     home = F.floor(F.col(micros) / F.lit(span_micros))
+    if not hot_buckets(events, keys, home, hot_rows).isEmpty():
+        counted = sum_before(
+            events.withColumn("__one", F.lit(1)), keys, row_id, micros, "__one",
+            span_micros - 1, span_micros, out, hot_rows,
+        )
+        return events.join(counted, [*keys, *row_id])
     placed = events.withColumn("__home", home).withColumn(
         BUCKET, F.explode(F.array(F.col("__home"), F.col("__home") + 1))
     )

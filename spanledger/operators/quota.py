@@ -38,7 +38,9 @@ def trailing_spend(events: DataFrame, tiers: DataFrame, period_days: int = 30) -
 
 def observed_rate(requests: DataFrame, tiers: DataFrame) -> DataFrame:
     """Per request: requests of its tenant in the 60 seconds before it, against the limit."""
-    counted = count_within(requests, ["tenant_id"], "at_micros", RATE_WINDOW, "in_window")
+    counted = count_within(
+        requests, ["tenant_id"], ["event_id"], "at_micros", RATE_WINDOW, "in_window"
+    )
     return counted.join(tiers.select("tenant_id", "rate_limit_rpm"), "tenant_id").withColumn(
         "over_limit", F.col("in_window") >= F.col("rate_limit_rpm")
     )

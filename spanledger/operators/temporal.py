@@ -69,7 +69,7 @@ def close_superseded(facts: DataFrame) -> DataFrame:
     chained = with_next(
         facts,
         ["tenant_id", "subject", "predicate"],
-        F.date_trunc("month", F.col("valid_from")),
+        F.date_trunc("day", F.col("valid_from")),
         ["valid_from", "fact_id"],
         ["valid_from", "fact_id"],
     )
