@@ -79,17 +79,32 @@ def paragraphs(text: Column, separator: str = "\n\n") -> Column:
     return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
+def line_lengths(text: Column) -> Column:
+    """Length of every line with its line end; the costly pattern runs only on texts
+    with line ends other than LF."""
+    pattern = rf"[^{LINE_ENDS}]*(?:\r\n|[{LINE_ENDS}])|[^{LINE_ENDS}]+"
+    parts = F.split(text, "\n", -1)
+    # every part but the last had a line end; the last may be empty
+    plain = bound(
+        parts,
+        lambda p: F.filter(
+            F.transform(p, lambda line, i: F.length(line) + (i < F.size(p) - 1).cast("int")),
+            lambda n: n > 0,
+        ),
+    )
+    mixed = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    return F.when(text.rlike(f"[{LINE_ENDS[2:]}]"), mixed).otherwise(plain)
+
+
 def line_chunk_bounds(text: Column, max_chars: int = 4000) -> Column:
     """Array of (start, end) offsets of greedily packed lines.
 
     The fold carries offsets only, never text. A line longer than the limit is
     cut into pieces that take no further line.
     """
-    any_line = rf"[^{LINE_ENDS}]*(?:\r\n|[{LINE_ENDS}])|[^{LINE_ENDS}]+"
-    lengths = F.transform(F.regexp_extract_all(text, F.lit(any_line), F.lit(0)), F.length)
-    bound = "array<struct<start:int,end:int>>"
+    lengths = line_lengths(text)
     empty = F.struct(
-        F.array().cast(bound).alias("done"), F.lit(0).alias("start"), F.lit(0).alias("end")
+        F.array().cast("array<struct<start:int,end:int>>").alias("done"), F.lit(0).alias("start"), F.lit(0).alias("end")
     )
 
     def closed(acc: Column) -> Column:
@@ -121,9 +136,9 @@ def line_chunk_bounds(text: Column, max_chars: int = 4000) -> Column:
             F.struct(closed(acc).alias("done"), acc["end"].alias("start"), after.alias("end"))
         )
 
-    bounds = F.aggregate(lengths, empty, step, closed)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
-    return F.when(F.size(bounds) == 0, whole).otherwise(bounds)
+    packed = F.aggregate(lengths, empty, step, closed)
+    return F.when(text == "", whole).otherwise(packed)
 
 
 def slice_text(text: Column, bound: Column) -> Column:

@@ -85,15 +85,14 @@ def facts_of(entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "assertion_id",
         assertion_uuid(c("tenant_id"), c("fact_id"), c("document_id"), c("chunk_id"), one_span),
     )
-    assertions = stated.select(*PLACE, "assertion_id", "fact_id", "claim").dropDuplicates(
-        ["tenant_id", "assertion_id"]
-    )
+    # an id follows from the whole row, so equal ids are equal rows and hashing suffices
+    assertions = stated.select(*PLACE, "assertion_id", "fact_id", "claim").distinct()
     spans = stated.select(
         "tenant_id", "assertion_id", "chunk_id", "start_offset", "end_offset", "quote",
         url_uuid5("span", c("assertion_id"), c("start_offset").cast("string"),
                   c("end_offset").cast("string")).alias("span_id"),
-    ).dropDuplicates(["tenant_id", "span_id"])
-    facts = stated.groupBy("tenant_id", "fact_id").agg(F.min("claim").alias("claim"))
+    ).distinct()
+    facts = stated.select("tenant_id", "fact_id", "claim").distinct()
     return facts, assertions, spans
 
 

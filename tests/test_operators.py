@@ -456,10 +456,11 @@ def test_party_modes(spark):
 
 def test_snapshots_switch_together(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "s"))
-    a = spark.createDataFrame([("t", 1)], "tenant_id string, x int")
+    a = spark.createDataFrame([("007", 1)], "tenant_id string, x int")
     assert store.version() == 0 and store.write({"a": a, "b": a}) == 1
     assert store.write({"a": a.withColumn("x", F.lit(2)), "b": a}) == 2
     assert store.read("a").first().x == 2 and store.read("a", 1).first().x == 1
+    assert store.read("a").first().tenant_id == "007" and store.read("a").columns == a.columns
 
 
 def test_manifest(spark):
