@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from spanledger.catalog import query
 from spanledger.catalog.twins import with_parts
-from spanledger.functions.ids import content_hash
-from spanledger.functions.text import not_blank
 from spanledger.operators import audit, graph, ontology, provenance, usage
 from spanledger.scope import scoped, split_foreign_writes
 from spanledger.session import work_dir

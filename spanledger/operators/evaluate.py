@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 from spanledger.functions import normalizers as N
 from spanledger.functions.text import bound, normalize_ws, not_blank, strip
 from spanledger.sources.dimensions import (
-    CLAUSE_CATEGORIES,
     DATE_CATEGORIES,
     NOT_SCORED_CATEGORIES,
     VALUE_CATEGORIES,
