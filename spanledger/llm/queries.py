@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +19,21 @@ def op4_hyperminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFr
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op2_anchored_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanledger.llm.pii import find_personal_data
+
+    return find_personal_data(_documents(spark, sf_dir))
+
+
+def op6_assigned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanledger.llm.secrets import find_secrets
+
+    return find_secrets(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_anchored_personal_data": op2_anchored_personal_data,
     "op4_hyperminhash_near_duplicates": op4_hyperminhash_near_duplicates,
+    "op6_assigned_secrets": op6_assigned_secrets,
 }
 ORACLES: dict[str, str] = {}
