@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanledger.session import work_dir
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -31,9 +34,25 @@ def op6_assigned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_documents(spark, sf_dir))
 
 
+def op8_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanledger.llm.packing import pack
+
+    return pack(_documents(spark, sf_dir))
+
+
+def op10_context_mixed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanledger.llm.tokenfile import read_tokens, write_tokens
+
+    path = f"{work_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(_documents(spark, sf_dir), path)
+    return read_tokens(spark, path)
+
+
 QUERIES: dict[str, Query] = {
     "op2_anchored_personal_data": op2_anchored_personal_data,
     "op4_hyperminhash_near_duplicates": op4_hyperminhash_near_duplicates,
     "op6_assigned_secrets": op6_assigned_secrets,
+    "op8_bounded_space_packing": op8_bounded_space_packing,
+    "op10_context_mixed_token_files": op10_context_mixed_token_files,
 }
 ORACLES: dict[str, str] = {}
