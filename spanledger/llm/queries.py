@@ -48,11 +48,25 @@ def op10_context_mixed_token_files(spark: SparkSession, sf_dir: str) -> DataFram
     return read_tokens(spark, path)
 
 
+def op5_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanledger.llm.decontaminate import contaminated
+
+    return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")
+
+
+def op9_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanledger.llm.fingerprint import fingerprints
+
+    return fingerprints(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op2_anchored_personal_data": op2_anchored_personal_data,
     "op4_hyperminhash_near_duplicates": op4_hyperminhash_near_duplicates,
+    "op5_benchmark_containment": op5_benchmark_containment,
     "op6_assigned_secrets": op6_assigned_secrets,
     "op8_bounded_space_packing": op8_bounded_space_packing,
+    "op9_bottom_k_fingerprints": op9_bottom_k_fingerprints,
     "op10_context_mixed_token_files": op10_context_mixed_token_files,
 }
 ORACLES: dict[str, str] = {}
