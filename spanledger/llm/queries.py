@@ -50,6 +50,12 @@ def op6_assigned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_documents(spark, sf_dir))
 
 
+def op7_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanledger.llm.toxicity import classify
+
+    return classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanledger.llm.packing import pack
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op4_hyperminhash_near_duplicates": op4_hyperminhash_near_duplicates,
     "op5_benchmark_containment": op5_benchmark_containment,
     "op6_assigned_secrets": op6_assigned_secrets,
+    "op7_recurrent_toxicity": op7_recurrent_toxicity,
     "op8_bounded_space_packing": op8_bounded_space_packing,
     "op9_bottom_k_fingerprints": op9_bottom_k_fingerprints,
     "op10_context_mixed_token_files": op10_context_mixed_token_files,
