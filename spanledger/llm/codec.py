@@ -40,7 +40,7 @@ class Model:
     def __init__(self, lanes: int) -> None:
         self.rows = np.arange(lanes)
         self.base1, self.base2 = self.rows << HASH_BITS, (self.rows + lanes) << HASH_BITS
-        self.table = np.zeros(2 * lanes << HASH_BITS, np.int64)  # predicted id | confidence << 16, order 1 then order 2
+        self.table = np.zeros(2 * lanes << HASH_BITS, np.int32)  # predicted id | confidence << 16, order 1 then order 2
         self.own = np.full(lanes << 3, 1 << 15)  # by order and confidence
         self.joint = np.full(lanes << 5, 1 << 15)  # by both confidences and agreement
         self.weight = np.full(lanes, 128)
@@ -61,7 +61,7 @@ class Model:
         one, two = self.entry[: self.m], self.entry[self.m :]
         high = two >= 1 << 16
         best = np.where(high, two, one)
-        self.candidate, trust = best & 0xFFFF, best >> 16
+        self.candidate, trust = (best & 0xFFFF).astype(np.int64), best >> 16
         self.i = (self.rows << 3) + (high << 2) + trust
         self.j = (self.rows << 5) + (two >> 16 << 3) + (one >> 16 << 1) + (((one ^ two) & 0xFFFF) == 0)
         self.p, self.q = self.own[self.i], self.joint[self.j]
