@@ -88,16 +88,15 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     One row for every row of ``docs`` (doc_id, text). The edited text keeps all but the last
     floor(n_chars / 2) code points and goes on with the first as many of the next document: that of the
     next smaller doc_id, after the least that of the greatest. A doc_id with several texts stands in
-    the order once, with the text of the least hash. A null doc_id comes last; a null text is empty;
+    the order once, with the text of the least hash. A null doc_id comes last, and so does the least long, which counts as null; a null text is empty;
     an only document is its own next. Further columns are not read.
 
     Texts are shuffled once by doc_id; from there each sends its predecessor only the beginning
     that it takes over, and its fingerprint.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
+    # both joins below take the same two columns, so that Spark shuffles them once
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    named = F.when(F.col("key") != _LEAST, F.col("key")).alias("doc_id")
     half = F.floor(F.char_length("text") / 2).cast("int")
     order = cut_lineage(_follow(rows.select("key", half.alias("half"))))
 
@@ -110,7 +109,7 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     met = rows.join(sent, "key").withColumn("n_chars", F.char_length("text").cast("long"))
     tail = F.floor(F.col("n_chars") / 2).cast("int")
     met = met.select(
-        "doc_id", "n_chars", "next_sketch", S.words(F.col("text")).alias("words"),
+        named, "n_chars", "next_sketch", S.words(F.col("text")).alias("words"),
         F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - tail).cast("int")), F.substring("taken", F.lit(1), tail)).alias("edited"),
     )
     met = met.select("doc_id", "n_chars", "next_sketch", S.shingles("words").alias("hashes"), F.sha2("edited", 256).alias("edited_sha256"), S.words(F.col("edited")).alias("words"))
