@@ -7,10 +7,10 @@ make a band, 51 bands an index: texts of similarity 0.75 share no band with a ch
 Texts in one band are candidates; the share of equal registers, corrected for registers that agree
 by chance, drops the hopeless ones; the full sets confirm the rest.
 
-No band is expanded into all its pairs. First every text of a band meets the band's least text,
-and the confirmed links give components. Only bands that still hold several components are looked
+No band is expanded into all its pairs. First every text of a band meets the band's most central
+text, the one that shares its bands with the most others, and the confirmed links give components. Only bands that still hold several components are looked
 at again: there every text outside the band's main component meets the others, in blocks of
-bounded size, and only pairs whose registers may reach the threshold leave a block.
+bounded size, and only pairs that join components leave a block.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ BUCKETS, MANTISSA = 256, 10
 BAND = 5
 BANDS = BUCKETS // BAND
 BLOCK = 512
+SKETCH = 1024  # least members of a set that stand for it in a block; smaller sets are whole there
 SLACK = 6.0  # standard deviations that an estimate may fall short of the threshold
 
 _draws = np.random.Generator(np.random.PCG64(7)).integers(0, BUCKETS, (1024, BUCKETS))
@@ -84,11 +85,13 @@ def estimate(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
 
 def worth(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     """Whether a pair can reach the threshold: by its sizes for certain, by its estimate with
-    SLACK deviations to spare. Sets smaller than the buckets are left to the full check."""
+    SLACK deviations to spare. A set smaller than the buckets fills fewer registers on its own, which
+    widens the deviation; one that fills under a quarter goes to the full check unseen."""
     level = percent / 100
     least, most = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
-    near = estimate(equal, n_a, n_b) >= level - SLACK * (level * (1 - level) / BUCKETS) ** 0.5
-    return (100 * least >= percent * most) & (near | (least < BUCKETS))
+    own = 0.6 * np.minimum(least, BUCKETS)
+    near = estimate(equal, n_a, n_b) >= level - SLACK * (level * (1 - level) / own) ** 0.5
+    return (100 * least >= percent * most) & (near | (4 * least < BUCKETS))
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,13 +145,15 @@ def _promising(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(keep, "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold. Only texts that occur in a pair are read
-    out again; a text in many pairs is a skewed join key, which Spark splits."""
-    pairs = cut_lineage(pairs)
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut_lineage(texts.join(needed, "doc_id").mapInArrow(_sets, "node long, members binary"))
+def _read_out(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, members): the full sets of the given nodes, read out of the texts again. The nodes grow with
+    the corpus, so they are met by a merge at every size."""
+    return texts.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id").mapInArrow(_sets, "node long, members binary")
 
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold. A text in many pairs is a skewed join
+    key, which Spark splits."""
     def check(batches):
         for batch in batches:
             (one, at), (two, bt) = W.raw(batch.column(2)), W.raw(batch.column(3))
@@ -165,8 +170,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "s_a", "s_b").mapInArrow(check, "a long, b long").distinct()
 
 
-def _leftover(banded: DataFrame, nodes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs between components that share a band but were not met through its least text."""
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n, least): of each set its size and the leading 32 bits of its least SKETCH members."""
+    for batch in batches:
+        buf, at = W.raw(batch.column(1))
+        sets = [buf[x:y].view(np.uint64) for x, y in zip(at[:-1], at[1:], strict=True)]
+        short = [(s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(short, pa.binary())], ["node", "n", "least"])
+
+
+def _open_bands(banded: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (band, node, component, main, wide, deep) of bands that hold several components."""
     labelled = banded.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     sizes = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("held"))
     main = sizes.groupBy("band").agg(
@@ -176,10 +190,19 @@ def _leftover(banded: DataFrame, nodes: DataFrame, found: DataFrame, percent: in
         "band", F.col("top.component").alias("main"), F.ceil(F.col("total") / BLOCK).cast("long").alias("wide"),
         F.ceil((F.col("total") - F.col("top.held")) / BLOCK).cast("long").alias("deep"),
     )
-    rows = labelled.join(main, "band").join(nodes.select("node", "n", "regs"), "node")
+    return labelled.join(main, "band")
+
+
+def _leftover(rows: DataFrame, short: DataFrame, percent: int) -> DataFrame:
+    """Pairs between components that share a band and look alike by their short sets.
+
+    A band's rows outside its main component meet all its rows, in blocks of bounded size. A
+    block gives no more pairs than join its components, but for texts too long to be sure of.
+    """
+    rows = rows.join(short, "node")
     mine = F.pmod(F.xxhash64("node"), F.col("wide"))
     theirs = F.pmod(F.xxhash64("node"), F.col("deep"))
-    shape = ["band", "i", "j", "stray", "node", "component", "n", "regs"]
+    shape = ["band", "i", "j", "stray", "node", "component", "n", "least"]
     every = rows.select("*", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("deep") - 1)).alias("j"), F.lit(False).alias("stray"))
     stray = rows.where("component <> main").select("*", theirs.alias("j"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("i"), F.lit(True).alias("stray"))
     blocks = every.select(*shape).union(stray.select(*shape))
@@ -205,23 +228,72 @@ def _last_group(table: pa.Table) -> int:
     return int(np.flatnonzero(~same)[-1] + 1) if not same.all() else 0
 
 
+def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of ``one`` has in common with each of ``two``."""
+    flat = np.concatenate([*one, *two])
+    owner = np.repeat(np.arange(len(one) + len(two)), [len(s) for s in (*one, *two)])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    twice = np.zeros(len(flat) + 1, bool)
+    twice[1:-1] = flat[1:] == flat[:-1]
+    keep = twice[1:] | twice[:-1]  # a member of one set alone is shared with none
+    flat, owner = flat[keep], owner[keep]
+    column = np.cumsum(np.concatenate([[0], flat[1:] != flat[:-1]])) if len(flat) else flat
+    out = np.zeros((len(one), len(two)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+        a, b = np.searchsorted(column, [at, at + 8192])
+        held = np.zeros((len(one) + len(two), 8192), np.float32)
+        held[owner[a:b], column[a:b] - at] = 1
+        out += held[: len(one)] @ held[len(one) :].T
+    return out
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity estimated from the least members of two sets, up to where both are known."""
+    edge = min(a[-1] if len(a) >= SKETCH else 2**32, b[-1] if len(b) >= SKETCH else 2**32)
+    a, b = a[a <= edge], b[b <= edge]
+    both = len(np.intersect1d(a, b))
+    return both / max(1, len(a) + len(b) - both)
+
+
 def _meet_groups(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     table = table.combine_chunks()
     keys = [table.column(c).to_numpy() for c in (0, 1, 2)]
     new = np.ones(table.num_rows, bool)
     new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     stray, node, comp, n = (table.column(c).to_numpy(zero_copy_only=False) for c in (3, 4, 5, 6))
-    regs = _matrix(table.column(7))
+    buf, offs = W.raw(table.column(7))
+    sets = [buf[x:y].view(np.uint32) for x, y in zip(offs[:-1], offs[1:], strict=True)]
     starts = [*np.flatnonzero(new).tolist(), table.num_rows]
+    level = percent / 100
+    loose = level - SLACK * (level * (1 - level) / SKETCH) ** 0.5
+    found: list[tuple[int, int]] = []
     for at, end in zip(starts[:-1], starts[1:], strict=True):
-        others = np.arange(at, end)[~stray[at:end]]
-        for s in np.arange(at, end)[stray[at:end]]:
-            pick = others[comp[others] != comp[s]]
-            pick = pick[(100 * np.minimum(n[pick], n[s]) >= percent * np.maximum(n[pick], n[s]))]
-            if len(pick):
-                pick = pick[worth((regs[pick] == regs[s]).sum(1), n[pick], np.full(len(pick), n[s]), percent)]
-            if len(pick):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[pick], node[s])), pa.array(np.maximum(node[pick], node[s]))], ["a", "b"])
+        inside = np.arange(at, end)
+        ones, twos = inside[stray[at:end]], inside[~stray[at:end]]
+        if not len(ones) or not len(twos):
+            continue
+        both = _shared([sets[i] for i in ones], [sets[i] for i in twos])
+        sizes = (np.minimum.outer(n[ones], n[twos]) * 100 >= percent * np.maximum.outer(n[ones], n[twos])) & (comp[ones][:, None] != comp[twos][None, :])
+        whole = (n[ones][:, None] <= SKETCH) & (n[twos][None, :] <= SKETCH)
+        sure = sizes & whole & (100 * both >= percent * (n[ones][:, None] + n[twos][None, :] - both))
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        for i, j in zip(*np.nonzero(sure), strict=True):
+            x, y = root(comp[ones[i]]), root(comp[twos[j]])
+            if x != y:
+                joined[max(x, y)] = min(x, y)
+                found.append((node[ones[i]], node[twos[j]]))
+        for i, j in zip(*np.nonzero(sizes & ~whole & (both >= 0.4 * SKETCH)), strict=True):
+            if _alike(sets[ones[i]], sets[twos[j]]) >= loose:
+                found.append((node[ones[i]], node[twos[j]]))
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -244,15 +316,37 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     width = 2 * BAND
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width))))
     index = nodes.select("node", F.explode(bands).alias("band"))
-    shared = index.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    banded = cut_lineage(index.join(shared, "band").select("band", "node", "least"))
-
-    stars = banded.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut_lineage(_confirmed(_promising(stars, nodes, percent), texts, percent))
-    found = components(links)
-    rest = _confirmed(_leftover(banded.select("band", "node"), nodes, found, percent), texts, percent)
+    shared = index.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    met = cut_lineage(index.join(shared, "band"))
+    # the text with the most company in all its bands stands in the middle of its group
+    middle = met.groupBy("node").agg(F.sum("held").alias("company"))
+    pivot = met.join(middle, "node").groupBy("band").agg(F.max(F.struct("company", (-F.col("node")).alias("node"))).alias("top"))
+    pivot = pivot.select("band", (-F.col("top.node")).alias("pivot"))
+    banded = cut_lineage(met.select("band", "node").join(pivot, "band"))
+
+    stars = banded.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+    sets = cut_lineage(_read_out(texts, banded.select("node").distinct()))
+    links = cut_lineage(_confirmed(_promising(stars, nodes, percent), sets, percent))
+    rows_open = cut_lineage(_open_bands(banded.select("band", "node"), components(links)))
+    short = sets.join(rows_open.select("node").distinct(), "node").select("node", "members").mapInArrow(_least, "node long, n long, least binary")
+    pairs = _leftover(rows_open, short, percent)
+    rest = _confirmed(pairs, sets, percent)
     more = cut_lineage(links.select("a", "b").union(rest).union(copies))
     found = components(more)
     out = rows.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row for each component of near-duplicates.
+
+    Rows without a doc_id stay. Of rows that share a kept doc_id any one stays.
+    """
+    kept = near_duplicates(docs, percent).where("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows"))
+    kept = cut_lineage(kept)
+    key = docs["doc_id"].cast("long")
+    alone, shared = kept.where("__rows = 1 or __kept is null"), kept.where("__rows > 1 and __kept is not null")
+    single = docs.join(alone, key.eqNullSafe(alone["__kept"]), "left_semi")
+    several = docs.join(shared, key == shared["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(several)
