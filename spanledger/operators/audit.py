@@ -23,33 +23,34 @@ EXPORT_COLUMNS = (
     "cache_write_input_tokens", "metadata",
 )
 
-# a JSON string once its escapes are gone, with the colon that makes it a key
-JSON_STRING = r'"[^"]*"\s*:?'
+# a JSON string with its escapes, and the colon that makes it a key
+JSON_STRING = r'"(?:[^"\\]|\\.)*+"\s*:?'
 
 
-def _json_strings(metadata: Column) -> Column:
-    """Every JSON string at any depth; escapes count as the one character they mean."""
-    pairs = F.regexp_replace(
-        metadata, r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}", "x"
-    )
-    flat = F.regexp_replace(pairs, r"\\u[0-9a-fA-F]{4}|\\.", "x")
-    return F.regexp_extract_all(flat, F.lit(JSON_STRING), F.lit(0))
+def _unescaped(quoted: Column) -> Column:
+    """The characters a quoted JSON string stands for, by reading it as a one-element array."""
+    return F.get(F.from_json(F.concat(F.lit("["), quoted, F.lit("]")), "array<string>"), 0)
 
 
 def holds_document_text(metadata: Column) -> Column:
-    """True when a key at any depth is forbidden or any string is too long."""
-    strings = _json_strings(F.coalesce(metadata, F.lit("")))
+    """True when a key at any depth is forbidden or any string is too long, escapes decoded."""
+    strings = F.regexp_extract_all(F.coalesce(metadata, F.lit("")), F.lit(JSON_STRING), F.lit(0))
 
     def bad(s: Column) -> Column:
+        quoted = F.regexp_extract(s, r'(?s)^(".*")\s*:?$', 1)
+        bare = _unescaped(quoted)
         is_key = s.rlike(r":$")
-        bare = F.regexp_extract(s, '"([^"]*)"', 1)
-        return F.when(is_key, F.lower(bare).isin(*FORBIDDEN_KEYS)).otherwise(
-            F.length(bare) > MAX_TEXT
-        )
+        found = F.when(is_key, F.lower(bare).isin(*FORBIDDEN_KEYS)).otherwise(F.length(bare) > MAX_TEXT)
+        return F.coalesce(found, F.lit(True))  # a string that can't be read is refused
 
     return F.exists(strings, bad)
 
 
+def unreadable(metadata: Column) -> Column:
+    """True for metadata that is given but is no JSON object."""
+    return metadata.isNotNull() & F.try_parse_json(metadata).isNull() | F.coalesce(~metadata.rlike(r"^\s*\{"), F.lit(False))
+
+
 def judged(events: DataFrame) -> DataFrame:
     """Adds ``reason``: why the log refuses the event, NULL when it takes it."""
     llm = F.col("event_type") == "llm_invocation"
@@ -59,7 +60,8 @@ def judged(events: DataFrame) -> DataFrame:
 
     return events.withColumn(
         "reason",
-        F.when(holds_document_text(F.col("metadata_json")), "document_text")
+        F.when(unreadable(F.col("metadata_json")), "metadata_unreadable")
+        .when(holds_document_text(F.col("metadata_json")), "document_text")
         .when(llm & (empty("model") | empty("model_version")), "model_missing")
         .when(llm & ((F.col("input_tokens") < 0) | (F.col("output_tokens") < 0)), "negative_tokens"),
     )

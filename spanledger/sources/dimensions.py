@@ -16,33 +16,23 @@ PRICE_VERSIONS = (
 )
 CURRENT_PRICE_VERSION = "2026-Q4"
 
-# Millicents per token (input, output, cache read, cache write).
-# Model names are neutral; pass your own rows to price other models.
+# An example schedule with figures of its own, in millicents per token: input, output, cache read,
+# cache write, and the end of a promotion. Operators take any such rows.
 PRICES = (
-    ("2026-Q1", "model-small", 0.08, 0.40, 0.008, 0.10, None),
-    ("2026-Q1", "model-medium", 0.30, 1.50, 0.03, 0.375, None),
-    ("2026-Q1", "model-large", 1.50, 7.50, 0.15, 1.875, None),
-    ("2026-Q1", "embedding-small", 0.002, 0.0, 0.0, 0.0, None),
-    ("2026-Q2", "model-small", 0.07, 0.35, 0.007, 0.0875, None),
-    ("2026-Q2", "model-medium", 0.25, 1.25, 0.025, 0.3125, None),
-    ("2026-Q2", "model-large", 1.50, 7.50, 0.15, 1.875, None),
-    ("2026-Q2", "embedding-small", 0.002, 0.0, 0.0, 0.0, None),
-    ("2026-Q3", "model-small-4", 0.10, 0.50, 0.010, 0.125, None),
-    ("2026-Q3", "model-medium-5", 0.20, 1.00, 0.020, 0.250, None),
-    ("2026-Q3", "model-large-5", 0.50, 2.50, 0.050, 0.625, None),
-    ("2026-Q3", "embedding-small", 0.002, 0.0, 0.0, 0.0, None),
-    ("2026-Q4", "model-small-4", 0.10, 0.50, 0.010, 0.125, None),
-    ("2026-Q4", "model-medium-5", 0.20, 1.00, 0.020, 0.250, None),
-    ("2026-Q4", "model-large-5", 0.50, 2.50, 0.050, 0.625, None),
-    ("2026-Q4", "embedding-small", 0.002, 0.0, 0.0, 0.0, None),
-    ("2026-Q4", "flash-lite", 0.010, 0.040, 0.0025, 0.0, None),
-    ("2026-Q4", "flash", 0.030, 0.250, 0.0075, 0.0, None),
-    ("2026-Q4", "flash-next", 0.150, 0.900, 0.0375, 0.0, None),
-    ("2026-Q4", "pro-preview", 0.200, 1.200, 0.050, 0.0, None),
-    ("2026-Q4", "flash-promo", 0.075, 0.375, 0.01875, 0.0, "2026-12-31 23:59:59"),
+    ("2026-Q1", "model-small", 0.06, 0.18, 0.012, 0.09, None),
+    ("2026-Q1", "embedding-small", 0.004, 0.0, 0.0, 0.0, None),
+    ("2026-Q2", "model-small", 0.055, 0.165, 0.011, 0.08, None),
+    ("2026-Q3", "model-small-4", 0.05, 0.16, 0.01, 0.075, None),
+    ("2026-Q3", "model-medium-5", 0.14, 0.56, 0.028, 0.21, None),
+    ("2026-Q3", "embedding-small", 0.003, 0.0, 0.0, 0.0, None),
+    ("2026-Q4", "model-small-4", 0.05, 0.16, 0.01, 0.075, None),
+    ("2026-Q4", "model-medium-5", 0.13, 0.52, 0.026, 0.195, None),
+    ("2026-Q4", "model-large-5", 0.65, 2.6, 0.13, 0.975, None),
+    ("2026-Q4", "flash-lite", 0.015, 0.06, 0.003, 0.0, None),
+    ("2026-Q4", "flash-promo", 0.04, 0.24, 0.008, 0.0, "2026-12-31 23:59:59"),
 )
 
-# Short names and the model each stands for.
+# Short names and the model each stands for.
 MODEL_ALIASES = (
     ("model-small", "model-small-4"),
     ("model-medium", "model-medium-5"),

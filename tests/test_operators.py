@@ -375,7 +375,7 @@ def test_exact_model_id_beats_alias(spark):
     e = spark.createDataFrame([("2026-Q1", "model-small"), ("2026-Q4", "model-small"), ("2026-Q4", "nobody")], "price_version string, model_id string")
     e = e.withColumns({"input_tokens": F.lit(1000), "output_tokens": F.lit(0), "cache_read_input_tokens": F.lit(None).cast("int"), "cache_write_input_tokens": F.lit(0)})
     got = {(r.price_version, r.model_id): r.cost_millicents for r in usage.priced(e, dim.prices(spark), dim.model_aliases(spark)).collect()}
-    assert got == {("2026-Q1", "model-small"): 80, ("2026-Q4", "model-small"): 100, ("2026-Q4", "nobody"): None}
+    assert got == {("2026-Q1", "model-small"): 60, ("2026-Q4", "model-small"): 50, ("2026-Q4", "nobody"): None}
 
 
 def test_ontology_versions(spark):
@@ -469,3 +469,16 @@ def test_manifest(spark):
                               "doc_id string, filename string, s string, amendment_of string").withColumn("sha256", F.sha2("s", 256))
     got = {r.doc_id: r.status for r in docs.manifest_report(m, files).collect()}
     assert got == {"1": "ok", "2": "hash_differs", "3": "unknown_predecessor", "4": "missing_file"}
+
+
+def test_audit_keys_are_decoded_and_unreadable_metadata_is_refused(spark):
+    from spanledger.operators import audit
+
+    cases = {
+        r'{"\u0074ext":"a"}': "document_text", r'{"d":{"Bod\u0079":"a"}}': "document_text", '{"a":"text"}': None, '{"TEXT" : 1}': "document_text",
+        '{"a":[{"content":1}]}': "document_text", r'{"a":"b\"text\":"}': None, '{"a":"' + r"\u00e9" * 500 + '"}': None, '{"a":"' + r"\u00e9" * 501 + '"}': "document_text",
+        "{bad": "metadata_unreadable", "[1]": "metadata_unreadable", "": "metadata_unreadable", "{}": None, None: None,
+    }
+    rows = spark.createDataFrame([(m,) for m in cases], "metadata_json string").selectExpr(
+        "'data_access' as event_type", "'m' as model", "'1' as model_version", "0 as input_tokens", "0 as output_tokens", "metadata_json")
+    assert {r.metadata_json: r.reason for r in audit.judged(rows).collect()} == cases
