@@ -94,4 +94,25 @@ QUERIES: dict[str, Query] = {
     "op9_bottom_k_fingerprints": op9_bottom_k_fingerprints,
     "op10_context_mixed_token_files": op10_context_mixed_token_files,
 }
-ORACLES: dict[str, str] = {}
+_SETS = """
+    SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+      WHEN len(w) > 0 THEN ['=' || array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS s
+    FROM (SELECT {key}, list_filter(regexp_split_to_array({low}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM {table})"""
+_ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LOWER = "lower(coalesce(text, ''))"
+
+ORACLES: dict[str, str] = {
+    "op4_hyperminhash_near_duplicates": "WITH RECURSIVE sets AS (" + _SETS.format(key="doc_id", low=_ASCII, table="documents") + """)
+    , sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id)
+    , links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id
+      JOIN sizes m ON m.doc_id = a.doc_id JOIN sizes n ON n.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, m.n, n.n HAVING 100 * count(*) >= 75 * (m.n + n.n - count(*)))
+    , both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links)
+    , reach AS (SELECT DISTINCT x AS root, x AS node FROM both_ways UNION SELECT r.root, b.y FROM reach r JOIN both_ways b ON r.node = b.x)
+    , least AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+    SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(l.root, d.doc_id) AS component_id, coalesce(l.root, d.doc_id) = d.doc_id AS kept
+    FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.node = d.doc_id""",
+    "op5_benchmark_containment": "WITH held AS (" + _SETS.format(key="doc_id", low=_LOWER, table="documents") + "), items AS ("
+    + _SETS.format(key="item_id", low=_LOWER, table="benchmark") + """), sizes AS (SELECT item_id, count(*) AS q FROM items GROUP BY item_id)
+    SELECT doc_id, item_id, q AS item_shingles, count(*) AS shared, count(*) / CAST(q AS DOUBLE) AS containment
+    FROM held JOIN items USING (s) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, q HAVING 100 * count(*) >= 75 * q""",
+}
