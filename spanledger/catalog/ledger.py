@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from spanledger.catalog import query
@@ -181,18 +183,29 @@ def win_rate_admission(spark, sf):
     return quota.admissions(rate_requests(spark, sf))
 
 
+ADMIT_RATES = re.sub(r"\b(asked|nr|run)\b", r"\1_rate", ADMIT)
+
+
 @query("job_quota_refusals", with_parts("""
-    SELECT 'refusal-'||event_id AS event_id, tenant_id, 'authorization_failure' AS event_type, 'concurrent_limit_exceeded' AS action, occurred_at, 'user' AS actor_type,
-      'quota' AS scope, '{"active":'||CAST(active AS BIGINT)||',"max_concurrent":'||max_concurrent||',"reason":"concurrent ingestion limit"}' AS metadata_json
-    FROM (SELECT r.*, max_concurrent, (SELECT count(*) FROM requests x WHERE x.tenant_id = r.tenant_id AND (x.at_micros < r.at_micros OR (x.at_micros = r.at_micros AND x.event_id <= r.event_id))
-        AND x.until_micros > r.at_micros) AS active FROM requests r JOIN tenant_tiers USING (tenant_id)) WHERE active > max_concurrent""", "requests", "tenant_tiers"))
+    , asked AS (SELECT tenant_id, event_id, at_micros, until_micros, max_concurrent AS cap FROM requests JOIN tenant_tiers USING (tenant_id))
+    , asked_rate AS (SELECT tenant_id, event_id, at_micros, at_micros + 3600000000 AS until_micros, CAST(2 AS BIGINT) AS cap FROM requests)"""
+    + ADMIT + ADMIT_RATES + """
+    , refused AS (SELECT tenant_id, event_id, 'slot' AS gate, cap FROM run JOIN asked USING (tenant_id, event_id) WHERE NOT accepted
+      UNION ALL SELECT tenant_id, event_id, 'rate', cap FROM run_rate JOIN asked_rate USING (tenant_id, event_id) WHERE NOT accepted)
+    SELECT 'refusal-'||gate||'-'||event_id AS event_id, tenant_id, 'authorization_failure' AS event_type,
+      CASE gate WHEN 'slot' THEN 'concurrent_limit_exceeded' ELSE 'rate_limit_exceeded' END AS action, occurred_at, 'user' AS actor_type, 'quota' AS scope,
+      CASE gate WHEN 'slot' THEN '{"active":'||cap||',"max_concurrent":'||cap||',"reason":"concurrent ingestion limit"}'
+        ELSE '{"in_window":'||cap||',"rate_limit":'||cap||',"reason":"request rate limit"}' END AS metadata_json
+    FROM refused JOIN requests USING (tenant_id, event_id)""", "requests", "tenant_tiers"))
 def job_quota_refusals(spark, sf):
-    over = quota.concurrency(dt.slots(spark, sf), dt.tenant_tiers(spark, sf)).where("over_limit")
-    rows = over.withColumn("occurred_at", F.timestamp_micros("at_micros").cast("timestamp_ntz"))
-    return audit.refusals(
-        rows, "concurrent_limit_exceeded", F.lit("concurrent ingestion limit"), ["active", "max_concurrent"],
-        F.concat(F.lit("refusal-"), "event_id"),
-    )
+    """A gate refuses exactly when as many admitted requests hold as its limit allows."""
+    def refused(requests, gate, action, reason, held, limit):
+        out = quota.admissions(requests).where("not accepted").join(requests.select("tenant_id", "event_id", "at_micros", "cap"), ["tenant_id", "event_id"])
+        rows = out.withColumns({"occurred_at": F.timestamp_micros("at_micros").cast("timestamp_ntz"), held: F.col("cap"), limit: F.col("cap")})
+        return audit.refusals(rows, action, F.lit(reason), [held, limit], F.concat(F.lit(f"refusal-{gate}-"), "event_id"))
+
+    slots = refused(slot_requests(spark, sf), "slot", "concurrent_limit_exceeded", "concurrent ingestion limit", "active", "max_concurrent")
+    return slots.unionByName(refused(rate_requests(spark, sf), "rate", "rate_limit_exceeded", "request rate limit", "in_window", "rate_limit"))
 
 
 @query("job_audit_prune", with_parts("""
