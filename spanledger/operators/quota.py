@@ -92,86 +92,104 @@ def admit_rows(
 
 
 BLOCK = ["tenant_id", "block"]
+STATES = "tenant_id string, block bigint, came array<bigint>, held array<bigint>"
+TAKEN = "tenant_id string, event_id string, accepted boolean"
 
 
 def _fold(emit_rows: bool):
-    """Streams the sorted rows of a partition, block after block, with a bounded state."""
+    """Streams the sorted rows of a partition, block after block, with a bounded state.
+
+    A header row, which has no instant, hands in a state; a block without one goes on from the
+    block before it. Gives each row's admission, or what each block began and ended with.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
+        key, came, held = None, None, []
         for batch in batches:
             rows, states = [], []
             for block_key, part in batch.groupby(BLOCK, sort=False):
                 if block_key != key:
-                    if key is not None and not emit_rows:
-                        states.append((*key, sorted(held)))
-                    key, held = block_key, [int(x) for x in part["carry"].iloc[0]]
-                    heapq.heapify(held)
+                    if came is not None:
+                        states.append((*key, came, sorted(held)))
+                    key, came = block_key, None
+                heads = part["at_micros"].isna()
+                if heads.any():
+                    held = sorted(int(x) for x in part.loc[heads, "carry"].iloc[0])
+                    part = part[~heads]
+                if part.empty:
+                    continue
+                at = part["at_micros"].astype("int64").tolist()
+                if came is None:
+                    held = sorted(e for e in held if e > at[0])
+                    came = list(held)
                 taken, held = admit_rows(
-                    held, part["at_micros"].tolist(), part["until_micros"].tolist(),
-                    part["cap"].tolist(),
+                    held, at, part["until_micros"].astype("int64").tolist(),
+                    part["cap"].astype("int64").tolist(),
                 )
-                if emit_rows:
-                    rows.append(part[["tenant_id", "event_id"]].assign(accepted=taken))
+                rows.append(part[["tenant_id", "event_id"]].assign(accepted=taken))
             if emit_rows and rows:
                 yield pd.concat(rows)
-            elif states:
-                yield pd.DataFrame(states, columns=[*BLOCK, "held"])
-        if key is not None and not emit_rows:
-            yield pd.DataFrame([(*key, sorted(held))], columns=[*BLOCK, "held"])
+            elif states and not emit_rows:
+                yield pd.DataFrame(states, columns=[*BLOCK, "came", "held"])
+        if came is not None and not emit_rows:
+            yield pd.DataFrame([(*key, came, sorted(held))], columns=[*BLOCK, "came", "held"])
 
     return run
 
 
-def admissions(requests: DataFrame, block_micros: int = DAY) -> DataFrame:
+def admissions(requests: DataFrame, block_micros: int | None = None) -> DataFrame:
     """accepted per request, in the order (at_micros, event_id) of its tenant.
 
     ``requests``: tenant_id, event_id, at_micros, until_micros, cap. A request is
     accepted when fewer than ``cap`` accepted requests have until > at.
 
-    Admission is sequential per tenant, so a tenant's time is cut into blocks that
-    run in parallel. Each block first starts from nothing; blocks whose predecessor
-    hands over something else than assumed run again with it, until all agree. What
-    is handed over are at most ``cap`` instants per block.
+    Admission is sequential per tenant, so a tenant's requests are cut into blocks that run in
+    parallel: ranges of about equal numbers of rows, whatever time they span, or of
+    ``block_micros``. Each block first starts from nothing. Blocks whose predecessor hands over
+    something else than they began with run again in chains, and a chain may be twice as long in
+    each round. After round k the first 2^k blocks of a tenant are right for certain, so the
+    rounds grow with the logarithm of its blocks even if no block ever runs empty. Handed over are
+    at most ``cap`` instants per block, in one row.
     """
-    rows = cut_lineage(
-        requests.select("tenant_id", "event_id", "at_micros", "until_micros", "cap").withColumn(
-            "block", F.floor(F.col("at_micros") / block_micros)
-        )
-    )
+    rows = requests.select("tenant_id", "event_id", "at_micros", "until_micros", "cap")
+    if block_micros:
+        rows = rows.withColumn("block", F.floor(F.col("at_micros") / block_micros))
+    else:
+        ranges = rows.repartitionByRange("tenant_id", "at_micros", "event_id")
+        rows = ranges.withColumn("block", F.spark_partition_id().cast("bigint"))
+    rows = cut_lineage(rows)
     nothing = F.array().cast("array<bigint>")
-    starts = cut_lineage(rows.groupBy(*BLOCK).agg(F.min("at_micros").alias("first_at")))
-    carries = starts.select(*BLOCK, nothing.alias("carry"))
-
-    def folded(part: DataFrame, carry: DataFrame, emit_rows: bool, schema: str) -> DataFrame:
-        fed = part.join(carry, BLOCK)
-        ordered = fed.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "at_micros", "event_id")
-        return ordered.mapInPandas(_fold(emit_rows), schema)
+    in_order = Window.partitionBy("tenant_id").orderBy("block")
+    # one row for each block
+    blocks = rows.groupBy(*BLOCK).agg(F.min("at_micros").alias("first_at"))
+    blocks = cut_lineage(blocks.withColumn("place", F.row_number().over(in_order).cast("bigint") - 1))
+
+    def folded(part: DataFrame, heads: DataFrame, chain: list[str], schema: str) -> DataFrame:
+        fed = part.withColumn("carry", F.lit(None).cast("array<bigint>")).unionByName(
+            heads.select(*dict.fromkeys([*chain, "block", "carry"])),
+            allowMissingColumns=True,
+        )
+        order = [*chain, "block", F.col("at_micros").asc_nulls_first(), "event_id"]
+        fed = fed.repartition(*chain).sortWithinPartitions(*order)
+        return fed.mapInPandas(_fold(schema == TAKEN), schema)
 
-    state_schema = "tenant_id string, block bigint, held array<bigint>"
-    states = cut_lineage(folded(rows, carries, False, state_schema))
-    before = Window.partitionBy("tenant_id").orderBy("block")
+    states = cut_lineage(folded(rows, blocks.withColumn("carry", nothing), BLOCK, STATES))
+    width = 1
     while True:
-        handed = (
-            starts.join(states, BLOCK)
-            .withColumn("handed", F.coalesce(F.lag("held").over(before), nothing))
-            .select(*BLOCK, F.filter("handed", lambda e: e > F.col("first_at")).alias("carry"))
+        handed = blocks.join(states, BLOCK).withColumn(
+            "carry", F.filter(F.coalesce(F.lag("held").over(in_order), nothing), lambda e: e > F.col("first_at"))
         )
-        changed = cut_lineage(
-            handed.alias("n")
-            .join(carries.alias("o"), BLOCK)
-            .where(F.col("n.carry") != F.col("o.carry"))
-            .select(*BLOCK, F.col("n.carry").alias("carry"))
+        width *= 2
+        chain = F.floor(F.col("place") / width).alias("chain")
+        wrong = cut_lineage(
+            handed.where(F.col("carry") != F.col("came")).groupBy("tenant_id", chain)
+            .agg(F.min(F.struct("place", "block", "carry")).alias("first")).select("tenant_id", "chain", "first.*")
         )
-        if changed.isEmpty():
+        if wrong.isEmpty():
             break
-        redone = folded(
-            rows.join(changed.select(*BLOCK), BLOCK, "left_semi"), changed, False, state_schema
-        )
-        states = cut_lineage(
-            states.join(changed.select(*BLOCK), BLOCK, "left_anti").unionByName(redone)
-        )
-        carries = cut_lineage(
-            carries.join(changed.select(*BLOCK), BLOCK, "left_anti").unionByName(changed)
-        )
-    return folded(rows, carries, True, "tenant_id string, event_id string, accepted boolean")
+        again = blocks.select(*BLOCK, "place", chain).join(
+            wrong.select("tenant_id", "chain", F.col("place").alias("since")), ["tenant_id", "chain"]
+        ).where(F.col("place") >= F.col("since")).select(*BLOCK, "chain")
+        redone = folded(rows.join(again, BLOCK), wrong, ["tenant_id", "chain"], STATES)
+        states = cut_lineage(states.join(again, BLOCK, "left_anti").unionByName(redone))
+    return folded(rows, handed, BLOCK, TAKEN)

@@ -1,86 +1,77 @@
-"""Streams of ledger events and requests."""
+"""Streams of ledger events and requests.
 
-from __future__ import annotations
+Each function runs a stream to its end and returns a table. A micro-batch is reduced on its own and
+the reductions are merged, so late rows count where they belong and results do not depend on
+how files fall into micro-batches.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanledger.operators.quota import admit_rows
+from spanledger.operators import quota
+from spanledger.operators.ordered import first_per_key
+from spanledger.streaming.run import run_to_end
 
+EVENT = ["tenant_id", "event_id"]
+SUMS = ["event_count", "input_tokens", "output_tokens", "cost_millicents"]
 
-def dedupe(events: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Each (tenant, event id) once, however often it is delivered within the delay."""
-    return events.withWatermark("recorded_at", delay).dropDuplicatesWithinWatermark(
-        ["tenant_id", "event_id"]
-    )
 
+def dedupe(events: DataFrame) -> DataFrame:
+    """Each (tenant, event id) once, the first recorded, however often and late it is delivered."""
+    def once(rows: DataFrame) -> DataFrame:
+        return first_per_key(rows, EVENT, ["recorded_at"])
+
+    return run_to_end(events, once, once)
 
-def daily_usage(events: DataFrame, delay: str = "7 days") -> DataFrame:
+
+def _per_day(rows: DataFrame) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in SUMS]
+    return rows.groupBy("tenant_id", "day").agg(*sums)
+
+
+def daily_usage(events: DataFrame) -> DataFrame:
     """Usage per tenant and day of occurrence; late rows count in their own day."""
-    return (
-        events.withWatermark("occurred_at", delay)
-        .groupBy("tenant_id", F.window("occurred_at", "1 day").alias("w"))
-        .agg(
-            F.count(F.lit(1)).alias("event_count"),
-            F.sum("input_tokens").alias("input_tokens"),
-            F.sum("output_tokens").alias("output_tokens"),
-            F.sum("cost_millicents").alias("cost_millicents"),
-        )
-        .select("tenant_id", F.col("w.start").alias("day"), "event_count", "input_tokens",
-                "output_tokens", "cost_millicents")
-    )
+    def part(rows: DataFrame) -> DataFrame:
+        day = F.date_trunc("day", "occurred_at")
+        return _per_day(rows.withColumns({"day": day, "event_count": F.lit(1).cast("bigint")}))
 
+    return run_to_end(events, part, _per_day).select("tenant_id", "day", *SUMS)
 
-def spend_windows(events: DataFrame, tiers: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Spend per tenant in 30-day windows that slide by a day, and whether the cap is reached."""
+
+def spend_windows(events: DataFrame, tiers: DataFrame, days: int = 30) -> DataFrame:
+    """Spend per tenant in windows of ``days`` that slide by a day, and whether the cap is reached."""
+    daily = daily_usage(events)
+    first = F.expr(f"day - INTERVAL {days - 1} DAY")
+    starts = F.explode(F.sequence(first, F.col("day"), F.expr("INTERVAL 1 DAY")))
+    # only days are multiplied, never events
     spent = (
-        events.withWatermark("occurred_at", delay)
-        .groupBy("tenant_id", F.window("occurred_at", "30 days", "1 day").alias("w"))
+        daily.select("tenant_id", "cost_millicents", starts.alias("window_start"))
+        .groupBy("tenant_id", "window_start")
         .agg(F.sum("cost_millicents").alias("spent_millicents"))
     )
     return spent.join(tiers.select("tenant_id", "spend_cap_millicents"), "tenant_id").select(
         "tenant_id",
-        F.col("w.start").alias("window_start"),
-        F.col("w.end").alias("window_end"),
+        "window_start",
+        F.expr(f"window_start + INTERVAL {days} DAY").alias("window_end"),
         "spent_millicents",
         (F.col("spent_millicents") >= F.col("spend_cap_millicents")).alias("breach"),
     )
 
 
-ADMITTED = "tenant_id string, event_id string, at_micros bigint, accepted boolean"
-
-
-def _admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Admission of one tenant's rows of a micro-batch; the state holds at most cap instants."""
-    held, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
-    rows = pd.concat(list(batches)).sort_values(["at_micros", "event_id"])
-    if last is not None:
-        # rows older than what was already decided cannot be admitted any more
-        late = rows["at_micros"] < last
-    else:
-        late = pd.Series(False, index=rows.index)
-    on_time = rows[~late]
-    taken, held = admit_rows(
-        held, on_time["at_micros"].tolist(), on_time["until_micros"].tolist(), on_time["cap"].tolist()
-    )
-    if len(on_time):
-        last = int(on_time["at_micros"].iloc[-1])
-    state.update((held, last))
-    out = pd.concat([on_time.assign(accepted=taken), rows[late].assign(accepted=False)])
-    yield out.assign(tenant_id=key[0])[["tenant_id", "event_id", "at_micros", "accepted"]]
-
-
-def admissions(requests: DataFrame) -> DataFrame:
+def admissions(requests: DataFrame, until_micros: int | None = None) -> DataFrame:
     """Admission on a stream, for request rates and for slots alike.
 
-    ``requests`` as for the batch operator: tenant_id, event_id, at_micros,
-    until_micros, cap. What one task sees of a tenant is one micro-batch; the
-    trigger's file or byte limit bounds it.
+    ``requests`` as for the batch operator, delivered any number of times. An admission depends on
+    all earlier requests of its tenant, so requests are landed first and decided in order of time.
+    Decisions are final up to the instant up to which the feed is complete; ``until_micros``
+    names it, and requests from then on wait.
     """
-    return requests.groupBy("tenant_id").applyInPandasWithState(
-        _admit, ADMITTED, "held array<bigint>, last bigint", "append", GroupStateTimeout.NoTimeout
-    )
+    def once(rows: DataFrame) -> DataFrame:
+        return first_per_key(rows.select(*EVENT, "at_micros", "until_micros", "cap"), EVENT, ["at_micros"])
+
+    asked = run_to_end(requests, once, once)
+    if until_micros is not None:
+        asked = asked.where(F.col("at_micros") < until_micros)
+    return quota.admissions(asked)
