@@ -257,10 +257,9 @@ def fn_parse_answers(spark, sf):
 @query("fn_uuid5", with_parts("SELECT chunk_id, fact_id, assertion_id FROM assertions", "assertions"))
 def fn_uuid5(spark, sf):
     c, t = dt.chunks(spark, sf), F.col("tenant_id")
-    quote = F.substring("text", 1, 50)
-    spans = F.array(F.struct(F.lit(0).alias("start_offset"), F.length(quote).alias("end_offset"), quote.alias("quote")))
-    ids = c.select(t, "document_id", chunk_uuid(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"),
-                   fact_uuid(t, quote).alias("fact_id"), spans.alias("spans"))
+    quoted = c.select(t, "document_id", "chunk_index", F.explode(tx.sentence_spans(F.col("text"))).alias("span"))
+    ids = quoted.select(t, "document_id", chunk_uuid(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"),
+                        fact_uuid(t, F.col("span.quote")).alias("fact_id"), F.array("span").alias("spans"))
     return ids.select(
         "chunk_id", "fact_id",
         assertion_uuid(t, F.col("fact_id"), F.col("document_id"), F.col("chunk_id"), F.col("spans")).alias("assertion_id"),

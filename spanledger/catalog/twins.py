@@ -49,9 +49,13 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         {u5("CAST(chunk_index AS VARCHAR)", "unhex(replace(document_id,'-',''))")} AS chunk_id,
         CAST(len(list_filter(string_split(text,' '), lambda w: w <> '')) AS BIGINT) AS token_count
         FROM chunk_rows"""),
-    "ents0": (("chunks",), """SELECT tenant_id, doc_id, document_id, lang, chunk_id, chunk_index,
-        'Entity from chunk ' || chunk_index AS name, 0 AS start_offset,
-        least(length(text), 50) AS end_offset, substr(text, 1, 50) AS quote FROM chunks"""),
+    "sentences": (("chunks",), """SELECT *, list_sum(list_transform(pieces[1:k - 1], lambda x: length(x))) AS before, pieces[k] AS piece
+        FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS k FROM (SELECT *, regexp_extract_all(text, '[^.!?]+[.!?]*|[.!?]+') AS pieces FROM chunks))"""),
+    "ents0": (("sentences",), """SELECT tenant_id, doc_id, document_id, lang, chunk_id, chunk_index,
+        'Sentence of chunk ' || chunk_index AS name, start_offset, start_offset + length(trim(piece)) AS end_offset, trim(piece) AS quote
+        FROM (SELECT *, CAST(coalesce(before, 0) + length(piece) - length(ltrim(piece)) AS INTEGER) AS start_offset FROM sentences) WHERE trim(piece) <> ''"""),
+    "baseline": (("chunks",), f"""SELECT *, {u5("'entity:' || chunk_id || ':' || name || ':' || 0 || ':' || length(quote)")} AS entity_id
+        FROM (SELECT tenant_id, chunk_id, 'Entity from chunk ' || chunk_index AS name, substr(text, 1, 50) AS quote FROM chunks)"""),
     "ents": (("ents0",), f"""SELECT *, 'Unknown' AS entity_type,
         {u5("'entity:' || chunk_id || ':' || name || ':' || start_offset || ':' || end_offset")} AS entity_id
         FROM ents0"""),

@@ -141,6 +141,28 @@ def line_chunk_bounds(text: Column, max_chars: int = 4000) -> Column:
     return F.when(text == "", whole).otherwise(packed)
 
 
+# a sentence with its closing marks; the matches cover a text from end to end
+SENTENCE = "[^.!?]+[.!?]*|[.!?]+"
+
+
+def sentence_spans(text: Column) -> Column:
+    """start_offset, end_offset and quote of each sentence, without the blanks around it."""
+    pieces = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+    none = F.array().cast("array<struct<start_offset:int,end_offset:int,quote:string>>")
+
+    def step(acc: Column, piece: Column) -> Column:
+        start = acc["at"] + F.length(piece) - F.length(F.ltrim(piece))
+        quote = F.trim(piece)
+        span = F.struct(
+            start.alias("start_offset"), (start + F.length(quote)).alias("end_offset"), quote.alias("quote")
+        )
+        spans = F.when(quote == "", acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span)))
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), spans.alias("spans"))
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    return F.aggregate(pieces, start, step, lambda acc: acc["spans"])
+
+
 def slice_text(text: Column, bound: Column) -> Column:
     return F.substring(text, bound["start"] + 1, bound["end"] - bound["start"])
 

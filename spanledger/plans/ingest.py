@@ -8,15 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions.ids import assertion_uuid, fact_uuid, url_uuid5
-from spanledger.functions.text import locate_span, normalize_for_provenance, not_blank, strip
+from spanledger.functions.text import locate_span, normalize_for_provenance, not_blank, sentence_spans, strip
 from spanledger.operators import graph, ontology as onto
 from spanledger.operators.ordered import first_per_key, last_per_key
 from spanledger.session import cut_lineage
 from spanledger.sources.documents import paragraph_chunks
 
-# Fixed value: length of the quote the built-in extractor takes.
-QUOTE_CHARS = 50
-
 Extraction = tuple[DataFrame, DataFrame]
 Extractor = Callable[[DataFrame], Extraction]
 
@@ -31,22 +28,43 @@ def _edge_id(*parts: Column) -> Column:
     return url_uuid5("edge", *[p.cast("string") for p in parts])
 
 
-def baseline_extract(
+def sentence_extract(
     chunks: DataFrame, entity_type: str = "Unknown", edge_type: str = "RELATED_TO"
 ) -> Extraction:
-    """One entity and one self edge per chunk, quoting its first characters.
+    """One entity and one self edge per sentence of a chunk: the quotes are the whole text.
 
     Needs no model, so the whole pipeline can run and be checked offline.
     """
-    c = F.col
+    rows = chunks.select(
+        *PLACE,
+        "chunk_index",
+        F.concat(F.lit("Sentence of chunk "), F.col("chunk_index").cast("string")).alias("name"),
+        F.inline(sentence_spans(F.col("text"))),
+    )
+    return _quoted(rows, entity_type, edge_type)
+
+
+def baseline_extract(
+    chunks: DataFrame,
+    entity_type: str = "Unknown",
+    edge_type: str = "RELATED_TO",
+    quote_chars: int = 50,
+) -> Extraction:
+    """One entity and one self edge per chunk, quoting its first ``quote_chars`` characters."""
     rows = chunks.where(F.length("text") > 0).select(
         *PLACE,
         "chunk_index",
-        F.concat(F.lit("Entity from chunk "), c("chunk_index").cast("string")).alias("name"),
+        F.concat(F.lit("Entity from chunk "), F.col("chunk_index").cast("string")).alias("name"),
         F.lit(0).alias("start_offset"),
-        F.least(F.length("text"), F.lit(QUOTE_CHARS)).alias("end_offset"),
-        F.substring("text", 1, QUOTE_CHARS).alias("quote"),
+        F.least(F.length("text"), F.lit(quote_chars)).alias("end_offset"),
+        F.substring("text", 1, quote_chars).alias("quote"),
     )
+    return _quoted(rows, entity_type, edge_type)
+
+
+def _quoted(rows: DataFrame, entity_type: str, edge_type: str) -> Extraction:
+    """An entity and its self edge for each quoted span."""
+    c = F.col
     span = ["start_offset", "end_offset", "quote"]
     entities = rows.select(
         *PLACE,
@@ -97,7 +115,7 @@ def facts_of(entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def ingest(
-    documents: DataFrame, extractor: Extractor = baseline_extract, separator: str = "\n\n"
+    documents: DataFrame, extractor: Extractor = sentence_extract, separator: str = "\n\n"
 ) -> dict[str, DataFrame]:
     """All tables the documents give rise to, keyed by table name.
 

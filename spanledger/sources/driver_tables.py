@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanledger.functions.ids import url_uuid5
-from spanledger.functions.text import words
+from spanledger.functions.text import SENTENCE, words
 from spanledger.operators.usage import priced
-from spanledger.plans.ingest import baseline_extract, facts_of
+from spanledger.plans.ingest import facts_of, sentence_extract
 from spanledger.session import cut_lineage, spread
 from spanledger.sources import dimensions as dim
 from spanledger.sources.documents import paragraph_chunks
@@ -59,7 +59,7 @@ def provenance(spark: SparkSession, sf: str, stored: bool = False) -> dict[str,
     them: for jobs that read them many times.
     """
     c = cut_lineage(chunks(spark, sf)) if stored else chunks(spark, sf)
-    entities, edges = baseline_extract(c)
+    entities, edges = sentence_extract(c)
     if stored:
         entities = cut_lineage(entities)
     facts, assertions, spans = facts_of(entities)
@@ -544,7 +544,7 @@ def eval_predictions(spark: SparkSession, sf: str) -> DataFrame:
             ).alias("items"),
         )
 
-    first = F.substring("text", 1, 40)
+    first = F.regexp_extract("text", SENTENCE, 0)
     said_day = (
         F.when(F.col("toxic") == 1, F.lit("YYYY-MM-DD"))
         .when(good, F.date_format(day, "yyyy-MM-dd"))
