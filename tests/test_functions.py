@@ -265,3 +265,10 @@ def test_span_rules(spark):
         "c string, s int, e int, q string")
     got = df.select(tx.valid_span(F.col("s"), F.col("e"), F.col("q")), tx.valid_provenance(F.col("c"), F.col("s"), F.col("e"), F.col("q"))).collect()
     assert [tuple(r) for r in got] == [(True, True), (False, True), (False, False), (False, True), (True, False), (False, False)]
+
+
+@pytest.mark.parametrize("text", ["", " ", "One. Two", "... lead! Ünï ? tail  ", "no mark", " a.b  .c\n d", "x" * 60 + ". " + "y" * 70])
+def test_sentence_spans_hold_the_whole_text(one, text):
+    got = one([tx.sentence_spans(F.col("t")).alias("s")], t=text).s
+    assert all(text[s.start_offset : s.end_offset] == s.quote and s.quote.strip(" ") == s.quote != "" for s in got)
+    assert "".join(s.quote for s in got).replace(" ", "") == text.replace(" ", "")

@@ -285,14 +285,14 @@ def tables_of(spark, corpus):
 
 def test_shared_fact_lives_until_the_last_assertion(spark, corpus):
     t = tables_of(spark, corpus)
-    assert t["facts"].count() == 3 and t["assertions"].count() == 4
+    assert t["facts"].count() == 5 and t["assertions"].count() == 6
     assert rows(ingest.shared_facts(t), "n_documents") == [(2,), (2,)]
     first = t["documents"].orderBy("document_id").limit(1)
     after, gone = delete.delete_documents(t, first)
     report = delete.deletion_report(gone).first()
-    assert (report.n_chunks, report.n_assertions, report.n_facts, report.n_facts_kept) == (2, 2, 1, 1)
+    assert (report.n_chunks, report.n_assertions, report.n_facts, report.n_facts_kept) == (2, 3, 2, 1)
     assert report.facts_died and report.facts_survived
-    assert report.total_records_erased == 2 + 2 + 1 + 2 + 2 + 2  # chunks, assertions, facts, mentions, entities, edges
+    assert report.total_records_erased == 2 + 3 + 2 + 2 + 3 + 3  # chunks, assertions, facts, mentions, entities, edges
     live = provenance.live_facts(after["facts"], after["assertions"], after["spans"])
     assert live.where(F.col("claim").startswith("This very same")).count() == 1
     # nothing dangles after the erasure
@@ -300,7 +300,7 @@ def test_shared_fact_lives_until_the_last_assertion(spark, corpus):
                                           after["chunks"], after["edges"], after["entities"])
     assert bad.count() == 0
     empty, gone = delete.delete_documents(after, t["documents"])
-    assert delete.deletion_report(gone).first().n_facts == 2
+    assert delete.deletion_report(gone).first().n_facts == 3
     assert all(empty[n].count() == 0 for n in delete.ROW_IDS)
 
 
