@@ -7,6 +7,10 @@ whose CORE words occur in one document only are dropped; the others are sorted,
 follow and precede, and every suffix is compared with its neighbours from other documents: how far
 do both agree to the right, how far to the left? They are sorted twice, by what follows and by what
 precedes first, so that the neighbour that agrees longest on either side is met.
+
+A partner may be next in neither order. So suffixes whose windows of MIN_WORDS words do not all lie in the
+spans found, and all suffixes with the same cores, hash these windows: one that two documents hold is a span.
+Every window belongs to one suffix, at the least of its first runs, so that no repeated window is passed over.
 """
 
 from __future__ import annotations
@@ -28,14 +32,22 @@ CORE = MIN_WORDS - WINDOW + 1
 REACH = MIN_WORDS - CORE  # words looked at on either side of the core
 
 _SUFFIX = "core long, doc_id long, pos long, fore binary, back binary"
+_OPENED = _SUFFIX + ", low long, high long"  # the window begins low to high words before the core
 
 
-def _chosen(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and places of all minimisers of a piece with CORE words to their right."""
+def _least(words: np.ndarray) -> np.ndarray:
+    """For every word but the last, the place of the least of the WINDOW runs from there on; never falls."""
     grams = W.runs(words, GRAM)
     if len(grams) < WINDOW:
+        return np.zeros(0, np.int64)
+    return np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(1) + np.arange(len(grams) - WINDOW + 1)
+
+
+def _chosen(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and places of all minimisers of a piece with CORE words to their right."""
+    least = _least(words)
+    if not len(least):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(1) + np.arange(len(grams) - WINDOW + 1)
     row = np.searchsorted(first, np.arange(len(least)), "right") - 1
     inside = np.arange(len(least)) + WINDOW + GRAM - 1 <= first[row + 1]
     spots = np.unique(least[inside])
@@ -62,10 +74,14 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in W.pieces(batch):
             words, first = W.word_hashes(buf, offs)
             core = W.runs(words, CORE)
+            least = _least(words)
             short = (words >> np.uint64(32)).astype(">u4")
-            keys, docs, spots, fore, back = [], [], [], [], []
+            keys, docs, spots, fore, back, low, high = [], [], [], [], [], [], []
             for doc, a, b, wanted in zip(rows.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), rows.column(2).to_pylist(), strict=True):
-                for pos in wanted:
+                places = a + np.array(wanted, np.int64)
+                earliest = np.maximum(np.searchsorted(least, places, "left"), a).tolist()
+                latest = np.minimum(np.searchsorted(least, places, "right") - 1, b - MIN_WORDS).tolist()
+                for pos, early, late in zip(wanted, earliest, latest, strict=True):
                     at = a + pos
                     if at + CORE > b:
                         continue  # a place of another text under the same doc_id
@@ -74,12 +90,34 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     spots.append(pos)
                     fore.append(short[at + CORE : min(b, at + CORE + REACH)].tobytes())
                     back.append(short[max(a, at - REACH) : at][::-1].tobytes())
+                    low.append(at - late)
+                    high.append(at - early)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(docs, pa.int64()), pa.array(spots, pa.int64()), pa.array(fore, pa.binary()), pa.array(back, pa.binary())],
-                ["core", "doc_id", "pos", "fore", "back"],
+                [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(docs, pa.int64()), pa.array(spots, pa.int64()), pa.array(fore, pa.binary()), pa.array(back, pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())],
+                ["core", "doc_id", "pos", "fore", "back", "low", "high"],
             )
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash and place of every window of MIN_WORDS words that belongs to a suffix."""
+    for batch in batches:
+        core, doc, pos, low, high = (batch.column(i).to_numpy() for i in (0, 1, 2, 5, 6))
+        after, before = _sums(batch.column(3), W._SLOTS[:REACH]), _sums(batch.column(4), W._SLOTS[REACH : 2 * REACH])
+        for k in range(REACH + 1):
+            here = np.flatnonzero((low <= k) & (k <= high))
+            total = core[here].view(np.uint64) * W._SLOTS[-1] + after[here, REACH - k] + before[here, k] + np.uint64(k)
+            yield pa.RecordBatch.from_arrays([pa.array(W.finish(total).view(np.int64)), pa.array(doc[here]), pa.array(pos[here] - k)], ["window", "doc_id", "start"])
+
+
+def _sums(column: pa.Array, slots: np.ndarray) -> np.ndarray:
+    """Per entry the hashes of its first 0, 1, ... REACH words; counts on after its end are not to be used."""
+    buf, offs = W.raw(column)
+    held = np.zeros((len(offs) - 1, REACH + 1), np.uint64)
+    held[:, 1:][np.arange(REACH) < (np.diff(offs) // 4)[:, None]] = buf.view(np.uint32)
+    held[:, 1:] *= slots
+    return np.cumsum(held, 1, dtype=np.uint64)
+
+
 def _agreement(column: pa.Array, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """How many leading words the entries at ``one`` and ``two`` share."""
     buf, offs = W.raw(column)
@@ -173,8 +211,27 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     cores = cut_lineage(texts.mapInArrow(_cores, "core long, doc_id long, pos long"))
     common = cores.groupBy("core").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("core")
     places = cores.join(common, "core").groupBy("doc_id").agg(F.collect_set("pos").alias("wanted"))  # bounded by the document
-    suffixes = cut_lineage(texts.join(places, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_around, _SUFFIX))
-    spans = _spans(suffixes, "fore", "back").union(_spans(suffixes, "back", "fore")).distinct()
+    suffixes = cut_lineage(texts.join(places, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_around, _OPENED))
+    narrow = suffixes.drop("low", "high")
+    spans = cut_lineage(_spans(narrow, "fore", "back").union(_spans(narrow, "back", "fore")).distinct())
+    return _merged(spans.union(_unmet(suffixes, spans)))
+
+
+def _unmet(suffixes: DataFrame, spans: DataFrame) -> DataFrame:
+    """Windows of MIN_WORDS words that two documents hold and ``spans`` may lack."""
+    found = _merged(spans).groupBy("doc_id").agg(F.collect_list(F.struct("first_word", (F.col("first_word") + F.col("n_words")).alias("end"))).alias("found"))  # bounded by the document
+    asked = suffixes.where("low <= high").select("core", "doc_id", "pos", "low", "high").join(found, "doc_id", "left")
+    inside = F.exists("found", lambda f: (f["first_word"] <= F.col("pos") - F.col("high")) & (F.col("pos") - F.col("low") + MIN_WORDS <= f["end"]))
+    opened = cut_lineage(asked.where(~F.coalesce(inside, F.lit(False))).select("core", "doc_id", "pos"))
+    form = "window long, doc_id long, start long"
+    held = suffixes.join(opened.select("core").distinct(), "core", "left_semi").select(suffixes.columns).mapInArrow(_windows, form)
+    common = held.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window")
+    mine = suffixes.join(opened, ["core", "doc_id", "pos"], "left_semi").select(suffixes.columns).mapInArrow(_windows, form)
+    return mine.join(common, "window", "left_semi").select("doc_id", "start", F.lit(MIN_WORDS).cast("long").alias("words")).distinct()
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Spans that touch or overlap as one row: (doc_id, first_word, n_words)."""
     order = Window.partitionBy("doc_id").orderBy("start", "words")
     reach = F.max(F.col("start") + F.col("words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     begun = spans.withColumn("fresh", F.coalesce(F.col("start") > reach, F.lit(True)).cast("long"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import os
+import random
 import re
 import zlib
 
@@ -161,6 +162,25 @@ def test_repeats(docs, rows):
     assert want and {tuple(r) for r in repeats.repeated_passages(docs).collect()} == want
 
 
+def test_repeats_with_partners_next_in_neither_order(spark):
+    """A passage shorter than MIN_WORDS with mixed heads and tails around it, as in templates."""
+    rnd = random.Random(4)
+    core = [f"c{i}" for i in range(36)]
+    heads, tails = ([[f"{k}{i}x{j}" for j in range(rnd.randint(0, 14))] for i in range(12)] for k in "ht")
+    texts = [(d, [f"a{d}x{i}" for i in range(5)] + rnd.choice(heads) + core + rnd.choice(tails) + [f"z{d}x{i}" for i in range(5)]) for d in range(150)]
+    held = collections.defaultdict(set)
+    for d, w in texts:
+        for i in range(len(w) - 49):
+            held[tuple(w[i : i + 50])].add(d)
+    want = set()
+    for d, w in texts:
+        begins = [i for i in range(len(w) - 49) if len(held[tuple(w[i : i + 50])]) > 1]
+        if begins:  # all of them overlap in the core
+            want.add((d, begins[0], begins[-1] + 50 - begins[0]))
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in texts], "doc_id long, text string")
+    assert len(want) > 20 and {tuple(r) for r in repeats.repeated_passages(table).collect()} == want
+
+
 def test_packing(docs, rows):
     enc = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json")).tokenizer
     ids = {d: enc.encode(t, add_special_tokens=False).ids + [1] for d, t in rows}
