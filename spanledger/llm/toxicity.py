@@ -53,7 +53,7 @@ def _learn(texts: pa.Array, toxic: np.ndarray, share: np.ndarray) -> R.Params |
     if len(set(toxic.tolist())) < 2:
         return None
     buf, offs = W.raw(texts)
-    hashes, begin, end, first = R.inputs(buf, offs)
+    hashes, begin, end, first, text = R.inputs(buf, offs)
     doc = np.repeat(np.arange(len(toxic)), np.diff(first))
     # words by how much more often toxic documents hold them, in standard deviations
     distinct = np.unique(np.stack([doc.astype(np.uint64), hashes], 1), axis=0)
@@ -82,7 +82,7 @@ def _learn(texts: pa.Array, toxic: np.ndarray, share: np.ndarray) -> R.Params |
         other = other[np.append(np.flatnonzero(np.diff(row[other])), len(other) - 1)] if len(other) else other
         pick = np.concatenate([best[last], other[toxic[row[other]] == 0]])
         spot = np.minimum(start[pick][:, None] + np.arange(R.LENGTH), len(word) - 1)
-        R.train(p, word[spot], begin[spot], end[spot], size[pick], toxic[row[pick]].astype(np.float32), epochs, seed=k + 1)
+        R.train(p, word[spot], begin[spot], end[spot], size[pick], toxic[row[pick]].astype(np.float32), text, spot, epochs, seed=k + 1)
     p["final"] = _fit(_expand(R.evidence(p, buf, offs)[3]), toxic.astype(float), share)
     return p
 

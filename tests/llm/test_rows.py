@@ -137,3 +137,40 @@ def test_network_gradient_is_the_slope():
         down = loss()
         flat[i] = was
         assert abs((up - down) / (2 * step) - g[name].reshape(-1)[i]) < 2e-3, name
+
+
+@pytest.mark.parametrize("shape", ["internationali{}ation", "a" * 40 + "{}" + "b" * 40, "这是一个很长的{}句子没有空格", "one_two_{}_three", "one/two-{}-three", "one two {} three", "<p class=a>{}</p><hr>", "มีคำ{}ยาวมากๆ"])
+def test_network_reads_every_character(shape):
+    p = recurrent.fresh(np.arange(5, dtype=np.uint64))
+    buf, offs = W.raw(pa.array([shape.format(c) for c in "zk坏好"]))
+    logits = recurrent.evidence(p, buf, offs)[2]
+    assert len(set(logits.tolist())) == 4
+    low, starts, ends = recurrent.inputs(buf, offs)[4]
+    inside = np.zeros(len(low) + 1, np.int64)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, ends, -1)
+    assert b"".join(bytes([c]) for c, n in zip(low, np.cumsum(inside), strict=False) if n) == re.sub("[  ]", "", buf.tobytes().decode()).lower().encode()
+
+
+def test_network_gradient_of_bytes_is_the_slope():
+    rng = np.random.default_rng(0)
+    p = {k: v if k == "vocabulary" else v.astype(np.float64) for k, v in recurrent.fresh(np.arange(5, dtype=np.uint64)).items()}
+    buf, offs = W.raw(pa.array(["some words to be read by it and 词语 too"]))
+    words, begin, end, first, text = recurrent.inputs(buf, offs)
+    spot = rng.integers(0, first[-1], (4, 3))
+    word, mask, label = np.zeros((4, 3), np.int64), np.arange(4)[:, None] < np.array([4, 2, 3]), np.array([1.0, 0, 1])
+    found = recurrent.grams(text, spot.ravel())
+
+    def loss():
+        body = recurrent.bodies(p["gram"], text, 0, int(first[-1])).astype(float)[spot]
+        x = np.concatenate([p["word"][word], p["char"][begin[spot]] + p["char"][end[spot]] + body], 2)
+        z, _ = recurrent.forward(p, {s: x @ p["x" + s] + p["c" + s] for s in "fb"}, mask)
+        return float(np.mean(np.log1p(np.exp(z)) - label * z))
+
+    g = recurrent._gradient(p, word, begin[spot], end[spot], mask, label, found)["gram"].reshape(-1)
+    flat, i = p["gram"].reshape(-1), int(np.abs(g).argmax())
+    was, slope = flat[i], []
+    for step in (1e-2, -1e-2):
+        flat[i] = was + step
+        slope.append(loss() / 2e-2)
+    assert abs(g[i]) > 1e-5 and abs(slope[0] - slope[1] - g[i]) < 1e-2 * abs(g[i]) + 1e-5
