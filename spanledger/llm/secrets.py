@@ -22,6 +22,7 @@ BASE = ("assign", "access", "hex")
 ADDED = ("literal", "constant")
 KINDS = BASE + ADDED
 SCORE = 1.0  # a pair counts from here on
+SHORT = 8  # characters below which a literal's form says nothing and its name alone counts
 
 # How far a word in a name points to a secret.
 WORDS = {
@@ -36,11 +37,13 @@ _bare = re.compile(r"\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _access = re.compile("AKIA[A-Z0-9]{16,}")
 _hex = re.compile("[0-9a-f]{24,}")
 _name = re.compile(r"([A-Za-z_][A-Za-z0-9_.\-]{0,127})[\"']?[ \t]*\Z", re.A)
-_quoted = re.compile(r"[ \t]*[>]?[ \t]*(?:\"((?:[^\"\\\n]|\\.){0,4096})\"|'((?:[^'\\\n]|\\.){0,4096})')")
-_word = re.compile(r"[ \t]*([^\s\"',;{}()\[\]]{1,4096})")
+_quoted = re.compile(r"[ \t]*+>?+[ \t]*+(?:\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)')")
+_blanks = re.compile(r"[ \t]*+")
+_word = re.compile(r"[^\s\"',;{}()\[\]]++")
 _identifier = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z", re.A)
 _parts = re.compile("[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_stand_in = re.compile(r"(?i)(?:your|my|the|some|example|changeme|dummy|xxx|todo|none|null|true|false|\$|<|%)")
+_stand_in = re.compile(r"(?i)(?:(?:your|my|the|some|example|changeme|dummy|xxx+|todo|none|null|true|false)(?![a-z0-9])|\$|<|%)")
+_type = re.compile(r"(?i)(?:str|string|int|bytes|bool|any|object)\Z")  # bare after a colon it declares the name
 REACH = 160  # code points to the left of an operator in which its name must lie
 
 
@@ -52,13 +55,39 @@ def sensitivity(name: str) -> float:
 
 def keyness(literal: str) -> float:
     """How far a literal looks like a key: 0 for short or wordy ones, up to 1."""
-    if len(literal) < 8 or " " in literal or _stand_in.match(literal):
+    if len(literal) < SHORT or " " in literal or _stand_in.match(literal):
         return 0.0
-    kinds = sum(bool(re.search(k, literal)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    kinds = sum(bool(re.search(k, literal)) for k in _KINDS)
     spread = -sum(n / len(literal) * math.log2(n / len(literal)) for n in Counter(literal).values())
+    return _keyness(kinds, spread)
+
+
+_KINDS = ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")
+
+
+def _keyness(kinds: int, spread: float) -> float:
     return min(1.0, spread / 4) * (0.4 + 0.2 * kinds)
 
 
+def _endings(text: str, starts: list[int], end: int) -> dict[tuple[int, int], float]:
+    """``keyness`` of bare literals that all end at ``end``, in one pass from there to the first start."""
+    out: dict[tuple[int, int], float] = {}
+    held: Counter[str] = Counter()
+    kinds: set[str] = set()
+    total, at = 0.0, end  # total: the sum of n * log2(n) over the characters' counts
+    for start in sorted(set(starts), reverse=True):
+        for c in text[start:at]:
+            n = held[c]
+            if not n:
+                kinds.add(next(k for k in _KINDS if re.match(k, c)))
+            held[c] = n + 1
+            total += (n + 1) * math.log2(n + 1) - (n * math.log2(n) if n else 0.0)
+        at, size = start, end - start
+        plain = size < SHORT or _stand_in.match(text, start, end)
+        out[start, end] = 0.0 if plain else _keyness(len(kinds), math.log2(size) - total / size)
+    return out
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as listed in KINDS.
 
@@ -68,7 +97,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     """
     found = [("access", *m.span()) for m in _access.finditer(text)]
     found += [("hex", *m.span()) for m in _hex.finditer(text)]
-    floor = 0
+    floor = ended = 0  # ended: where the last bare run of characters does
     pairs: list[tuple[str, int, int, bool]] = []
     for op in _operator.finditer(text):
         at = op.start()
@@ -93,8 +122,12 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             if literal:
                 which = 1 if literal.group(1) is not None else 2
                 pairs.append((name.group(1), *literal.span(which), True))
-            elif literal := _word.match(text, at + 1):
-                pairs.append((name.group(1), *literal.span(1), False))
+            else:
+                start = _blanks.match(text, at + 1).end()
+                if start >= ended and (literal := _word.match(text, start)):
+                    ended = literal.end()
+                if start < ended:
+                    pairs.append((name.group(1), start, ended, False))
     if pairs:
         found += _scored(text, pairs, found)
     rank = {k: i for i, k in enumerate(KINDS)}
@@ -114,17 +147,35 @@ def _scored(text: str, pairs: list[tuple[str, int, int, bool]], base: list[tuple
         i = bisect_right(starts, start)
         return i > 0 and ends[i - 1] >= end
 
-    constants: dict[str, tuple[int, int]] = {}
+    bare: dict[int, list[int]] = {}
+    for _, start, end, quoted in pairs:
+        if not quoted:
+            bare.setdefault(end, []).append(start)
+    forms: dict[tuple[int, int], float] = {}
+
+    def form(start: int, end: int) -> float:
+        if (start, end) not in forms:
+            forms.update(_endings(text, bare[end], end) if start in bare.get(end, ()) else {(start, end): keyness(text[start:end])})
+        return forms[start, end]
+
+    def counts(weight: float, start: int, end: int, quoted: bool) -> bool:
+        if end - start >= SHORT:
+            key = form(start, end)
+            return weight + key >= SCORE and key > 0.3
+        literal = text[start:end]
+        plain = not literal or " " in literal or _stand_in.match(literal) or (not quoted and _type.match(literal))
+        return weight >= SCORE and not plain
+
+    constants: dict[str, tuple[int, int, bool]] = {}
     out: dict[tuple[int, int], str] = {}
     for name, start, end, quoted in pairs:
-        value, kind = (start, end), "literal"
+        value, kind = (start, end, quoted), "literal"
         if not quoted and _identifier.match(text, start, end) and text[start:end] in constants:
             value, kind = constants[text[start:end]], "constant"
         constants[name] = value
         weight = sensitivity(name)
-        if weight and weight + keyness(text[value[0] : value[1]]) >= SCORE + 0.5 and not covered(*value):
-            if keyness(text[value[0] : value[1]]) > 0.3:
-                out.setdefault(value, kind)
+        if weight and not covered(*value[:2]) and counts(weight, *value):
+            out.setdefault(value[:2], kind)
     return [(kind, *value) for value, kind in out.items()]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,36 @@ def test_constants_reach_sensitive_names():
     assert [(k, t[a:b]) for k, a, b in secrets.spans(t)] == [("constant", "Zx9$kLm2Qw8!pR"), ("literal", "aB3xY9zQ1w7K")]
 
 
+@pytest.mark.parametrize("line", ["ssh_key = 'q7x2m9d4k8w1z5t3'", "session_key = 'q7x2m9d4k8w1z5t3'", "auth = 'q7x2m9d4k8w1z5t3'", "pwd = 'hunter2'", "pwd = hunter2",
+    "pwd = 'My9fK2x7Qw81'", "pwd = 'theX72mKq901'", "pwd = 'None7xK2m9Qz'", "pwd = 'x7Kq" + "aZ3-" * 2500 + "'", "pwd = x7Kq" + "aZ3-" * 2500])
+def test_secrets_of_sensitive_names(line):
+    value = line.split(" = ")[1].strip("'")
+    assert [(k, line[a:b]) for k, a, b in secrets.spans(line)] == [("literal", value)]
+
+
+def test_secrets_pass_over_placeholders():
+    for t in ("pwd = 'my_password'", "pwd = 'changeme'", "pwd = ''", "pwd = None", "pwd = 'xxxxxxxxxx'", "def f(pwd: str):", "pwd = '$HOME_DIR_X'", "colour = 'q7x2m9d4k8w1z5t3'"):
+        assert secrets.spans(t) == []
+
+
+def test_secrets_endings_equal_the_whole_literals():
+    for t in texts("abcXY019-._=: pwdkey", 2000, 60):
+        starts = list(range(len(t.replace(" ", ""))))
+        t = t.replace(" ", "")
+        got = secrets._endings(t, starts, len(t))
+        assert all(abs(got[s, len(t)] - secrets.keyness(t[s:])) < 1e-9 for s in starts)
+
+
+def test_secrets_cost_grows_with_the_length():
+    for form in ("pwd=", "auth:'", 'key="\\', "salt= "):
+        spent = []
+        for n in (3_000, 12_000):
+            began = time.process_time()
+            secrets.spans(form * n)
+            spent.append(time.process_time() - began)
+        assert spent[1] < 10 * spent[0] + 0.1
+
+
 @pytest.mark.parametrize("block", [1, 7, 2048])
 def test_codec_round_trip(block):
     rng = np.random.default_rng(1)
