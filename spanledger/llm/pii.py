@@ -2,7 +2,8 @@
 
 One Aho-Corasick pass over a text finds anchors: at-signs, ``://``, plus signs, digit-dot-digit,
 pairs of digits of a possible card number and cue words of identifiers. A local parser per anchor
-expands it left and right to its longest form and validates it. All parsers use ASCII classes and
+expands it left and right to its longest form and validates it. Two capitals and two digits that begin
+a word are the anchors of IBANs, wherever they stand. All parsers use ASCII classes and
 step over each character a bounded number of times, so a text costs time in proportion to its length.
 """
 
@@ -23,7 +24,7 @@ KINDS = BASE + ADDED
 MARKS = {k: f"[{k.upper()}]" for k in KINDS}
 
 # Words that announce an identifier.
-CUES = ("iban", "account", "acct", "passport", "ssn", "customer id", "member id", "tax id")
+CUES = ("account", "acct", "passport", "ssn", "customer id", "member id", "tax id")
 
 _local = re.compile(r"[A-Za-z0-9._%+-]")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,7 +34,8 @@ _dialled = re.compile(r"\+[0-9][ ().0-9-]*")
 _rest = re.compile(r"[^\x00-\x20\"'<>\\^`{|}]+")
 _host = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}|localhost|[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 _scheme = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*")
-_iban = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_country = re.compile(r"[A-Z][A-Z][0-9][0-9](?:(?<![A-Z0-9][A-Z]{2}[0-9]{2})|(?<=IBAN[A-Z]{2}[0-9]{2}))")
+_group = re.compile(r" ?([A-Z0-9]{1,4})(?![A-Za-z0-9])| ?([A-Z0-9]{4})")
 _told = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|#))?\s*[:=#]?\s*([0-9A-Z][0-9A-Z -]{4,30}[0-9A-Z])", re.A)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
@@ -53,7 +55,7 @@ def anchors() -> ahocorasick.Automaton:
                 found.add_word(f"{a}{sep}{b}", ("card", width))
     for cue in CUES:
         for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            found.add_word(form, ("iban" if cue == "iban" else "account", len(form) - 1))
+            found.add_word(form, ("account", len(form) - 1))
     found.make_automaton()
     return found
 
@@ -128,16 +130,25 @@ def url(text: str, at: int, floor: int) -> tuple[int, int, bool] | None:
     return scheme.start(), at + 3 + len(form), bool(_host.fullmatch(host))
 
 
-def account(text: str, end: int, kind: str) -> tuple[str, int, int] | None:
-    """After a cue word: an account number with the right check digits, or else six or more digits."""
-    if kind == "iban":
-        told = _iban.search(text, end, min(len(text), end + 60))
-        if told:
-            plain = told.group().replace(" ", "")
-            turned = "".join(str(int(c, 36)) for c in plain[4:] + plain[:4])
-            if 15 <= len(plain) <= 34 and int(turned) % 97 == 1:
-                return "iban", told.start(), told.end()
-        return None
+def iban(text: str, start: int) -> int | None:
+    """The end of the longest IBAN that begins at ``start``: groups of four and a last one, right check digits."""
+    ends, at, size = [], start + 4, 4
+    while size < 34 and (group := _group.match(text, at)):
+        at = group.end()
+        size += len(group.group(1) or group.group(2))
+        if group.group(1) and 15 <= size <= 34:
+            ends.append(at)
+        if size % 4:  # a shorter group is the last
+            break
+    for end in reversed(ends):
+        plain = text[start:end].replace(" ", "")
+        if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+            return end
+    return None
+
+
+def account(text: str, end: int) -> tuple[str, int, int] | None:
+    """After a cue word: six or more digits."""
     told = _told.match(text, end)
     if told and sum(c in _DIGIT for c in told.group(1)) >= 6 and not re.search("[A-Z]{4}", told.group(1)):
         return "account", told.start(1), told.end(1)
@@ -155,8 +166,8 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     found: dict[str, list[tuple[str, int, int]]] = {k: [] for k in KINDS}
     floor = dict.fromkeys(KINDS, 0)
     for last, (kind, back) in anchors().iter(text):
-        if kind in ("iban", "account"):
-            form = account(text, last + 1, kind)
+        if kind == "account":
+            form = account(text, last + 1)
             if form and form[1] >= floor[form[0]]:
                 found[form[0]].append(form)
                 floor[form[0]] = form[2]
@@ -177,6 +188,10 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 found[kind].append((kind, form[0], form[1]))
         elif kind == "ip":  # too short a chain: none of its numbers can begin another
             floor[kind] = _dotted.match(text, _left(text, at, low, _DIGIT)).end()
+    for anchor in _country.finditer(text):
+        if anchor.start() >= floor["iban"] and (end := iban(text, anchor.start())):
+            found["iban"].append(("iban", anchor.start(), end))
+            floor["iban"] = end
     return [s for k in KINDS for s in found[k]]
 
 

@@ -48,6 +48,19 @@ def test_personal_data_added_and_masked():
     assert pii.masked("mail me@here.org now") == "mail [EMAIL] now" and pii.masked("nothing here") == "nothing here"
 
 
+def test_ibans_stand_anywhere():
+    good = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947", "PL61 1090 1014 0000 0712 1981 2874", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "FR1420041010050500013M02606"]
+    for form in ("IBANs: {}.", "no cue {}", "IBAN of the account that we told you about in our letter of last week, please: {}", "IBAN DE00 3704 0044 0532 0130 00, {}", "IBAN: " + "x" * 50 + " {} NEXT WORD", "IBAN{}"):
+        for parts in ([g] for g in good):
+            t = form.format(", ".join(parts))
+            assert [t[a:b] for k, a, b in pii.spans(t) if k == "iban"] == parts
+        t = form.format(", ".join(good))
+        assert [t[a:b] for k, a, b in pii.spans(t) if k == "iban"] == good
+    for t in ("DE88 3704 0044 0532 0130 00", "XDE89370400440532013000", "DE89370400440532013000x", "DE89", "DE89 3704"):
+        assert not [s for s in pii.spans(t) if s[0] == "iban"]
+    assert pii.masked("IBANs: " + ", ".join(good[:3])) == "IBANs: [IBAN], [IBAN], [IBAN]"
+
+
 def test_secrets_equal_the_patterns():
     pool = ["token", "secret", "Password", "api_key", "APIKEY", "=", ":", " ", "'", '"', "ab", "12", "abcdef", " " * 200, "AKIA", "ABCD1234EFGH5678",
             "0123456789abcdef", "\n", "é", "x.", "ſecret"]
