@@ -395,7 +395,8 @@ def align(labels: DataFrame, predictions: DataFrame, texts: DataFrame) -> DataFr
 
 def side_by_side(rows: DataFrame) -> DataFrame:
     """Report rows: the label and the prediction at each position, normalised, with the
-    in-text flag; the shorter side is NULL."""
+    in-text flag; the shorter side is NULL. Every party of a label cell is a label of its own;
+    labels without a name, a jurisdiction or a date in them are left out."""
     cat = F.col("category")
     answers = F.coalesce("answers", F.array().cast(STRINGS))
     items = F.coalesce("items", F.array().cast(ITEM))
@@ -408,7 +409,15 @@ def side_by_side(rows: DataFrame) -> DataFrame:
             .otherwise(normalize_ws(text))
         )
 
-    zipped = F.arrays_zip(answers.alias("label"), items.alias("item"))
+    names = F.transform(F.flatten(F.transform(answers, lambda a: F.split(a, ";"))), lambda n: N.party_name(n))
+    laws, days = F.transform(answers, lambda a: N.jurisdiction(a)), F.transform(answers, lambda a: N.calendar_date(a))
+    labels = (
+        F.when(cat == "Parties", F.filter(names, lambda n: n != ""))
+        .when(cat == "Governing Law", F.filter(laws, lambda n: n != ""))
+        .when(cat.isin(*DATE_CATEGORIES), F.filter(days, lambda n: n.isNotNull()))
+        .otherwise(F.transform(answers, lambda a: normalize_ws(a)))
+    )
+    zipped = F.arrays_zip(labels.alias("label"), items.alias("item"))
     flat = rows.select("contract", "category", F.posexplode(zipped).alias("position", "z"))
     label, item = F.col("z.label"), F.col("z.item")
     predicted = F.when(cat.isin(*VALUE_CATEGORIES), value_or_quote(item)).otherwise(item["quote"])
@@ -416,7 +425,7 @@ def side_by_side(rows: DataFrame) -> DataFrame:
         "contract",
         "category",
         F.col("position").cast("bigint").alias("position"),
-        F.when(label.isNotNull(), shown(label)).alias("label"),
+        label.alias("label"),
         F.when(item.isNotNull(), shown(predicted)).alias("prediction"),
         F.when(item.isNotNull(), item["found"]).alias("quote_in_text"),
     )

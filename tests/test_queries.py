@@ -75,3 +75,16 @@ def test_python_is_left_out_where_spark_has_the_function(spark):
 def test_aggregates_start_before_the_shuffle(spark):
     p = plan(dt.usage_events(spark, SF).groupBy("tenant_id").count())
     assert p.count("HashAggregate") >= 2
+
+
+def test_side_by_side_shows_every_category(spark, con):
+    from spanledger.operators import evaluate as ev
+
+    text, good = compare(spark, con, "job_side_by_side_all", entry.queries()["job_side_by_side_all"], entry.oracle_sql()["job_side_by_side_all"], SF)
+    assert good, text
+    rows = spark.createDataFrame(
+        [("c", "Parties", ["One Holdings, Inc.; ; Two LLC (x)"], [("Two, L.L.C.", "q", True)]), ("c", "Renewal Term", ["two  Years"], None),
+         ("c", "Agreement Date", ["soon", "May 1, 2014"], [("YYYY-MM-DD", "q", False)])],
+        f"contract string, category string, answers {ev.STRINGS}, items {ev.ITEM}")
+    assert {tuple(r)[1:5] for r in ev.side_by_side(rows).collect()} == {
+        ("Parties", 0, "one holdings", "two"), ("Parties", 1, "two", None), ("Renewal Term", 0, "two years", None), ("Agreement Date", 0, "2014-05-01", "YYYY-MM-DD")}
