@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from spanledger.catalog import query
+from spanledger.catalog import ORACLES, query
 from spanledger.catalog.twins import with_parts
 from spanledger.functions.usage import usage_from_json
 from spanledger.operators import audit, ontology, quota, usage
@@ -208,6 +208,27 @@ def job_quota_refusals(spark, sf):
     return slots.unionByName(refused(rate_requests(spark, sf), "rate", "rate_limit_exceeded", "request rate limit", "in_window", "rate_limit"))
 
 
+@query("job_quota_refusals_all", f"SELECT * FROM ({ORACLES['job_quota_refusals']}) UNION ALL SELECT * FROM (" + with_parts("""
+    SELECT 'refusal-spend-'||event_id AS event_id, tenant_id, 'authorization_failure' AS event_type, 'spend_cap_exceeded' AS action, occurred_at, 'user' AS actor_type, 'quota' AS scope,
+      '{"current_spend_millicents":'||spent||',"spend_cap_millicents":'||spend_cap_millicents||',"projected_cost_millicents":'||cost_millicents||',"reason":"period spend cap"}' AS metadata_json
+    FROM (SELECT u.*, CAST(coalesce(sum(cost_millicents) OVER (PARTITION BY u.tenant_id ORDER BY epoch_us(occurred_at)
+        RANGE BETWEEN 604800000000 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent, spend_cap_millicents
+      FROM usage_events u JOIN tenant_tiers USING (tenant_id)) WHERE spent + cost_millicents >= spend_cap_millicents""", "usage_events", "tenant_tiers") + ")")
+def job_quota_refusals_all(spark, sf):
+    """Slots, rates and, as the third gate, the spend cap."""
+    events = dt.usage_events(spark, sf).withColumn("at_micros", dt.micros(F.col("occurred_at")))
+    return job_quota_refusals(spark, sf).unionByName(spend_refusals(events, dt.tenant_tiers(spark, sf), 7))
+
+
+def spend_refusals(events, tiers, period_days):
+    """Audit rows of the events whose cost reaches the spend cap."""
+    over = quota.trailing_spend(events, tiers, period_days).where("breach").select(
+        "tenant_id", "event_id", F.timestamp_micros("at_micros").cast("timestamp_ntz").alias("occurred_at"),
+        F.col("spent_millicents").alias("current_spend_millicents"), "spend_cap_millicents", F.col("cost_millicents").alias("projected_cost_millicents"))
+    details = ["current_spend_millicents", "spend_cap_millicents", "projected_cost_millicents"]
+    return audit.refusals(over, "spend_cap_exceeded", F.lit("period spend cap"), details, F.concat(F.lit("refusal-spend-"), "event_id"))
+
+
 @query("job_audit_prune", with_parts("""
     SELECT id, occurred_at < TIMESTAMP '2025-04-15 10:00:00' - INTERVAL 15 MONTH AS expired FROM audit""", "audit"))
 def job_audit_prune(spark, sf):

@@ -88,3 +88,15 @@ def test_side_by_side_shows_every_category(spark, con):
         f"contract string, category string, answers {ev.STRINGS}, items {ev.ITEM}")
     assert {tuple(r)[1:5] for r in ev.side_by_side(rows).collect()} == {
         ("Parties", 0, "one holdings", "two"), ("Parties", 1, "two", None), ("Renewal Term", 0, "two years", None), ("Agreement Date", 0, "2014-05-01", "YYYY-MM-DD")}
+
+
+def test_refusals_of_all_three_gates(spark, con):
+    from spanledger.catalog.ledger import spend_refusals
+
+    text, good = compare(spark, con, "job_quota_refusals_all", entry.queries()["job_quota_refusals_all"], entry.oracle_sql()["job_quota_refusals_all"], SF)
+    assert good, text
+    day = 24 * 3600 * 1_000_000
+    events = spark.createDataFrame([("t", "a", 0, 60), ("t", "b", day, 39), ("t", "c", 2 * day, 1), ("t", "d", 9 * day, 99), ("u", "e", 0, 100)], "tenant_id string, event_id string, at_micros long, cost_millicents long")
+    tiers = spark.createDataFrame([("t", 100), ("u", 100)], "tenant_id string, spend_cap_millicents long")
+    got = {r.event_id: (r.action, r.metadata_json) for r in spend_refusals(events, tiers, 7).collect()}
+    assert got == {f"refusal-spend-{e}": ("spend_cap_exceeded", f'{{"current_spend_millicents":{s},"spend_cap_millicents":100,"projected_cost_millicents":{c},"reason":"period spend cap"}}') for e, s, c in (("c", 99, 1), ("d", 1, 99), ("e", 0, 100))}
