@@ -82,6 +82,12 @@ def op9_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_documents(spark, sf_dir))
 
 
+def op11_segmented_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanledger.llm.urls import judged
+
+    return judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_hashed_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanledger.llm.importance import resample
 
@@ -99,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op8_bounded_space_packing": op8_bounded_space_packing,
     "op9_bottom_k_fingerprints": op9_bottom_k_fingerprints,
     "op10_context_mixed_token_files": op10_context_mixed_token_files,
+    "op11_segmented_url_verdicts": op11_segmented_url_verdicts,
     "op13_hashed_importance_resampling": op13_hashed_importance_resampling,
 }
 _SETS = """
