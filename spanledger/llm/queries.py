@@ -88,6 +88,12 @@ def op11_segmented_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op12_automaton_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanledger.llm.periods import planted, run_digests
+
+    return run_digests(_documents(spark, sf_dir), planted)
+
+
 def op13_hashed_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanledger.llm.importance import resample
 
@@ -106,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op9_bottom_k_fingerprints": op9_bottom_k_fingerprints,
     "op10_context_mixed_token_files": op10_context_mixed_token_files,
     "op11_segmented_url_verdicts": op11_segmented_url_verdicts,
+    "op12_automaton_period_runs": op12_automaton_period_runs,
     "op13_hashed_importance_resampling": op13_hashed_importance_resampling,
 }
 _SETS = """
