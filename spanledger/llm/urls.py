@@ -30,7 +30,7 @@ LONGEST_WORD = 24  # letters of the longest word of the vocabulary
 PIECE = 256  # a longer name is segmented in pieces of so many letters, four times what a host name may have
 SHORT = 3  # words of so many letters a-z are at most 18,278 and travel with the search instead of joining
 BUCKETS = 1 << 16
-TOPIC_SHARE = 1e-4  # a topic counts as so common a word at least
+TOPIC_SHARE = 2e-4  # a topic counts as so common a word at least
 SMOOTHING = 0.1  # added to every count of a bucket that some page has
 
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
