@@ -31,7 +31,7 @@ OPEN, CLOSE = "### ", "</turn>\n"
 _control = re.compile(r"\\|###|</turn>")
 _in_role = re.compile(r"\\|###|</turn>|:")
 _escaped = re.compile(r"\\(\\|###|</turn>|:)")
-_turn = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
+_turn = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.S)
 
 
 def escape(text: str) -> str:
@@ -85,7 +85,7 @@ def _counted(tokenizer: str):
                 ["conv_id", "role", "text", "range", "tokens", "rank", "before"],
             )
 
-    return run
+    return K.freeing(tokenizer, run)
 
 
 def _placed(turns: DataFrame, tokenizer: str) -> DataFrame:

@@ -182,7 +182,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, open_w
         left = [(p, w) for _, _, w in packer.gaps for p in w.pieces]
         yield _table([(d, s, len(i), 0, n, w.number, at) for (d, s, i, n, at), w in left], part, [p[2].tobytes() for p, _ in left])
 
-    made = cut_lineage(texts.mapInArrow(run, f"{_PIECE_SQL}, part long, ids binary"))
+    made = cut_lineage(texts.mapInArrow(K.freeing(path, run), f"{_PIECE_SQL}, part long, ids binary"))
     bundle = F.floor(F.col("part") / MERGED).cast("long")
     left = made.where("ids is not null").select("doc_id", "start", "doc_tokens", "ids", "sequence_id", "offset", bundle.alias("bundle"))
     left = left.repartition("bundle").sortWithinPartitions("bundle", "sequence_id", "offset")

@@ -23,12 +23,17 @@ ADDED = ("url", "iban", "account")
 KINDS = BASE + ADDED
 MARKS = {k: f"[{k.upper()}]" for k in KINDS}
 
-# Words that announce an identifier.
-CUES = ("account", "acct", "passport", "ssn", "customer id", "member id", "tax id")
+# Words that announce an identifier, in the four languages of the corpus.
+CUES = (
+    "account", "acct", "passport", "ssn", "customer id", "member id", "tax id",
+    "konto", "kontonummer", "reisepass", "kundennummer", "steuernummer",
+    "compte", "passeport", "num\u00e9ro client", "num\u00e9ro fiscal",
+    "cuenta", "pasaporte", "n\u00famero de cliente", "dni",
+)
 
 _local = re.compile(r"[A-Za-z0-9._%+-]")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_dotted = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+_dotted = re.compile(r"[0-9]++(?:\.[0-9]++){0,3}+")
 _digits = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _dialled = re.compile(r"\+[0-9][ ().0-9-]*")
 _rest = re.compile(r"[^\x00-\x20\"'<>\\^`{|}]+")
@@ -36,7 +41,9 @@ _host = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}|localhost|[0-9]{1,3}(?:\.[
 _scheme = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*")
 _country = re.compile(r"[A-Z][A-Z][0-9][0-9](?:(?<![A-Z0-9][A-Z]{2}[0-9]{2})|(?<=IBAN[A-Z]{2}[0-9]{2}))")
 _group = re.compile(r" ?([A-Z0-9]{1,4})(?![A-Za-z0-9])| ?([A-Z0-9]{4})")
-_told = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|#))?\s*[:=#]?\s*([0-9A-Z][0-9A-Z -]{4,30}[0-9A-Z])", re.A)
+_told = re.compile(r"\s*+(?:(?:number|numbers|no\.?|nr\.?|num\.?|#)(?![A-Za-z])\s*+)?+[:=#]?+\s*+", re.A)
+_form = re.compile(r"[0-9A-Z]++(?:-[0-9A-Z]++)*+(?![0-9A-Za-z])")
+_next = re.compile(r" (?=[A-Z]*+[0-9])[0-9A-Z]{1,4}+(?:-[0-9A-Z]++)*+(?![0-9A-Za-z])")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _DIGIT = frozenset("0123456789")
@@ -89,7 +96,7 @@ def address(text: str, at: int, floor: int) -> tuple[int, int, bool] | None:
     if start == at and text[at] not in _DIGIT:
         return None
     chain = _dotted.match(text, start)
-    parts = chain.group().split(".", 4)[:4] if chain else []
+    parts = chain.group().split(".") if chain else []
     if len(parts) < 4:
         return None
     end = start + sum(map(len, parts)) + 3
@@ -147,11 +154,25 @@ def iban(text: str, start: int) -> int | None:
     return None
 
 
-def account(text: str, end: int) -> tuple[str, int, int] | None:
-    """After a cue word: six or more digits."""
-    told = _told.match(text, end)
-    if told and sum(c in _DIGIT for c in told.group(1)) >= 6 and not re.search("[A-Z]{4}", told.group(1)):
-        return "account", told.start(1), told.end(1)
+def account(text: str, begin: int, end: int) -> tuple[str, int, int] | None:
+    """After a cue that is a word of its own: an identifier of six or more digits, whole, however long.
+
+    Its parts hang together by hyphens; a blank joins parts of at most four characters that hold a digit, as account
+    numbers are written in groups, so that a word or a number of its own that follows stays outside.
+    """
+    if (begin and text[begin - 1].isalnum()) or text[end : end + 1].isalnum():
+        return None
+    start = _told.match(text, end).end()
+    part = _form.match(text, start)
+    if not part:
+        return None
+    at = part.end()
+    if "-" not in part.group() and at - start <= 4:
+        while group := _next.match(text, at):
+            at = group.end()
+    form = text[start:at]
+    if sum(c in _DIGIT for c in form) >= 6 and not re.search("[A-Z]{4}", form):
+        return "account", start, at
     return None
 
 
@@ -167,7 +188,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     floor = dict.fromkeys(KINDS, 0)
     for last, (kind, back) in anchors().iter(text):
         if kind == "account":
-            form = account(text, last + 1)
+            form = account(text, last - back, last + 1)
             if form and form[1] >= floor[form[0]]:
                 found[form[0]].append(form)
                 floor[form[0]] = form[2]

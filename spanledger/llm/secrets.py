@@ -101,14 +101,11 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     pairs: list[tuple[str, int, int, bool]] = []
     for op in _operator.finditer(text):
         at = op.start()
-        low = max(floor, at - REACH)
-        head = text[low:at]
-        while low > floor and not head.strip(" "):  # nothing but blanks so far
-            low = max(floor, low - REACH)
-            head = text[low:at]
-        if head.strip(" ") in ('"', "'") and low > floor or (low > floor and len(head.strip(" ")) < 16):
-            low = max(floor, low - REACH)
-            head = text[low:at]
+        told = at  # where the blanks before the operator begin; those of one operator end no other's
+        while told > floor and text[told - 1] == " ":
+            told -= 1
+        low = max(floor, told - REACH)
+        head = text[low:told]
         named = _named.search(head)
         if named:
             value = _bare.match(text, at + 1)

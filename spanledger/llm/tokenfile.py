@@ -74,7 +74,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
         if segments:
             yield flush()
 
-    ordered.mapInArrow(run, _SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(K.freeing(file, run), _SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

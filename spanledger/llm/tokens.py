@@ -9,6 +9,7 @@ Texts with unusual white space, zero bytes or the string ``<|`` are encoded whol
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -17,8 +18,10 @@ import numpy as np
 from spanledger.llm import words as W
 
 DEFAULT_FOLDER = "/opt/tokenizers"
-KNOWN_PIECES = 1_500_000  # a worker forgets its pieces beyond this number
-SLOTS = 1 << 22
+KNOWN_PIECES = 400_000  # an encoder forgets its pieces beyond this number,
+KNOWN_IDS = 4_000_000  # and beyond so many ids; with the table of pieces that is 24 MB
+SLOTS = 1 << 20
+AT_ONCE = 10_000  # pieces that the library encodes in one call
 LONG_PIECE = 2000
 
 _GAP, _LETTER, _MARK, _ODD = (np.zeros(256, bool) for _ in range(4))
@@ -113,7 +116,7 @@ class Encoder:
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a piece of a batch, row after row, and each row's first place."""
         n = len(offs) - 1
-        if self.known > KNOWN_PIECES:
+        if self.known > KNOWN_PIECES or len(self.ids) > KNOWN_IDS:
             self.clear()
         form = W._LOWER[buf] if self.folds else buf
         starts, ends = _cuts(form, offs, self.folds)
@@ -128,8 +131,9 @@ class Encoder:
         new = np.flatnonzero(piece < 0)
         if len(new):
             keys, first = np.unique(hashes[new], return_index=True)
-            where, data = new[first], form.tobytes()
-            self._learn(keys, [data[a:b].decode("utf-8") for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+            for at in range(0, len(keys), AT_ONCE):
+                where = new[first[at : at + AT_ONCE]]
+                self._learn(keys[at : at + AT_ONCE], [form[a:b].tobytes().decode("utf-8") for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
             piece[new] = self._find(hashes[new])
         size = self.at[piece + 1] - self.at[piece]
         ids = _gather(self.ids, self.at[piece], size)
@@ -187,10 +191,21 @@ def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 
 @cache
 def encoder(path: str) -> Encoder:
-    """One encoder for each file in a Python worker; it outlives tasks."""
+    """One encoder for each file in a Python worker; tasks that use it are ``freeing``."""
     return Encoder(path)
 
 
+def freeing(path: str, run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches; the pieces that its task taught the encoder go when it ends, the file stays loaded."""
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            encoder(path).clear()
+
+    return task
+
+
 def with_end(ids: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same rows, each followed by the id ``end``."""
     n = len(first) - 1

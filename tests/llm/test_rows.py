@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from spanledger.llm import chat, codec, minhash, pii, recurrent, secrets, tokens
+from spanledger.llm import chat, codec, minhash, pii, recurrent, secrets, tokens, toxicity
 from spanledger.llm import words as W
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -218,3 +219,59 @@ def test_network_gradient_of_bytes_is_the_slope():
         flat[i] = was + step
         slope.append(loss() / 2e-2)
     assert abs(g[i]) > 1e-5 and abs(slope[0] - slope[1] - g[i]) < 1e-2 * abs(g[i]) + 1e-5
+
+
+@pytest.mark.parametrize("find, form", [(pii.spans, "1."), (pii.spans, "account "), (pii.spans, "1.1 "), (secrets.spans, " ")])
+def test_cost_grows_with_the_length_of_one_text(find, form):
+    def seconds(n):
+        text = "password" + form * (n // len(form)) + "= 1"
+        begin = time.process_time()
+        find(text)
+        return time.process_time() - begin
+
+    small, large = min(seconds(200_000) for _ in range(3)), min(seconds(400_000) for _ in range(3))
+    assert large < 2.5 * small + 0.05
+
+
+def test_long_turns_are_parsed_in_bounded_memory():
+    text = "x < y and so on " * 1_250_000
+    window = chat.written("user", text)
+    tracemalloc.start()
+    assert chat.parse(window) == [("user", text)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300_000_000
+
+
+@pytest.mark.parametrize("text, form", [
+    ("account " + "1" * 39, "1" * 39), ("account: 12345678 - 10 items", "12345678"), ("Account 12345678 ON 12 MAY", "12345678"), ("ACCOUNTS 12345678", None),
+    ("Konto: 12345678", "12345678"), ("account no. 1234 5678 9012 and", "1234 5678 9012"), ("cuenta ES-1234-5678", "ES-1234-5678"), ("compte 12345678", "12345678"), ("account 12345678abc", None), ("account 12345", None),
+])
+def test_account_boundaries(text, form):
+    assert [text[a:b] for k, a, b in pii.spans(text) if k == "account"] == ([form] if form else [])
+
+
+def test_an_encoder_forgets_with_its_task():
+    path = tokens.vocabulary("byte_bpe_50k.json")
+
+    def run(batches):
+        for text in batches:
+            buf = np.frombuffer(text.encode(), np.uint8)
+            yield tokens.encoder(path).encode(buf, np.array([0, len(buf)]))[0].tolist()
+            assert tokens.encoder(path).known
+
+    given = ["some words here", "and others there"]
+    assert list(tokens.freeing(path, run)(iter(given))) == [tokens.encoder(path).whole(t).tolist() for t in given]
+    assert tokens.encoder(path).known == 0
+
+
+def test_training_reads_a_sample_in_pieces(monkeypatch):
+    """The network is the same whatever the size of the pieces, and memory does not follow the sample's size."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["good", "plain", "bad" if i % 3 == 0 else "fine", "w%d" % rng.randrange(300)]) for _ in range(rng.randrange(1, 90))) for i in range(300)]
+    toxic, share = np.array([int(i % 3 == 0) for i in range(300)]), np.ones(300)
+    made = []
+    for size in (1 << 20, 5000):
+        monkeypatch.setattr(toxicity, "PIECE_BYTES", size)
+        made.append(toxicity._learn(pa.array(texts), toxic, share))
+    assert all(np.allclose(made[0][k], made[1][k], atol=1e-5) for k in made[0])
