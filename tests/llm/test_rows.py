@@ -266,12 +266,19 @@ def test_an_encoder_forgets_with_its_task():
 
 
 def test_training_reads_a_sample_in_pieces(monkeypatch):
-    """The network is the same whatever the size of the pieces, and memory does not follow the sample's size."""
+    """Word counts and the windows to train on are the same whatever the size of the pieces."""
     rng = random.Random(4)
-    texts = [" ".join(rng.choice(["good", "plain", "bad" if i % 3 == 0 else "fine", "w%d" % rng.randrange(300)]) for _ in range(rng.randrange(1, 90))) for i in range(300)]
-    toxic, share = np.array([int(i % 3 == 0) for i in range(300)]), np.ones(300)
-    made = []
+    texts = [" ".join(rng.choice(["good", "plain", "bad" if i % 3 == 0 else "fine", "w%d" % rng.randrange(300)]) for _ in range(rng.randrange(0, 90))) for i in range(300)]
+    toxic, made = np.array([int(i % 3 == 0) for i in range(300)]), []
     for size in (1 << 20, 5000):
         monkeypatch.setattr(toxicity, "PIECE_BYTES", size)
-        made.append(toxicity._learn(pa.array(texts), toxic, share))
-    assert all(np.allclose(made[0][k], made[1][k], atol=1e-5) for k in made[0])
+        pieces = toxicity._pieces(pa.array(texts))
+        counts = toxicity._word_counts(pieces, toxic)
+        signal = np.random.Generator(np.random.PCG64(1)).random(len(counts[0]) + 1)
+        word, begin, end, size, label, (low, starts, ends), spot = toxicity._windows_to_train(recurrent.fresh(counts[0]), pieces, toxic, signal, np.random.Generator(np.random.PCG64(5)))
+        live = np.arange(recurrent.LENGTH) < size[:, None]
+        said = [low[a:b].tobytes() for a, b in zip(starts[spot[live]].tolist(), ends[spot[live]].tolist(), strict=True)]
+        made.append((*counts, word[live], begin[live], end[live], size, label, said))
+    assert all(np.array_equal(a, b) for a, b in zip(*made, strict=True))
+    plain = {w for t in texts for w in t.split()}
+    assert len(made[0][0]) == len(plain) and made[0][1].sum() == sum(len(set(t.split())) for t in texts)
