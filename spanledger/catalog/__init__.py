@@ -14,7 +14,7 @@ ORACLES: dict[str, str] = {}
 
 MODULES = (
     "documents", "provenance", "temporal", "resolution", "graph", "ledger", "scoring", "texts",
-    "jobs", "streams", "retrieval",
+    "jobs", "streams", "retrieval", "matching",
 )
 
 

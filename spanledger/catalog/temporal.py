@@ -48,6 +48,46 @@ def join_asof_bitemporal(spark, sf):
     return temporal.as_of(closed(spark, sf), VALID, SYSTEM, predicate="1-URGENT").select(*COLS)
 
 
+def shipped(spark, sf):
+    """Each line of an order asks for its customer's facts: some as of the shipping day, some as believed then, some both, some neither."""
+    flag, lines = F.col("l_returnflag"), dt.shipments(spark, sf)
+    return lines.select(
+        F.lit("trade").alias("tenant_id"), F.col("o_custkey").cast("string").alias("subject"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+        F.when((flag == "A") | (F.col("l_linenumber") % 2 == 0), F.col("l_shipdate")).alias("valid_at"),
+        F.when((flag == "R") | (F.col("l_linenumber") % 3 == 0), F.col("l_shipdate")).alias("system_at"),
+    )
+
+
+ASKED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "valid_at", "system_at", "fact_id"]
+
+
+def asked_sql(condition: str) -> str:
+    return f"""
+    , asked AS (SELECT 'trade' AS tenant_id, CAST(o_custkey AS VARCHAR) AS subject, l_orderkey, l_partkey, l_suppkey, l_linenumber,
+        CASE WHEN l_returnflag = 'A' OR l_linenumber % 2 = 0 THEN l_shipdate END AS valid_at,
+        CASE WHEN l_returnflag = 'R' OR l_linenumber % 3 = 0 THEN l_shipdate END AS system_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    SELECT {", ".join(ASKED)} FROM asked JOIN closed USING (tenant_id, subject) WHERE {condition}
+      AND (valid_at IS NULL OR (valid_from <= valid_at AND (valid_to IS NULL OR valid_to > valid_at)))
+      AND CASE WHEN system_at IS NULL THEN expired_at IS NULL ELSE created_at <= system_at AND (expired_at IS NULL OR expired_at > system_at) END"""
+
+
+@query("join_asof_valid_table", with_parts(asked_sql("valid_at IS NOT NULL AND system_at IS NULL"), "closed"))
+def join_asof_valid_table(spark, sf):
+    asked = shipped(spark, sf).where("valid_at is not null and system_at is null")
+    return temporal.as_of_table(closed(spark, sf), asked).select(*ASKED)
+
+
+@query("join_asof_system_table", with_parts(asked_sql("valid_at IS NULL AND system_at IS NOT NULL"), "closed"))
+def join_asof_system_table(spark, sf):
+    asked = shipped(spark, sf).where("valid_at is null and system_at is not null")
+    return temporal.as_of_table(closed(spark, sf), asked).select(*ASKED)
+
+
+@query("join_asof_bitemporal_table", with_parts(asked_sql("TRUE"), "closed"))
+def join_asof_bitemporal_table(spark, sf):
+    return temporal.as_of_table(closed(spark, sf), shipped(spark, sf)).select(*ASKED)
+
+
 @query("win_fact_timeline", with_parts(f"SELECT {SQL_COLS} FROM closed WHERE subject = '7' AND predicate = '2-HIGH'", "closed"))
 def win_fact_timeline(spark, sf):
     return temporal.timeline(closed(spark, sf), "7", "2-HIGH").select(*COLS)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanledger.functions.text import not_blank
 from spanledger.operators.ordered import last_per_key
+from spanledger.session import cut_lineage
 
 NAME = ["tenant_id", "ontology_name"]
 
@@ -60,3 +61,55 @@ def conforming_edges(rows: DataFrame, ontology: DataFrame) -> DataFrame:
     o = ontology.select("tenant_id", F.col("edge_types").alias("__types"))
     ok = not_blank(F.col("quote")) & _allowed("__types", "edge_type")
     return rows.join(o, "tenant_id").where(ok).drop("__types")
+
+
+ANY = "*"
+
+
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(type, ancestor): every type of ``parents`` (type, parent) with itself and all that it inherits from.
+
+    Rounds of one join each, as many as the hierarchy is deep; what is known already is not followed again, so a cycle
+    ends. Types are few: a hierarchy is a table of its ontology.
+    """
+    edges = cut_lineage(parents.select("type", "parent").where("type is not null and parent is not null").distinct())
+    own = edges.select("type").unionByName(edges.select(F.col("parent").alias("type"))).distinct()
+    known = cut_lineage(own.select("type", F.col("type").alias("ancestor")))
+    fresh = known
+    while not fresh.isEmpty():
+        up = fresh.join(edges.withColumnsRenamed({"type": "ancestor", "parent": "next"}), "ancestor").select("type", F.col("next").alias("ancestor")).distinct()
+        fresh = cut_lineage(up.join(known, ["type", "ancestor"], "left_anti"))
+        known = cut_lineage(known.unionByName(fresh))
+    return known
+
+
+def judged_triples(edges: DataFrame, entities: DataFrame, signatures: DataFrame, parents: DataFrame) -> DataFrame:
+    """``edges`` with ``source_type``, ``target_type`` and ``reason``, null where the triple is legal.
+
+    ``signatures`` (edge_type, allowed_sources, allowed_targets) name types, types that inherit from a named one fit as well, and ``*`` allows any; several
+    rows of one edge type are alternatives. Reasons, the first that holds: ``unknown_edge_type``, ``no_source``,
+    ``no_target``, ``source_type``, ``target_type``, and ``combination`` where each end fits some alternative but none fits both.
+    """
+    types = entities.select("tenant_id", F.col("entity_id"), F.col("entity_type"))
+    ends = edges
+    for side in ("source", "target"):
+        ends = ends.join(types.withColumnsRenamed({"entity_id": f"{side}_entity_id", "entity_type": f"{side}_type"}), ["tenant_id", f"{side}_entity_id"], "left")
+    closure = ancestors(parents)
+    # combinations of types are few, whatever the number of edges: each is judged once
+    shapes = ends.select("edge_type", "source_type", "target_type").distinct()
+    for side in ("source", "target"):
+        up = closure.groupBy(F.col("type").alias(f"{side}_type")).agg(F.collect_set("ancestor").alias(f"{side}_up"))
+        own = F.array(F.col(f"{side}_type"), F.lit(ANY))
+        shapes = shapes.join(up, f"{side}_type", "left").withColumn(f"{side}_up", F.concat(own, F.coalesce(f"{side}_up", F.array().cast("array<string>"))))
+    met = shapes.join(signatures.select("edge_type", "allowed_sources", "allowed_targets"), "edge_type", "left")
+    fits = [F.arrays_overlap(f"allowed_{side}s", f"{side}_up") for side in ("source", "target")]
+    told = met.groupBy("edge_type", "source_type", "target_type").agg(
+        F.max(F.col("allowed_sources").isNotNull()).alias("known"), F.max(fits[0]).alias("s"), F.max(fits[1]).alias("t"), F.max(fits[0] & fits[1]).alias("both"),
+    )
+    reason = (
+        F.when(~F.col("known"), "unknown_edge_type").when(F.col("source_type").isNull(), "no_source").when(F.col("target_type").isNull(), "no_target")
+        .when(~F.coalesce("s", F.lit(False)), "source_type").when(~F.coalesce("t", F.lit(False)), "target_type").when(~F.coalesce("both", F.lit(False)), "combination")
+    )
+    verdicts = told.select(*(F.col(c).alias(f"__{c}") for c in ("edge_type", "source_type", "target_type")), reason.alias("reason"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("edge_type", "source_type", "target_type")]
+    return ends.join(verdicts, same[0] & same[1] & same[2], "left").drop("__edge_type", "__source_type", "__target_type")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions.intervals import contains
+from spanledger.operators.interval_join import points_in_intervals
 from spanledger.operators.ordered import with_next
 
 Instant = dt.datetime | str
@@ -58,6 +59,32 @@ def as_of_each(facts: DataFrame, instants: Sequence[Instant]) -> DataFrame:
     return facts.withColumn("as_of", F.explode(hits))
 
 
+def as_of_table(facts: DataFrame, asked: DataFrame, keys: Sequence[str] = ("tenant_id", "subject")) -> DataFrame:
+    """Every row of ``asked`` (keys, valid_at, system_at, ...) with every fact of its keys as of its own two instants.
+
+    A null valid_at sets no constraint, a null system_at asks for facts that have not expired, as in ``as_of``. Rows that
+    find no fact drop out. The instants meet the intervals in buckets of several levels (``points_in_intervals``): by valid
+    time where it is given, else by system time. Other columns of ``asked`` must differ from those of ``facts``.
+    """
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
+    valid, system = F.col("valid_at"), F.col("system_at")
+    believed = F.when(system.isNull(), F.col("expired_at").isNull()).otherwise(contains(F.col("created_at"), F.col("expired_at"), system))
+
+    def micros(name: str) -> Column:
+        return F.unix_micros(F.col(name).cast("timestamp"))
+
+    def at(points: DataFrame, instant_: str, start: str, end: str) -> DataFrame:
+        return points_in_intervals(points, facts, keys, micros(instant_), micros(start), micros(end))
+
+    asked = asked.where(keyed)
+    by_valid = at(asked.where(valid.isNotNull()), "valid_at", "valid_from", "valid_to").where(believed)
+    by_system = at(asked.where(valid.isNull() & system.isNotNull()), "system_at", "created_at", "expired_at")
+    neither = asked.where(valid.isNull() & system.isNull()).join(facts.where(F.col("expired_at").isNull()), list(keys))
+    return by_valid.unionByName(by_system).unionByName(neither)
+
+
 def timeline(facts: DataFrame, subject: str, predicate: str) -> DataFrame:
     return facts.where((F.col("subject") == subject) & (F.col("predicate") == predicate)).orderBy(
         "valid_from", "fact_id"
