@@ -145,22 +145,41 @@ def line_chunk_bounds(text: Column, max_chars: int = 4000) -> Column:
 SENTENCE = "[^.!?]+[.!?]*|[.!?]+"
 
 
+BLOCK = 32  # sentences of a short text's only block
+
+
 def sentence_spans(text: Column) -> Column:
-    """start_offset, end_offset and quote of each sentence, without the blanks around it."""
+    """start_offset, end_offset and quote of each sentence, without the blanks around it.
+
+    Lengths are added up within blocks of about the root of the number of sentences, and over the blocks: an array grows by
+    one element at a time in either, so a text of n sentences costs n * sqrt(n) and not their square.
+    """
     pieces = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
-    none = F.array().cast("array<struct<start_offset:int,end_offset:int,quote:string>>")
+    spans = "array<struct<start_offset:int,end_offset:int,quote:string>>"
+
+    def blocks(held: Column) -> Column:
+        size = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(F.size(held))).cast("int"))
+        firsts = F.sequence(F.lit(0), F.greatest(F.size(held) - 1, F.lit(0)), size)
+        return F.transform(firsts, lambda first: F.slice(held, first + 1, size))
+
+    def lengths(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda n, piece: n + F.length(piece))
+
+    def starts(cut: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(cut, zero, lambda acc, block: F.struct((acc["at"] + lengths(block)).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
 
     def step(acc: Column, piece: Column) -> Column:
         start = acc["at"] + F.length(piece) - F.length(F.ltrim(piece))
         quote = F.trim(piece)
-        span = F.struct(
-            start.alias("start_offset"), (start + F.length(quote)).alias("end_offset"), quote.alias("quote")
-        )
-        spans = F.when(quote == "", acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span)))
-        return F.struct((acc["at"] + F.length(piece)).alias("at"), spans.alias("spans"))
+        span = F.struct(start.alias("start_offset"), (start + F.length(quote)).alias("end_offset"), quote.alias("quote"))
+        found = F.when(quote == "", acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span)))
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), found.alias("spans"))
+
+    def inside(block: Column, start: Column) -> Column:
+        return F.aggregate(block, F.struct(start.alias("at"), F.array().cast(spans).alias("spans")), step, lambda acc: acc["spans"])
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.aggregate(pieces, start, step, lambda acc: acc["spans"])
+    return bound(pieces, lambda held: bound(blocks(held), lambda cut: F.flatten(F.zip_with(cut, starts(cut), inside))))
 
 
 def slice_text(text: Column, bound: Column) -> Column:
