@@ -1,15 +1,15 @@
 """A compressed file format for token ids: adaptive context mixing before a range coder.
 
-Ids are dealt into blocks. A block starts from an empty model, so it is read without any other, and
-it carries a checksum of its ids. Two tables predict the next id, from the last two ids (order 2)
-and from the last id (order 1), each with a confidence. The highest order that knows the context
-names a candidate. Two adaptive probabilities that it is right, one by its own confidence and one by
-both orders' confidence and agreement, are mixed by a weight that learns. Any other id is coded by an
-adaptive order-0 distribution of magnitudes and its remaining bits. A range coder turns the choices
+A stream of ids begins with a table of how often each id occurs in it, its order-0 distribution. The ids follow in
+blocks. A block starts from an empty model and that table, so it is read without any other, and it carries a checksum of
+its ids. Two tables of the block name the next id after the last two ids (order 2) and after the last one (order 1), each with a
+confidence that grows with every hit. The three orders are one distribution: the weights of order 2 and order 1
+are added to the ids they name, all other weight is spread by order 0. The weights are the rates at which either
+was right so far in this block, learnt apart for each pair of confidences. A range coder codes each id in one step of that mixture
 into 16-bit words. All arithmetic is in integers, so blocks read the same on any machine.
 
-Many blocks are coded side by side: every step takes one id of each, so the cost of numpy's calls
-is shared by thousands of ids.
+Many blocks are coded side by side: every step takes one id of each, so the cost of numpy's calls is shared by
+thousands of ids.
 """
 
 from __future__ import annotations
@@ -19,80 +19,119 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 2048  # ids
-LANES = 4096  # blocks coded side by side
+BLOCK = 4096  # ids
+LANES = 2048  # blocks coded side by side
 HASH_BITS = 10
+IDS = 1 << 16
 HEAD = np.dtype([("ids", "<u4"), ("words", "<u4"), ("crc", "<u4")])
 
 _U = np.uint64
 _TOP, _BOT = _U(1 << 48), _U(1 << 40)
-_CLASSES = 9  # magnitudes: below 256, then one for each further bit
-_BITS = np.array([max(int(i).bit_length(), 8) - 8 for i in range(1 << 16)], np.int64)
-_EXTRA = np.array([8, *range(8, 16)], np.int64)  # bits that a class leaves open
-_FLOOR = np.array([0, *(1 << b for b in range(8, 16))], np.int64)
-_UP = np.array([1, 1, 1, 0], np.int64) << 16
+_ZERO_BITS = 18  # an order-0 table's shares add up to 1 << _ZERO_BITS
+_ZERO = 1 << _ZERO_BITS
+_MIX_BITS = 12  # weights of the three orders add up to 1 << _MIX_BITS
+_LEAST = 1 << 5  # of order 0's weight
+_WHOLE = _U(_MIX_BITS + _ZERO_BITS)
+_STATES = 32  # confidences of both orders, and whether they name the same id
+_UP = np.array([1, 1, 1, 0], np.int32) << 16
 _MASK = (1 << HASH_BITS) - 1
+# first guesses: 16-bit rates at which order 2 and, beside it, order 1 are right, by confidences (0 is unknown)
+_TWO, _ONE = [0, 22000, 36000, 50000], [0, 9000, 16000, 26000]
+_RATES = np.array([[_TWO[s >> 3], 0 if s & 1 else _ONE[s >> 1 & 3] * (65536 - _TWO[s >> 3]) >> 16] for s in range(_STATES)], np.int32)
+
+
+def shares(counts: np.ndarray) -> np.ndarray:
+    """Shares of ``_ZERO`` in proportion to the counts, 1 at least for every id that occurs."""
+    total, held = int(counts.sum()), counts > 0
+    spare = _ZERO - int(held.sum())
+    out = np.where(held, 1 + counts * spare // max(total, 1), 0)
+    out[int(np.argmax(counts))] += _ZERO - int(out.sum())
+    return out
+
+
+def _table_bytes(share: np.ndarray) -> bytes:
+    """The ids of a table and their shares as byte planes, deflated."""
+    ids = np.flatnonzero(share)
+    planes = [np.diff(ids, prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2), share[ids].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]]
+    data = zlib.compress(b"".join(np.ascontiguousarray(p.T).tobytes() for p in planes), 9)
+    return np.array([len(data), len(ids)], "<u4").tobytes() + data
+
+
+def _table_from(data: bytes) -> tuple[np.ndarray, int]:
+    """A table of shares and where it ends."""
+    if len(data) < 8:
+        raise ValueError("a stream is cut short")
+    size, n = (int(v) for v in np.frombuffer(data, "<u4", 2))
+    try:
+        raw = np.frombuffer(zlib.decompress(data[8 : 8 + size]), np.uint8)
+    except zlib.error as e:
+        raise ValueError("a stream's table is damaged") from e
+    if len(raw) != 5 * n:
+        raise ValueError("a stream's table is damaged")
+    planes = raw.reshape(5, n).astype(np.int64)
+    ids, share = np.cumsum(planes[0] | planes[1] << 8), planes[2] | planes[3] << 8 | planes[4] << 16
+    out = np.zeros(IDS, np.int64)
+    if n and ids[-1] < IDS:
+        out[ids] = share
+    if out.sum() != _ZERO:
+        raise ValueError("a stream's table is damaged")
+    return out, 8 + size
 
 
 class Model:
-    """Predictions and adaptive probabilities of many blocks, a row for each."""
+    """Predictions and weights of many blocks, a row for each."""
 
     def __init__(self, lanes: int) -> None:
-        self.rows = np.arange(lanes)
-        self.base1, self.base2 = self.rows << HASH_BITS, (self.rows + lanes) << HASH_BITS
-        self.table = np.zeros(2 * lanes << HASH_BITS, np.int32)  # predicted id | confidence << 16, order 1 then order 2
-        self.own = np.full(lanes << 3, 1 << 15)  # by order and confidence
-        self.joint = np.full(lanes << 5, 1 << 15)  # by both confidences and agreement
-        self.weight = np.full(lanes, 128)
-        self.seen = np.ones((lanes, _CLASSES), np.int64)
-        self.total = np.full(lanes, _CLASSES)
-        self.at = np.concatenate([self.base1, self.base2])
+        rows = np.arange(lanes)
+        self.base1, self.base2 = rows << HASH_BITS, (rows + lanes) << HASH_BITS
+        self.table = np.zeros(2 * lanes << HASH_BITS, np.int32)  # named id | confidence << 16, order 1 then order 2
+        self.right1, self.right2 = (np.tile(_RATES[:, k], lanes) for k in (1, 0))  # by lane and state: order 1 right beside order 2, order 2 right
+        self.state = (rows * _STATES).astype(np.int32)
+        self.at1, self.at2 = self.base1.copy(), self.base2.copy()
         self.m, self.last = lanes, np.zeros(lanes, np.int64)
 
     def narrow(self, m: int) -> None:
         """From here on only the first ``m`` rows have ids."""
-        self.at = np.concatenate([self.at[:m], self.at[self.m : self.m + m]])
-        self.rows, self.base1, self.base2 = self.rows[:m], self.base1[:m], self.base2[:m]
-        self.weight, self.last, self.m = self.weight[:m], self.last[:m], m
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each row's candidate and its share of 2048; the share is 0 where there is none."""
-        self.entry = self.table[self.at]
-        one, two = self.entry[: self.m], self.entry[self.m :]
-        high = two >= 1 << 16
-        best = np.where(high, two, one)
-        self.candidate, trust = (best & 0xFFFF).astype(np.int64), best >> 16
-        self.i = (self.rows << 3) + (high << 2) + trust
-        self.j = (self.rows << 5) + (two >> 16 << 3) + (one >> 16 << 1) + (((one ^ two) & 0xFFFF) == 0)
-        self.p, self.q = self.own[self.i], self.joint[self.j]
-        mixed = ((self.p - self.q) * self.weight + (self.q << 8)) >> 13
-        self.known = trust > 0
-        return self.candidate, ((mixed * 31 >> 5) + 1) * self.known
-
-    def learn(self, x: np.ndarray, hit: np.ndarray) -> None:
+        for name in ("at1", "at2", "base1", "base2", "state", "last"):
+            setattr(self, name, getattr(self, name)[:m])
+        self.m = m
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids that orders 1 and 2 name and their weights."""
+        self.entry1, self.entry2 = self.table.take(self.at1), self.table.take(self.at2)
+        self.one, self.two = self.entry1 & 0xFFFF, self.entry2 & 0xFFFF
+        self.trust1, self.trust2 = self.entry1 >> 16, self.entry2 >> 16
+        i = self.trust2 << 3
+        i += self.trust1 << 1
+        i += self.state
+        i += self.one == self.two
+        self.i = i
+        self.rate1, self.rate2 = self.right1.take(i), self.right2.take(i)
+        w2 = np.minimum(self.rate2 >> (16 - _MIX_BITS), (1 << _MIX_BITS) - 2 * _LEAST)
+        return self.one, self.two, np.minimum(self.rate1 >> (16 - _MIX_BITS), (1 << _MIX_BITS) - _LEAST - w2), w2
+
+    def learn(self, x: np.ndarray) -> None:
         """Takes the ids that came and moves on."""
-        goal = hit * 65535
-        p, q = goal - self.p, goal - self.q
-        self.own[self.i] = self.p + (p >> 4)
-        self.joint[self.j] = self.q + (q >> 4)
-        self.weight += ((np.abs(p) < np.abs(q)) * 8 - 4) * self.known
-        np.minimum(np.maximum(self.weight, 16), 240, out=self.weight)
-        both = np.concatenate([x, x])
-        trust = self.entry >> 16
-        other = np.where(trust > 1, self.entry - (1 << 16), both | (1 << 16))
-        self.table[self.at] = np.where((self.entry & 0xFFFF) == both, self.entry + _UP[trust], other)
-        turn = x * 0x9E3779B1
-        self.at[: self.m] = self.base1 + (turn >> 15 & _MASK)
-        self.at[self.m :] = self.base2 + ((turn ^ self.last * 0x85EBCA6B) * 0x27D4EB2F >> 17 & _MASK)
-        self.last = x
-
-    def count(self, lanes: np.ndarray, magnitude: np.ndarray) -> None:
-        self.seen[lanes, magnitude] += 24
-        self.total[lanes] += 24
-        much = lanes[self.total[lanes] > 2000]
-        if len(much):
-            self.seen[much] = (self.seen[much] + 1) >> 1
-            self.total[much] = self.seen[much].sum(1)
+        hit1, hit2 = self.one == x, self.two == x
+        only = hit1 > hit2
+        for right, rate, hit in ((self.right1, self.rate1, only), (self.right2, self.rate2, hit2)):
+            move = hit * np.int32(65535)
+            move -= rate
+            move >>= 4
+            move += rate
+            right[self.i] = move
+        fresh = x | (1 << 16)
+        for at, entry, trust, hit in ((self.at1, self.entry1, self.trust1, hit1), (self.at2, self.entry2, self.trust2, hit2)):
+            other = np.where(trust > 1, entry - (1 << 16), fresh)
+            np.copyto(other, entry + _UP.take(trust), where=hit)
+            self.table[at] = other
+        wide = x.astype(np.int64)
+        turn = wide * 0x9E3779B1
+        self.at1 = (turn >> 15 & _MASK) + self.base1
+        turn ^= self.last * 0x85EBCA6B
+        turn *= 0x27D4EB2F
+        self.at2 = (turn >> 17 & _MASK) + self.base2
+        self.last = wide
 
 
 def _lengths(n: np.ndarray, t: int) -> int:
@@ -116,38 +155,25 @@ def _renew(low: np.ndarray, rng: np.ndarray, m: int) -> Iterator[tuple[np.ndarra
         low[rows], rng[rows] = l, g
 
 
-def _encode(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words and their counts for rows of ids, longest row first."""
+def _encode(ids: np.ndarray, n: np.ndarray, below: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and their counts for columns of ids, longest column first, with each id's order-0 share and the shares below it."""
     lanes = m = len(n)
     model = Model(lanes)
     low, rng = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
     out, pos = np.zeros((lanes, int(n[0]) * 5 // 2 + 8), np.uint16), np.zeros(lanes, np.int64)
-    columns = np.ascontiguousarray(ids.T).astype(np.int64)
     for t in range(int(n[0])):
         if n[m - 1] <= t:
             m = _lengths(n, t)
             model.narrow(m)
-        x = columns[t, :m]
-        candidate, share = model.predict()
-        hit = (x == candidate) & model.known
-        r, share = rng[:m] >> _U(11), share.astype(_U)
-        width = r * np.where(hit, share, _U(2048) - share)
-        low[:m] += r * (share * ~hit)
-        lit = np.flatnonzero(~hit)
-        if len(lit):
-            v = x[lit]
-            mag = _BITS[v]
-            seen = model.seen[lit]
-            below = np.cumsum(seen, 1)
-            spot = np.arange(len(lit)) * _CLASSES + mag
-            mine, under = seen.ravel()[spot], below.ravel()[spot]
-            q = width[lit] // below[:, -1].astype(_U)
-            step = (q * mine.astype(_U)) >> _EXTRA[mag].astype(_U)
-            low[lit] += q * (under - mine).astype(_U) + step * (v - _FLOOR[mag]).astype(_U)
-            width[lit] = step
-            model.count(lit, mag)
-        rng[:m] = width
-        model.learn(x, hit)
+        x = ids[t, :m]
+        one, two, w1, w2 = model.predict()
+        w0 = (1 << _MIX_BITS) - w1 - w2
+        under = w0 * below[t, :m] + (w1 * (one < x) + w2 * (two < x) << _ZERO_BITS)
+        mine = w0 * share[t, :m] + (w1 * (one == x) + w2 * (two == x) << _ZERO_BITS)
+        r = rng[:m] >> _WHOLE
+        low[:m] += r * under.astype(_U)
+        rng[:m] = r * mine.astype(_U)
+        model.learn(x)
         for rows, word in _renew(low, rng, m):
             out[rows, pos[rows]] = word
             pos[rows] += 1
@@ -157,8 +183,9 @@ def _encode(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, pos
 
 
-def _decode(words: np.ndarray, at: np.ndarray, end: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Rows of ids from words[at:end] of each row, longest row first."""
+def _decode(words: np.ndarray, at: np.ndarray, end: np.ndarray, n: np.ndarray, below: np.ndarray, share: np.ndarray, slots: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Rows of ids from words[at:end] of each row, longest row first. ``table`` says which of the tables one after the other in
+    ``below`` and ``share`` (by id) and ``slots`` (ids by share) is a row's."""
     lanes = m = len(n)
     model = Model(lanes)
     words = np.concatenate([words, np.zeros(1, np.uint16)])
@@ -169,38 +196,36 @@ def _decode(words: np.ndarray, at: np.ndarray, end: np.ndarray, n: np.ndarray) -
         code = code << _U(16) | words[np.where(pos < end, pos, limit)].astype(_U)
         pos += 1
     out = np.zeros((int(n[0]), lanes), np.uint16)
+    by_id, by_slot = table * IDS, table << _ZERO_BITS
     for t in range(int(n[0])):
         if n[m - 1] <= t:
             m = _lengths(n, t)
             model.narrow(m)
-        x, share = model.predict()
-        r, share = rng[:m] >> _U(11), share.astype(_U)
-        edge = r * share
-        ahead = code[:m] - low[:m]
-        hit = ahead < edge
-        width = np.where(hit, edge, (r << _U(11)) - edge)
-        low[:m] += edge * ~hit
-        lit = np.flatnonzero(~hit)
-        if len(lit):
-            gap = ahead[lit] - edge[lit]
-            seen = model.seen[lit]
-            below = np.cumsum(seen, 1)
-            total = below[:, -1].astype(_U)
-            q = width[lit] // total
-            u = np.minimum(gap // q, total - _U(1)).astype(np.int64)
-            mag = (below <= u[:, None]).sum(1)
-            spot = np.arange(len(lit)) * _CLASSES + mag
-            mine, under = seen.ravel()[spot], below.ravel()[spot]
-            base = q * (under - mine).astype(_U)
-            step = (q * mine.astype(_U)) >> _EXTRA[mag].astype(_U)
-            rest = np.minimum((gap - base) // step, (_U(1) << _EXTRA[mag].astype(_U)) - _U(1))
-            x[lit] = rest.astype(np.int64) + _FLOOR[mag]
-            low[lit] += base + step * rest
-            width[lit] = step
-            model.count(lit, mag)
-        rng[:m] = width
+        one, two, w1, w2 = model.predict()
+        w0 = (1 << _MIX_BITS) - w1 - w2
+        r = rng[:m] >> _WHOLE
+        u = np.minimum((code[:m] - low[:m]) // r, _U((1 << int(_WHOLE)) - 1)).astype(np.int32)
+        # the two named ids in order; where they are one id, both weights are the second's
+        same, turned = one == two, one > two
+        a, b = np.where(turned, two, one), np.where(turned, one, two)
+        wb = np.where(turned, w1, w2)
+        wa, wb = (w1 + w2 - wb) * ~same, wb + w1 * same
+        wa, wb = wa << _ZERO_BITS, wb << _ZERO_BITS
+        ia, ib = by_id[:m] + a, by_id[:m] + b
+        begin_a, begin_b = w0 * below.take(ia), w0 * below.take(ib) + wa
+        end_a, end_b = begin_a + w0 * share.take(ia) + wa, begin_b + w0 * share.take(ib) + wb
+        past_a, past_b = u >= end_a, u >= end_b
+        spot = np.minimum((u - wa * past_a - wb * past_b) // w0, _ZERO - 1)
+        x = slots.take(by_slot[:m] + spot)
+        x = np.where((u >= begin_a) & ~past_a, a, x)
+        x = np.where((u >= begin_b) & ~past_b, b, x)
+        ix = by_id[:m] + x
+        under = w0 * below.take(ix) + wa * (a < x) + wb * (b < x)
+        mine = w0 * share.take(ix) + wa * (a == x) + wb * (b == x)
+        low[:m] += r * under.astype(_U)
+        rng[:m] = r * mine.astype(_U)
         out[t, :m] = x
-        model.learn(x, hit)
+        model.learn(x)
         for rows, _ in _renew(low, rng, m):
             here = pos[rows]
             code[rows] = code[rows] << _U(16) | words[np.where(here < end[rows], here, limit)].astype(_U)
@@ -215,31 +240,41 @@ def _groups(n: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def pack_ids(streams: list[np.ndarray], block: int = BLOCK) -> list[bytes]:
-    """Each stream of ids (below 65,536) as its blocks one after the other: header, then words."""
+    """Each stream of ids as its table and its blocks one after the other: header, then words. Ids must be below 65,536."""
+    if any(len(s) and int(s.max()) >= IDS for s in streams):
+        raise ValueError("ids of 65,536 and more don't fit this format")
+    tables = [shares(np.bincount(s, minlength=IDS)) if len(s) else np.zeros(IDS, np.int64) for s in streams]
+    below = [np.cumsum(t) - t for t in tables]
     blocks = [(i, s[at : at + block]) for i, s in enumerate(streams) for at in range(0, len(s), block)]
     n = np.array([len(b) for _, b in blocks], np.int64)
     coded: list[bytes] = [b""] * len(blocks)
     for group in _groups(n):
-        ids = np.zeros((len(group), int(n[group[0]])), np.uint16)
+        ids, under, mine = (np.zeros((int(n[group[0]]), len(group)), np.int32) for _ in range(3))
         for row, k in enumerate(group.tolist()):
-            ids[row, : n[k]] = blocks[k][1]
-        words, used = _encode(ids, n[group])
+            i, held = blocks[k]
+            ids[: n[k], row], under[: n[k], row], mine[: n[k], row] = held, below[i][held], tables[i][held]
+        words, used = _encode(ids, n[group], under, mine)
         for row, k in enumerate(group.tolist()):
             head = np.array([(n[k], used[row], zlib.crc32(blocks[k][1].astype("<u4").data))], HEAD)
             coded[k] = head.tobytes() + words[row, : used[row]].astype("<u2").tobytes()
-    out: list[list[bytes]] = [[] for _ in streams]
+    out: list[list[bytes]] = [[_table_bytes(t)] if len(s) else [] for s, t in zip(streams, tables, strict=True)]
     for (i, _), c in zip(blocks, coded, strict=True):
         out[i].append(c)
     return [b"".join(o) for o in out]
 
 
 def unpack_ids(payloads: list[bytes]) -> list[np.ndarray]:
-    """The streams of ids; a block that doesn't match its checksum raises ValueError."""
-    heads, where, owner = [], [], []
+    """The streams of ids; a damaged table or a block that doesn't match its checksum raises ValueError."""
+    heads, where, owner, tables = [], [], [], []
     parts, base = [], 0
     for i, data in enumerate(payloads):
         at = 0
+        if data:
+            table, at = _table_from(data)
+            tables.append(table)
         while at < len(data):
+            if at + HEAD.itemsize > len(data):
+                raise ValueError("a block is cut short")
             head = np.frombuffer(data, HEAD, 1, at)[0]
             at += HEAD.itemsize
             size = int(head["words"])
@@ -248,23 +283,27 @@ def unpack_ids(payloads: list[bytes]) -> list[np.ndarray]:
             parts.append(np.frombuffer(data, "<u2", size, at))
             heads.append(head)
             where.append(base)
-            owner.append(i)
+            owner.append((i, len(tables) - 1))
             base += size
             at += 2 * size
     if not heads:
         return [np.zeros(0, np.uint32) for _ in payloads]
     words = np.concatenate(parts)
+    share = np.concatenate(tables).astype(np.int32)
+    below = np.concatenate([np.cumsum(t) - t for t in tables]).astype(np.int32)
+    slots = np.concatenate([np.repeat(np.arange(IDS, dtype=np.uint16), t) for t in tables])
     n = np.array([h["ids"] for h in heads], np.int64)
     begin = np.array(where, np.int64)
     end = begin + np.array([h["words"] for h in heads], np.int64)
+    of = np.array([t for _, t in owner], np.int64)
     blocks: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(heads)
     for group in _groups(n):
-        ids = _decode(words, begin[group], end[group], n[group])
+        ids = _decode(words, begin[group], end[group], n[group], below, share, slots, of[group])
         for row, k in enumerate(group.tolist()):
             blocks[k] = ids[row, : n[k]].astype("<u4")
             if zlib.crc32(blocks[k].data) != heads[k]["crc"]:
                 raise ValueError("a block does not match its checksum")
     out: list[list[np.ndarray]] = [[] for _ in payloads]
-    for i, b in zip(owner, blocks, strict=True):
+    for (i, _), b in zip(owner, blocks, strict=True):
         out[i].append(b)
     return [np.concatenate(o) if o else np.zeros(0, np.uint32) for o in out]

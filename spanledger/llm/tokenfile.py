@@ -2,7 +2,7 @@
 
 A token file is a folder of Parquet files whose rows are segments: whole documents in order, with
 their ids as independent, checksummed blocks. Spark's writer commits them, so a lost executor leaves
-no half-written file, and any store that Spark reaches holds them.
+no half-written file, and any store that Spark reaches holds them. A segment has one order-0 table for its blocks.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from spanledger.llm import words as W
 from spanledger.llm.codec import pack_ids, unpack_ids
 
 END = 1
-SEGMENT = 1 << 16  # ids after which a segment ends with its document
+SEGMENT = 1 << 20  # ids after which a segment ends with its document
 AT_ONCE = 1 << 22  # ids coded side by side
 
 _SCHEMA = "shard long, segment long, doc_ids array<long>, lengths array<long>, n_ids long, payload binary"
@@ -30,8 +30,9 @@ _SCHEMA = "shard long, segment long, doc_ids array<long>, lengths array<long>, n
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     """Writes the ids of every whole text of ``docs``, each document followed by END.
 
-    Ids are those of the tokenizer file without special ids. A null text is empty. Rows are ordered by
-    doc_id, null first, rows of one doc_id by the hash of their text; further columns are not read.
+    Ids are those of the tokenizer file without special ids; one of 65,536 or more fails the job. A null text is empty. Rows are ordered by
+    doc_id, null first, rows of one doc_id by the hash of their text; further columns are not read. Without rows the
+    folder holds an empty table.
     """
     file = tokenizer or K.vocabulary("word_bpe_49k.json")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -123,9 +123,35 @@ def test_codec_notices_damage_and_learns():
     ids = np.tile(np.arange(50, dtype=np.uint32), 200)
     data = codec.pack_ids([ids])[0]
     assert len(data) < len(ids) / 4
-    for broken in (data[:-2], data[:40] + bytes([data[40] ^ 1]) + data[41:]):
-        with pytest.raises(ValueError):
-            codec.unpack_ids([broken])
+    for at in (4, 40, len(data) // 2, len(data) - 200):
+        for broken in (data[:-2], data[:at], data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :]):
+            with pytest.raises(ValueError):
+                codec.unpack_ids([broken])
+    with pytest.raises(ValueError):
+        codec.pack_ids([np.array([65536], np.uint32)])
+
+
+def test_codec_mixes_all_three_orders():
+    """Independent ids cost little more than their entropy; ids that follow from the last one, or from the last two, far less."""
+    rng = np.random.default_rng(1)
+
+    def bits(ids):
+        data = codec.pack_ids([ids.astype(np.uint32)])
+        assert np.array_equal(codec.unpack_ids(data)[0], ids)
+        return 8 * len(data[0]) / len(ids)
+
+    skewed = rng.zipf(1.35, 400_000).clip(0, 3000)
+    share = np.bincount(skewed)[np.unique(skewed)] / len(skewed)
+    assert bits(skewed) < 1.05 * -(share * np.log2(share)).sum()
+    after = rng.integers(0, 300, 300)
+    chain = [0]
+    for fresh, jump in zip(rng.integers(0, 300, 60_000).tolist(), (rng.random(60_000) < 0.1).tolist(), strict=True):
+        chain.append(fresh if jump else int(after[chain[-1]]))
+    assert bits(np.array(chain)) < 3
+    two = [0, 1]
+    for fresh, jump in zip(rng.integers(0, 20, 60_000).tolist(), (rng.random(60_000) < 0.1).tolist(), strict=True):
+        two.append(fresh if jump else (two[-1] * 7 + two[-2] * 3 + 1) % 20)
+    assert bits(np.array(two)) < 2
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])

@@ -259,8 +259,10 @@ def test_toxicity(spark, docs):
     assert [tuple(r) for r in none] == [(0.0, 0)]
 
 
-def test_empty_tables(spark, docs):
+def test_empty_tables(spark, docs, tmp_path):
     empty = docs.limit(0)
+    tokenfile.write_tokens(empty, f"{tmp_path}/file")
+    assert tokenfile.read_tokens(spark, f"{tmp_path}/file").count() == 0
     bench, labels = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
     for df in (minhash.near_duplicates(empty), decontaminate.contaminated(empty, bench), repeats.repeated_passages(empty), packing.pack(empty), fingerprint.fingerprints(empty),
                toxicity.classify(empty, labels), pii.find_personal_data(empty), secrets.find_secrets(empty)):
