@@ -85,6 +85,20 @@ def test_secrets_of_sensitive_names(line):
     assert [(k, line[a:b]) for k, a, b in secrets.spans(line)] == [("literal", value)]
 
 
+K = "q7x2m9d4k8w1z5t3"
+
+
+@pytest.mark.parametrize("text, found", [
+    (f'api_token: str = "{K}"', [K]), (f'signing_key: Optional[str] = "{K}"', [K]), (f'ssh_key = b"{K}"', [K]), (f'signing_key = rb"{K}"', [K]), (f'config["signing_key"] = "{K}"', [K]), (f"os.environ['SSH_KEY'] = '{K}'", [K]),
+    (f'client_secret = """{K}\n{K}"""', [f"{K}\n{K}"]), ('auth = "abc7K2q" + "x9Z4mm1Q"', ["abc7K2q", "x9Z4mm1Q"]), ('signing_key = (\n  "q7x2m9d4"\n  "k8w1z5t3"\n)', ["q7x2m9d4", "k8w1z5t3"]),
+    ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]), ('passphrase = "enter your passphrase here"', []), ("signing_key: |\n  q7x2m9d4\n\n  k8w1z5t3\nother: 1", ["q7x2m9d4", "k8w1z5t3"]),
+    (f"<sshKey>{K}</sshKey>", [K]), (f'<db passphrase="{K}">x</db>', [K]), ('setenv("DB_PASSWORD", "q7x2m9d4")', ["q7x2m9d4"]), (f'dbPassword := "{K}"', [K]), (f'ssh_key => "{K}"', [K]), (f'connect(auth="{K}")', [K]), (f'"ssh_key": "{K}",', [K]),
+    (f'ssh_key = LATER\nLATER = "{K}"', [K]), ('signing_key = PRE + "k8w1z5t3x"\nPRE = "q7x2"', ["k8w1z5t3x", "q7x2"]), ("a = b\nb = a\nssh_key = a", []), (f'x = "first9Z"\nssh_key = x\nx = "{K}"', []), (f"it's so, don't pwd = '{K}'", [K]), ('pwd == "hunter2"', []),
+])
+def test_secrets_of_real_syntax(text, found):
+    assert sorted(text[a:b] for k, a, b in secrets.spans(text) if k in secrets.ADDED) == sorted(found)
+
+
 def test_secrets_pass_over_placeholders():
     for t in ("pwd = 'my_password'", "pwd = 'changeme'", "pwd = ''", "pwd = None", "pwd = 'xxxxxxxxxx'", "def f(pwd: str):", "pwd = '$HOME_DIR_X'", "colour = 'q7x2m9d4k8w1z5t3'"):
         assert secrets.spans(t) == []
@@ -99,7 +113,7 @@ def test_secrets_endings_equal_the_whole_literals():
 
 
 def test_secrets_cost_grows_with_the_length():
-    for form in ("pwd=", "auth:'", 'key="\\', "salt= "):
+    for form in ("pwd=", "auth:'", 'key="\\', "salt= ", "<a ", "a = b\nb = a\n", "a = (\n", "k: |\n b\n", "x[y]: "):
         spent = []
         for n in (3_000, 12_000):
             began = time.process_time()
