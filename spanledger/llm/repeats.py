@@ -209,7 +209,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     cores = cut_lineage(texts.mapInArrow(_cores, "core long, doc_id long, pos long"))
-    common = cores.groupBy("core").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("core")
+    # written, as all aggregates here that a join follows: two plain shuffles, which AQE may split at a common core
+    common = cut_lineage(cores.groupBy("core").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("core"))
     places = cores.join(common, "core").groupBy("doc_id").agg(F.collect_set("pos").alias("wanted"))  # bounded by the document
     suffixes = cut_lineage(texts.join(places, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_around, _OPENED))
     narrow = suffixes.drop("low", "high")
@@ -219,13 +220,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 def _unmet(suffixes: DataFrame, spans: DataFrame) -> DataFrame:
     """Windows of MIN_WORDS words that two documents hold and ``spans`` may lack."""
-    found = _merged(spans).groupBy("doc_id").agg(F.collect_list(F.struct("first_word", (F.col("first_word") + F.col("n_words")).alias("end"))).alias("found"))  # bounded by the document
-    asked = suffixes.where("low <= high").select("core", "doc_id", "pos", "low", "high").join(found, "doc_id", "left")
-    inside = F.exists("found", lambda f: (f["first_word"] <= F.col("pos") - F.col("high")) & (F.col("pos") - F.col("low") + MIN_WORDS <= f["end"]))
-    opened = cut_lineage(asked.where(~F.coalesce(inside, F.lit(False))).select("core", "doc_id", "pos"))
+    asked = suffixes.where("low <= high").select("doc_id", (F.col("pos") - F.col("high")).alias("at"), (F.col("pos") - F.col("low") + MIN_WORDS).alias("need"), "core", "pos")
+    known = _merged(spans).select("doc_id", F.col("first_word").alias("at"), (F.col("first_word") + F.col("n_words")).alias("end"))
+    # spans are apart from each other, so the last one that begins before a place ends last
+    before = Window.partitionBy("doc_id").orderBy("at", F.col("end").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = asked.unionByName(known, allowMissingColumns=True).withColumn("reach", F.max("end").over(before))
+    opened = cut_lineage(reached.where(F.col("core").isNotNull() & (F.coalesce("reach", F.lit(-1)) < F.col("need"))).select("core", "doc_id", "pos"))
+    cores = cut_lineage(opened.select("core").distinct())
     form = "window long, doc_id long, start long"
-    held = suffixes.join(opened.select("core").distinct(), "core", "left_semi").select(suffixes.columns).mapInArrow(_windows, form)
-    common = held.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window")
+    held = suffixes.join(cores, "core", "left_semi").select(suffixes.columns).mapInArrow(_windows, form)
+    common = cut_lineage(held.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window"))
     mine = suffixes.join(opened, ["core", "doc_id", "pos"], "left_semi").select(suffixes.columns).mapInArrow(_windows, form)
     return mine.join(common, "window", "left_semi").select("doc_id", "start", F.lit(MIN_WORDS).cast("long").alias("words")).distinct()
 
