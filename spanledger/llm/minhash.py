@@ -31,6 +31,7 @@ BAND = 5
 BANDS = BUCKETS // BAND
 BLOCK = 512
 SKETCH = 1024  # least members of a set that stand for it in a block; smaller sets are whole there
+_MOST = np.uint64(2**64 - 1)
 SLACK = 6.0  # standard deviations that an estimate may fall short of the threshold
 
 _draws = np.random.Generator(np.random.PCG64(7)).integers(0, BUCKETS, (1024, BUCKETS))
@@ -171,11 +172,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, n, least): of each set its size and the leading 32 bits of its least SKETCH members."""
+    """(node, n, least): of each set its size and its least SKETCH members."""
     for batch in batches:
         buf, at = W.raw(batch.column(1))
         sets = [buf[x:y].view(np.uint64) for x, y in zip(at[:-1], at[1:], strict=True)]
-        short = [(s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]
+        short = [s[:SKETCH].tobytes() for s in sets]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(short, pa.binary())], ["node", "n", "least"])
 
 
@@ -183,14 +184,14 @@ def _open_bands(banded: DataFrame, found: DataFrame) -> DataFrame:
     """Rows (band, node, component, main, wide, deep) of bands that hold several components."""
     labelled = banded.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     sizes = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("held"))
-    main = sizes.groupBy("band").agg(
+    main = cut_lineage(sizes).groupBy("band").agg(
         F.sum("held").alias("total"), F.max(F.struct("held", "component")).alias("top"), F.count(F.lit(1)).alias("parts")
     ).where("parts > 1 and total > 2")
     main = main.select(
         "band", F.col("top.component").alias("main"), F.ceil(F.col("total") / BLOCK).cast("long").alias("wide"),
         F.ceil((F.col("total") - F.col("top.held")) / BLOCK).cast("long").alias("deep"),
     )
-    return labelled.join(main, "band")
+    return labelled.join(cut_lineage(main), "band")
 
 
 def _leftover(rows: DataFrame, short: DataFrame, percent: int) -> DataFrame:
@@ -250,7 +251,7 @@ def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
 
 def _alike(a: np.ndarray, b: np.ndarray) -> float:
     """Similarity estimated from the least members of two sets, up to where both are known."""
-    edge = min(a[-1] if len(a) >= SKETCH else 2**32, b[-1] if len(b) >= SKETCH else 2**32)
+    edge = min(a[-1] if len(a) >= SKETCH else _MOST, b[-1] if len(b) >= SKETCH else _MOST)
     a, b = a[a <= edge], b[b <= edge]
     both = len(np.intersect1d(a, b))
     return both / max(1, len(a) + len(b) - both)
@@ -263,7 +264,7 @@ def _meet_groups(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     stray, node, comp, n = (table.column(c).to_numpy(zero_copy_only=False) for c in (3, 4, 5, 6))
     buf, offs = W.raw(table.column(7))
-    sets = [buf[x:y].view(np.uint32) for x, y in zip(offs[:-1], offs[1:], strict=True)]
+    sets = [buf[x:y].view(np.uint64) for x, y in zip(offs[:-1], offs[1:], strict=True)]
     starts = [*np.flatnonzero(new).tolist(), table.num_rows]
     level = percent / 100
     loose = level - SLACK * (level * (1 - level) / SKETCH) ** 0.5
@@ -308,7 +309,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut_lineage(sketches(texts))
     filled = rows.where("doc_id is not null and n > 0")
-    classes = filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
+    # written, as all aggregates here that a join follows: two plain shuffles, which AQE may split at a hot key
+    classes = cut_lineage(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
     nodes = filled.join(classes, ["d1", "d2"]).where("doc_id = node").select("node", "n", "regs").dropDuplicates(["node", "regs"])
     nodes = cut_lineage(nodes)
     copies = filled.join(classes, ["d1", "d2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
@@ -316,12 +318,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     width = 2 * BAND
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width))))
     index = nodes.select("node", F.explode(bands).alias("band"))
-    shared = index.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    shared = cut_lineage(index.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
     met = cut_lineage(index.join(shared, "band"))
     # the text with the most company in all its bands stands in the middle of its group
-    middle = met.groupBy("node").agg(F.sum("held").alias("company"))
+    middle = cut_lineage(met.groupBy("node").agg(F.sum("held").alias("company")))
     pivot = met.join(middle, "node").groupBy("band").agg(F.max(F.struct("company", (-F.col("node")).alias("node"))).alias("top"))
-    pivot = pivot.select("band", (-F.col("top.node")).alias("pivot"))
+    pivot = cut_lineage(pivot.select("band", (-F.col("top.node")).alias("pivot")))
     banded = cut_lineage(met.select("band", "node").join(pivot, "band"))
 
     stars = banded.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
