@@ -1,7 +1,8 @@
 """The training-corpus pipeline: stages in order, each a table of documents in and out.
 
 Every stage reads all that its predecessor kept, written as Parquet in between; the last one returns
-the packed pieces.
+the packed pieces. All stages take rows with nulls in any column, empty and very long texts, repeated rows and further
+columns; each says what becomes of them. A table without rows passes as one without rows.
 """
 
 from __future__ import annotations
@@ -22,22 +23,25 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the recurrent network rejects."""
+    """Drops the documents that the recurrent network rejects. Null and empty texts score low and stay; rows with a null doc_id
+    are judged by their text; repeated rows share their fate."""
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
+    """Keeps one document of each group of near-duplicates. Empty and null texts are like nothing and stay, as do rows without a
+    doc_id; of rows that share a doc_id one stays."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
+    """Drops the documents that hold a benchmark item. Null and empty texts hold none; rows are judged by their text, with
+    and without a doc_id, and repeated ones alike."""
     return without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data; n_chars, where there is one, follows the text."""
+    """Masks personal data; n_chars, where there is one, follows the text. A null text stays null; every row stays."""
     masked = mask_personal_data(docs)
     if "n_chars" not in docs.columns:
         return masked
@@ -45,7 +49,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents that are left into sequences."""
+    """Packs the documents that are left into sequences. A null or empty text is its end id alone; repeated rows are packed each."""
     return pack(docs)
 
 

@@ -65,8 +65,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark item."""
+    """The rows of ``docs``, all columns, that hold no benchmark item.
+
+    Null and empty texts hold none; repeated rows, and rows without a doc_id, are judged by their text. Without items, or
+    without documents, nothing goes.
+    """
     found = contaminated(docs, benchmark, percent)
     bad = found.select(F.col("doc_id").alias("__bad_doc"), F.col("text_hash").alias("__bad_text")).distinct()
+    bad = cut_lineage(bad)  # its size is known to the join, which needn't shuffle texts for a few keys
     met = F.xxhash64(docs["text"].cast("string")).eqNullSafe(bad["__bad_text"]) & docs["doc_id"].cast("long").eqNullSafe(bad["__bad_doc"])
     return docs.join(bad, met, "left_anti")

@@ -345,10 +345,10 @@ def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     Rows without a doc_id stay. Of rows that share a kept doc_id any one stays.
     """
-    kept = near_duplicates(docs, percent).where("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows"))
+    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows"))
     kept = cut_lineage(kept)
     key = docs["doc_id"].cast("long")
-    alone, shared = kept.where("__rows = 1 or __kept is null"), kept.where("__rows > 1 and __kept is not null")
-    single = docs.join(alone, key.eqNullSafe(alone["__kept"]), "left_semi")
-    several = docs.join(shared, key == shared["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several)
+    # two joins by the same key: where texts are shuffled, they are shuffled once
+    single = docs.join(kept.where("__rows = 1"), key == F.col("__kept"), "left_semi")
+    several = docs.join(kept.where("__rows > 1"), key == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(several).unionByName(docs.where(key.isNull()))

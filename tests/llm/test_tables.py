@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from spanledger.llm import chat, decontaminate, fingerprint, minhash, packing, pii, queries, repeats, secrets, tokenfile, tokens, toxicity
+from spanledger.llm import chat, decontaminate, fingerprint, minhash, packing, pii, queries, recurrent, repeats, secrets, tokenfile, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -274,7 +274,7 @@ def test_empty_tables(spark, docs, tmp_path):
 
 def test_pipeline_and_registry(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "personal_data", "packing"]
-    assert [int(re.match(r"op(\d+)_", n).group(1)) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n).group(1)) for n in queries.QUERIES] == list(range(1, 14))
     given = spark.read.parquet(f"{SF}/documents.parquet")
     docs = given
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -283,3 +283,102 @@ def test_pipeline_and_registry(spark):
     ids = {r.doc_id for r in docs.select("doc_id").collect()}
     assert 0 < len(ids) < given.count()
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == ids
+
+
+ODD_ROWS = [(9001, None), (9002, ""), (9003, "one two"), (None, "no name at all here"), (9004, "same words again and again " * 30), (9004, "same words again and again " * 30), (9005, "mail a@b.org, call +44 20 7946 0958 123"), (9006, "x " * 60000)]
+
+
+def test_every_stage_against_a_plain_reading(spark, tmp_path):
+    """Each stage on what the one before kept, with nulls, repeated rows and further columns of clashing names."""
+    odd = spark.createDataFrame(ODD_ROWS, "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "cast(length(text) as long) as n_chars")
+    names = ("__kept", "__rows", "node", "band", "score", "item_id", "held", "start", "piece")
+    given = spark.read.parquet(f"{SF}/documents.parquet").unionByName(odd).selectExpr("*", *(f"7 as `{n}`" for n in names))
+    stages = dict(corpus_pipeline.STAGES)
+
+    def step(name, docs):
+        out = stages[name](spark, docs, SF)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    def texts(df):
+        return sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=repr)
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    scores = {r.doc_id: r.score for r in toxicity.classify(given, labels).collect()}
+    clean = step("toxicity", given)
+    assert texts(clean) == sorted(((d, t) for d, t in texts(given) if scores[d] < toxicity.REJECT), key=repr)
+
+    single = step("near_dedup", clean)
+    rows = texts(clean)
+    component = groups([(d, t or "") for d, t in rows])
+    kept = sorted({(d, t) for d, t in rows if d is None or component[d] == d}, key=repr)
+    assert sorted(set(texts(single)), key=repr) == kept and len(texts(single)) == len(kept)
+
+    fresh = step("decontamination", single)
+    items = [shingles(r.text, str.lower) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    def holds(t):
+        mine = shingles(t or "", str.lower)
+        return any(100 * len(i & mine) >= 75 * len(i) for i in items if i)
+    assert texts(fresh) == [(d, t) for d, t in texts(single) if not holds(t)]
+
+    masked = step("personal_data", fresh)
+    assert texts(masked) == sorted(((d, None if t is None else pii.masked(t)) for d, t in texts(fresh)), key=repr)
+    assert all(r.n_chars == len(r.text) for r in masked.select("n_chars", "text").collect() if r.text is not None)
+
+    enc = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json")).tokenizer
+    packed = corpus_pipeline.STAGES[-1][1](spark, masked, SF).collect()
+    sizes = collections.Counter()
+    for r in packed:
+        sizes[r.doc_id] += r.length
+    assert sizes == collections.Counter({d: len(enc.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in texts(masked)})
+
+
+def test_stages_of_no_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
+
+
+def plain_score(p, text):
+    """A text's score by one window and one word at a time, from the weights alone."""
+    buf = np.frombuffer((text or "").encode(), np.uint8)
+    hashes, begin, end, first, (low, starts, ends) = recurrent.inputs(buf, np.array([0, len(buf)]))
+    n = int(first[-1])
+    def sig(x):
+        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    logits, soft, at = [], 0.0, 0
+    vocabulary = p["vocabulary"].tolist()
+    while n and (at == 0 or at < n - (recurrent.LENGTH - recurrent.STRIDE)):
+        xs = []
+        for w in range(at, min(n, at + recurrent.LENGTH)):
+            row = vocabulary.index(hashes[w]) + 1 if hashes[w] in vocabulary else 0
+            b = [0, *low[starts[w] : ends[w]].tolist(), 0]
+            grams = [int(recurrent._gram(*(np.array([v], np.uint8) for v in b[k : k + 3]))[0]) for k in range(len(b) - 2)]
+            xs.append(np.concatenate([p["word"][row], p["char"][begin[w]] + p["char"][end[w]] + p["gram"][grams].mean(0)]).astype(float))
+        states = []
+        for side, order in (("f", range(len(xs))), ("b", range(len(xs) - 1, -1, -1))):
+            h, out = np.zeros(recurrent.HIDDEN), [None] * len(xs)
+            for t in order:
+                g, r_ = xs[t] @ p["x" + side] + p["c" + side], h @ p["h" + side]
+                k = recurrent.HIDDEN
+                z, r = sig(g[:k] + r_[:k]), sig(g[k : 2 * k] + r_[k : 2 * k])
+                new = np.tanh(g[2 * k :] + r * r_[2 * k :])
+                h = out[t] = new + z * (h - new)
+            states.append(out)
+        s = np.array([np.concatenate(x) for x in zip(*states, strict=True)])
+        energy = np.tanh(s @ p["u"]) @ p["v"]
+        weight = np.exp(energy - energy.max())
+        local = s @ p["o"] + p["k"][0]
+        logits.append(float((weight / weight.sum()) @ local))
+        soft += sig(local).sum()
+        at += recurrent.STRIDE
+    x = np.array([[max([-10.0, *np.clip(logits, -10, 10)]), np.log1p(sum(sig(v) for v in logits)), np.log1p(soft), np.log1p(n)]])
+    return float(1 / (1 + np.exp(-np.clip(toxicity._expand(x) @ p["final"], -30, 30)))[0])
+
+
+def test_scores_equal_a_plain_forward_pass(spark, docs):
+    model = toxicity.learn(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    p = recurrent.load(model)
+    for r in toxicity.score(docs.where("length(text) < 4000 or text is null"), model).join(docs.select("doc_id", "text"), "doc_id").limit(60).collect():
+        assert abs(r.score - plain_score(p, r.text)) < 1e-4
