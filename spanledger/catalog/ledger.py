@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from spanledger.catalog import ORACLES, query
+from spanledger.catalog import query
 from spanledger.catalog.twins import with_parts
 from spanledger.functions.usage import usage_from_json
 from spanledger.operators import audit, ontology, quota, usage
@@ -186,7 +186,7 @@ def win_rate_admission(spark, sf):
 ADMIT_RATES = re.sub(r"\b(asked|nr|run)\b", r"\1_rate", ADMIT)
 
 
-@query("job_quota_refusals", with_parts("""
+REFUSED_SLOTS_AND_RATES = with_parts("""
     , asked AS (SELECT tenant_id, event_id, at_micros, until_micros, max_concurrent AS cap FROM requests JOIN tenant_tiers USING (tenant_id))
     , asked_rate AS (SELECT tenant_id, event_id, at_micros, at_micros + 3600000000 AS until_micros, CAST(2 AS BIGINT) AS cap FROM requests)"""
     + ADMIT + ADMIT_RATES + """
@@ -196,8 +196,10 @@ ADMIT_RATES = re.sub(r"\b(asked|nr|run)\b", r"\1_rate", ADMIT)
       CASE gate WHEN 'slot' THEN 'concurrent_limit_exceeded' ELSE 'rate_limit_exceeded' END AS action, occurred_at, 'user' AS actor_type, 'quota' AS scope,
       CASE gate WHEN 'slot' THEN '{"active":'||cap||',"max_concurrent":'||cap||',"reason":"concurrent ingestion limit"}'
         ELSE '{"in_window":'||cap||',"rate_limit":'||cap||',"reason":"request rate limit"}' END AS metadata_json
-    FROM refused JOIN requests USING (tenant_id, event_id)""", "requests", "tenant_tiers"))
-def job_quota_refusals(spark, sf):
+    FROM refused JOIN requests USING (tenant_id, event_id)""", "requests", "tenant_tiers")
+
+
+def slot_and_rate_refusals(spark, sf):
     """A gate refuses exactly when as many admitted requests hold as its limit allows."""
     def refused(requests, gate, action, reason, held, limit):
         out = quota.admissions(requests).where("not accepted").join(requests.select("tenant_id", "event_id", "at_micros", "cap"), ["tenant_id", "event_id"])
@@ -208,16 +210,23 @@ def job_quota_refusals(spark, sf):
     return slots.unionByName(refused(rate_requests(spark, sf), "rate", "rate_limit_exceeded", "request rate limit", "in_window", "rate_limit"))
 
 
-@query("job_quota_refusals_all", f"SELECT * FROM ({ORACLES['job_quota_refusals']}) UNION ALL SELECT * FROM (" + with_parts("""
+# spend caps are cut to a thousandth, so that these data reach them
+CAP_PART = 1000
+REFUSED = f"SELECT * FROM ({REFUSED_SLOTS_AND_RATES}) UNION ALL SELECT * FROM (" + with_parts("""
     SELECT 'refusal-spend-'||event_id AS event_id, tenant_id, 'authorization_failure' AS event_type, 'spend_cap_exceeded' AS action, occurred_at, 'user' AS actor_type, 'quota' AS scope,
       '{"current_spend_millicents":'||spent||',"spend_cap_millicents":'||spend_cap_millicents||',"projected_cost_millicents":'||cost_millicents||',"reason":"period spend cap"}' AS metadata_json
     FROM (SELECT u.*, CAST(coalesce(sum(cost_millicents) OVER (PARTITION BY u.tenant_id ORDER BY epoch_us(occurred_at)
-        RANGE BETWEEN 604800000000 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent, spend_cap_millicents
-      FROM usage_events u JOIN tenant_tiers USING (tenant_id)) WHERE spent + cost_millicents >= spend_cap_millicents""", "usage_events", "tenant_tiers") + ")")
-def job_quota_refusals_all(spark, sf):
-    """Slots, rates and, as the third gate, the spend cap."""
+        RANGE BETWEEN 604800000000 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent, spend_cap_millicents // 1000 AS spend_cap_millicents
+      FROM usage_events u JOIN tenant_tiers USING (tenant_id)) WHERE spent + cost_millicents >= spend_cap_millicents""", "usage_events", "tenant_tiers") + ")"
+
+
+@query("job_quota_refusals_all", REFUSED)
+@query("job_quota_refusals", REFUSED)
+def job_quota_refusals(spark, sf):
+    """Slots, rates and, as the third gate, the spend cap; two names of one job."""
     events = dt.usage_events(spark, sf).withColumn("at_micros", dt.micros(F.col("occurred_at")))
-    return job_quota_refusals(spark, sf).unionByName(spend_refusals(events, dt.tenant_tiers(spark, sf), 7))
+    tiers = dt.tenant_tiers(spark, sf).withColumn("spend_cap_millicents", F.floor(F.col("spend_cap_millicents") / CAP_PART).cast("bigint"))
+    return slot_and_rate_refusals(spark, sf).unionByName(spend_refusals(events, tiers, 7))
 
 
 def spend_refusals(events, tiers, period_days):

@@ -7,6 +7,8 @@ row; only counts are shuffled.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,21 +62,21 @@ def texts_match(left: Column, right: Column, threshold: float = MATCH_THRESHOLD)
 def match_in_order(
     predictions: list[frozenset], labels: list[frozenset], threshold: float
 ) -> list[int]:
-    """Index of the label each prediction takes, -1 for none: first come, first match."""
-    free = list(range(len(labels)))
-    taken = []
+    """Index of the label each prediction takes, -1 for none: first come, first match.
+
+    Labels are found by their tokens, so a prediction meets those alone that share one with it. ``threshold`` is above 0.
+    """
+    holders: dict[str, list[int]] = defaultdict(list)
+    for index, tokens in enumerate(labels):
+        for token in tokens:
+            holders[token].append(index)
+    taken: list[int] = []
+    gone: set[int] = set()
     for tokens in predictions:
-        hit = -1
-        for position, index in enumerate(free):
-            other = labels[index]
-            size = len(tokens) + len(other)
-            # the overlap cannot exceed the smaller side
-            if not tokens or not other or 2.0 * min(len(tokens), len(other)) / size < threshold:
-                continue
-            if tokens == other or 2.0 * len(tokens & other) / size >= threshold:
-                hit = index
-                del free[position]
-                break
+        shared = Counter(i for t in tokens for i in holders.get(t, ()) if i not in gone)
+        fits = (i for i, n in shared.items() if 2.0 * n / (len(tokens) + len(labels[i])) >= threshold)
+        hit = min(fits, default=-1)
+        gone.add(hit)
         taken.append(hit)
     return taken
 

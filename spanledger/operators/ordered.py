@@ -228,3 +228,23 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     ordered = [*order, *[c for c in rest if c not in order]]
     packed = df.groupBy(*keys).agg(F.max(F.struct(*ordered)).alias("__r"))
     return packed.select(*keys, "__r.*").select(*df.columns)
+
+
+def with_keys_of(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``df`` semi- or anti-joined with the keys of ``other``; null keys are equal, as they are to an aggregate."""
+    told = other.select(*(F.col(k).alias(f"__{k}") for k in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return df.join(told, same, how)
+
+
+def once_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of every key, for tables in which few keys repeat.
+
+    Counting needs the keys alone; what repeats is written, and only its rows are compared as a whole. All others pass by an
+    anti-join with that table, whose size decides how it is joined. ``df`` is read three times, so it should be a
+    written table.
+    """
+    repeated = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"))
+    return with_keys_of(df, repeated, keys, "left_anti").unionByName(first_per_key(with_keys_of(df, repeated, keys, "left_semi"), keys, order))

@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from spanledger.functions.text import valid_provenance, valid_span
 
 
-def split_by(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
-    """(accepted, quarantined) rows; an unknown verdict is a refusal."""
-    sure = F.coalesce(ok, F.lit(False))
-    return df.where(sure), df.where(~sure)
-
-
 def require(df: DataFrame, ok: Column, message: str) -> DataFrame:
     """The same rows; the write that reads them fails on the first bad one."""
     sure = F.coalesce(ok, F.lit(False))

@@ -75,9 +75,10 @@ PREDICTION_RECORD = (
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Prediction records of a JSON Lines file; the last record of a contract wins.
 
-    File name, block offset and position within the block decide what is last.
+    File name, block offset and position within the block decide what is last. Blank lines don't count; a line that
+    isn't a record fails the job, since what it said would be missing without a trace (``refused_predictions`` lists them).
     """
-    lines = spark.read.schema(PREDICTION_RECORD).json(path)
+    lines = spark.read.schema(PREDICTION_RECORD).option("mode", "FAILFAST").json(path)
     place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
     contract = F.coalesce(F.nullif("contract", F.lit("")), F.nullif("filename", F.lit("")))
     # one pass: the place is compared and the record carried inside the aggregate
@@ -91,6 +92,16 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return newest.select("contract", "r.*")
 
 
+def refused_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, reason): lines that ``read_predictions`` can't use, unreadable ones and those that name no contract."""
+    lines = spark.read.schema(PREDICTION_RECORD + ", __line string").option("columnNameOfCorruptRecord", "__line").json(path)
+    named = F.coalesce(F.nullif("contract", F.lit("")), F.nullif("filename", F.lit("")))
+    # the file is asked for in the same scan, which also keeps the reader from pruning the record away
+    told = lines.select(F.col("_metadata.file_path").alias("file"), "__line", named.alias("__contract"), "prompt_hash", "predictions")
+    reason = F.when(F.col("__line").isNotNull(), "unreadable").when(F.col("__contract").isNull(), "no_contract")
+    return told.withColumn("reason", reason).where("reason is not null").select("file", F.col("__line").alias("line"), "reason")
+
+
 def predictions_long(records: DataFrame) -> DataFrame:
     """contract, category, items: the value is the normalised one, else the name."""
     flat = records.select("contract", F.explode("predictions").alias("category", "raw"))

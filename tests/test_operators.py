@@ -431,9 +431,18 @@ def test_predictions_file(spark, tmp_path):
     assert got == [("a", "Parties", [("N", "q", False), ("", "", True)])]
 
 
+def test_unusable_prediction_lines_are_told(spark, tmp_path):
+    path = tmp_path / "p.jsonl"
+    path.write_text('{"contract":"a","prompt_hash":"h","predictions":{}}\n{"contract":"b","predic\n\n{"prompt_hash":"h","predictions":{}}\n')
+    told = ev_src.refused_predictions(spark, str(path))
+    assert {(r.line, r.reason) for r in told.collect()} == {('{"contract":"b","predic', "unreadable"), (None, "no_contract")}
+    with pytest.raises(Exception, match="(?i)malformed"):
+        ev_src.read_predictions(spark, str(path)).collect()
+
+
 def scoring_rows(spark, wrong=False, empty=False):
     labels = spark.createDataFrame(
-        [("a", "Parties", ['ScanSource, Inc. ("Cisco"); Bolt LLC']), ("a", "Agreement Date", ["November 30, 2017"]),
+        [("a", "Parties", ['Copper Kettle, Inc. ("Kettle"); Bolt LLC']), ("a", "Agreement Date", ["October 21, 2016"]),
          ("a", "Exclusivity", ["The buyer shall buy only here", "No other seller may be used"]),
          ("b", "Parties", ["Gamma Corp"]), ("b", "Agreement Date", ["1/2/2018"]), ("b", "Exclusivity", ["Completely different words follow"])],
         "contract string, category string, answers array<string>")
@@ -463,8 +472,8 @@ def test_swapped_labels_recall_near_zero(spark):
 
 def test_party_modes(spark):
     schema = "contract string, category string, answers array<string>, items array<struct<value:string,quote:string,found:boolean>>"
-    df = spark.createDataFrame([("a", "Parties", ['ScanSource, Inc.', 'Big Systems, Inc. ("Cisco")'],
-                                 [("ScanSource, Inc.", "", True), ("Cisco", "", True)])], schema)
+    df = spark.createDataFrame([("a", "Parties", ['Copper Kettle, Inc.', 'Big Stoves, Inc. ("Stove")'],
+                                 [("Copper Kettle, Inc.", "", True), ("Stove", "", True)])], schema)
     got = {r["mode"]: (r.tp, r.fp, r.fn) for r in evaluation.compare_party_modes(df).collect()}
     assert got == {"alias-aware": (2, 0, 0), "exact-name": (1, 1, 1)}
 
