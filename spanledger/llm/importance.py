@@ -41,7 +41,7 @@ def words(text: bytes) -> list[bytes]:
 def checksums(held: list[bytes], longest: int = LONGEST) -> Counter[int]:
     """How often each checksum occurs among all runs of 1 to ``longest`` words."""
     if longest == 1:
-        return Counter(held) if not held else _reduced(Counter(held))
+        return _reduced(Counter(held))
     found: Counter[int] = Counter()
     carried = [crc32(w) for w in held]
     found.update(carried)

@@ -349,6 +349,7 @@ def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     kept = cut_lineage(kept)
     key = docs["doc_id"].cast("long")
     # two joins by the same key: where texts are shuffled, they are shuffled once
-    single = docs.join(kept.where("__rows = 1"), key == F.col("__kept"), "left_semi")
-    several = docs.join(kept.where("__rows > 1"), key == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    alone, shared = kept.where("__rows = 1"), kept.where("__rows > 1")
+    single = docs.join(alone, key == alone["__kept"], "left_semi")
+    several = docs.join(shared, key == shared["__kept"], "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(several).unionByName(docs.where(key.isNull()))
