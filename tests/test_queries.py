@@ -20,7 +20,7 @@ CHECKED = (
     "join_anti_orphans", "agg_assertion_support", "agg_shared_facts", "win_supersede_close", "join_asof_bitemporal",
     "win_active_membership", "win_golden_records", "join_expand_hops", "top_overview", "agg_usage_tenant",
     "win_spend_trailing", "win_slot_admission", "fn_chunk_lines", "fn_norm_date", "job_evaluate", "agg_deletion_result",
-    "str_usage_windows",
+    "str_usage_windows", "join_asof_bitemporal_table", "opt_similar_candidates", "opt_label_disagreements", "opt_edge_signature",
 )
 
 
