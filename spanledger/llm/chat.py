@@ -85,7 +85,7 @@ def _counted(tokenizer: str):
                 ["conv_id", "role", "text", "range", "tokens", "rank", "before"],
             )
 
-    return K.freeing(tokenizer, run)
+    return run
 
 
 def _placed(turns: DataFrame, tokenizer: str) -> DataFrame:

@@ -9,7 +9,6 @@ Texts with unusual white space, zero bytes or the string ``<|`` are encoded whol
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -191,21 +190,10 @@ def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 
 @cache
 def encoder(path: str) -> Encoder:
-    """One encoder for each file in a Python worker; tasks that use it are ``freeing``."""
+    """One encoder for each file in a Python worker; what it keeps between tasks is bounded by KNOWN_PIECES and KNOWN_IDS."""
     return Encoder(path)
 
 
-def freeing(path: str, run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` over batches; the pieces that its task taught the encoder go when it ends, the file stays loaded."""
-    def task(batches: Iterator) -> Iterator:
-        try:
-            yield from run(batches)
-        finally:
-            encoder(path).clear()
-
-    return task
-
-
 def with_end(ids: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same rows, each followed by the id ``end``."""
     n = len(first) - 1

@@ -291,18 +291,16 @@ def test_account_boundaries(text, form):
     assert [text[a:b] for k, a, b in pii.spans(text) if k == "account"] == ([form] if form else [])
 
 
-def test_an_encoder_forgets_with_its_task():
-    path = tokens.vocabulary("byte_bpe_50k.json")
-
-    def run(batches):
-        for text in batches:
-            buf = np.frombuffer(text.encode(), np.uint8)
-            yield tokens.encoder(path).encode(buf, np.array([0, len(buf)]))[0].tolist()
-            assert tokens.encoder(path).known
-
-    given = ["some words here", "and others there"]
-    assert list(tokens.freeing(path, run)(iter(given))) == [tokens.encoder(path).whole(t).tolist() for t in given]
-    assert tokens.encoder(path).known == 0
+def test_an_encoder_keeps_a_bounded_number_of_pieces(monkeypatch):
+    monkeypatch.setattr(tokens, "KNOWN_PIECES", 300)
+    monkeypatch.setattr(tokens, "AT_ONCE", 7)
+    enc, rng, most = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json")), random.Random(2), 0
+    for _ in range(30):
+        text = " ".join("%x" % rng.randrange(10**6) for _ in range(90)) + " é 中文"
+        buf = np.frombuffer(text.encode(), np.uint8)
+        assert enc.encode(buf, np.array([0, len(buf)]))[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+        most = max(most, enc.known)
+    assert 300 < most < 400 and len(enc.ids) < 4000
 
 
 def test_training_reads_a_sample_in_pieces(monkeypatch):
