@@ -6,7 +6,7 @@ its ids. Two tables of the block name the next id after the last two ids (order
 confidence that grows with every hit. The three orders are one distribution: the weights of order 2 and order 1
 are added to the ids they name, all other weight is spread by order 0. The weights are the rates at which either
 was right so far in this block, learnt apart for each pair of confidences. A range coder codes each id in one step of that mixture
-into 16-bit words. All arithmetic is in integers, so blocks read the same on any machine.
+into 32-bit words. All arithmetic is in integers, so blocks read the same on any machine.
 
 Many blocks are coded side by side: every step takes one id of each, so the cost of numpy's calls is shared by
 thousands of ids.
@@ -26,14 +26,13 @@ IDS = 1 << 16
 HEAD = np.dtype([("ids", "<u4"), ("words", "<u4"), ("crc", "<u4")])
 
 _U = np.uint64
-_TOP, _BOT = _U(1 << 48), _U(1 << 40)
+_TOP, _BOT = _U(1 << 32), _U(1 << 29)  # a word leaves when low and high agree above _TOP, or the range is below _BOT
 _ZERO_BITS = 18  # an order-0 table's shares add up to 1 << _ZERO_BITS
 _ZERO = 1 << _ZERO_BITS
-_MIX_BITS = 12  # weights of the three orders add up to 1 << _MIX_BITS
-_LEAST = 1 << 5  # of order 0's weight
+_MIX_BITS = 10  # weights of the three orders add up to 1 << _MIX_BITS
+_LEAST = 1 << 3  # of order 0's weight
 _WHOLE = _U(_MIX_BITS + _ZERO_BITS)
 _STATES = 32  # confidences of both orders, and whether they name the same id
-_UP = np.array([1, 1, 1, 0], np.int32) << 16
 _MASK = (1 << HASH_BITS) - 1
 # first guesses: 16-bit rates at which order 2 and, beside it, order 1 are right, by confidences (0 is unknown)
 _TWO, _ONE = [0, 22000, 36000, 50000], [0, 9000, 16000, 26000]
@@ -79,59 +78,60 @@ def _table_from(data: bytes) -> tuple[np.ndarray, int]:
 
 
 class Model:
-    """Predictions and weights of many blocks, a row for each."""
+    """Predictions and weights of many blocks, a row for each; what both orders have stands in two rows, order 1 first."""
 
     def __init__(self, lanes: int) -> None:
         rows = np.arange(lanes)
-        self.base1, self.base2 = rows << HASH_BITS, (rows + lanes) << HASH_BITS
-        self.table = np.zeros(2 * lanes << HASH_BITS, np.int32)  # named id | confidence << 16, order 1 then order 2
-        self.right1, self.right2 = (np.tile(_RATES[:, k], lanes) for k in (1, 0))  # by lane and state: order 1 right beside order 2, order 2 right
-        self.state = (rows * _STATES).astype(np.int32)
-        self.at1, self.at2 = self.base1.copy(), self.base2.copy()
-        self.m, self.last = lanes, np.zeros(lanes, np.int64)
+        self.base = np.stack([rows << HASH_BITS, (rows + lanes) << HASH_BITS])
+        self.table = np.zeros(2 * lanes << HASH_BITS, np.int32)  # named id | confidence << 16
+        self.right = np.concatenate([np.tile(_RATES[:, k], lanes) for k in (1, 0)])  # by lane and state: order 1 right beside order 2, order 2 right
+        self.apart = np.array([[0], [lanes * _STATES]])
+        self.state = rows * _STATES
+        self.at = self.base.copy()
+        self.last = np.zeros(lanes, np.int64)
 
     def narrow(self, m: int) -> None:
         """From here on only the first ``m`` rows have ids."""
-        for name in ("at1", "at2", "base1", "base2", "state", "last"):
-            setattr(self, name, getattr(self, name)[:m])
-        self.m = m
+        self.base, self.at = (np.ascontiguousarray(v[:, :m]) for v in (self.base, self.at))
+        self.state, self.last = self.state[:m], self.last[:m]
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The ids that orders 1 and 2 name and their weights."""
-        self.entry1, self.entry2 = self.table.take(self.at1), self.table.take(self.at2)
-        self.one, self.two = self.entry1 & 0xFFFF, self.entry2 & 0xFFFF
-        self.trust1, self.trust2 = self.entry1 >> 16, self.entry2 >> 16
-        i = self.trust2 << 3
-        i += self.trust1 << 1
-        i += self.state
-        i += self.one == self.two
-        self.i = i
-        self.rate1, self.rate2 = self.right1.take(i), self.right2.take(i)
-        w2 = np.minimum(self.rate2 >> (16 - _MIX_BITS), (1 << _MIX_BITS) - 2 * _LEAST)
-        return self.one, self.two, np.minimum(self.rate1 >> (16 - _MIX_BITS), (1 << _MIX_BITS) - _LEAST - w2), w2
+        self.entry = self.table.take(self.at)
+        self.named = self.entry & 0xFFFF
+        self.trust = self.entry >> 16
+        one, two = self.named
+        i = self.trust[1] << 3
+        i += self.trust[0] << 1
+        i += one == two
+        self.i = self.apart + (self.state + i)
+        self.rate = self.right.take(self.i)
+        w = self.rate >> (16 - _MIX_BITS)
+        w2 = np.minimum(w[1], (1 << _MIX_BITS) - 2 * _LEAST)
+        return one, two, np.minimum(w[0], (1 << _MIX_BITS) - _LEAST - w2), w2
 
     def learn(self, x: np.ndarray) -> None:
         """Takes the ids that came and moves on."""
-        hit1, hit2 = self.one == x, self.two == x
-        only = hit1 > hit2
-        for right, rate, hit in ((self.right1, self.rate1, only), (self.right2, self.rate2, hit2)):
-            move = hit * np.int32(65535)
-            move -= rate
-            move >>= 4
-            move += rate
-            right[self.i] = move
-        fresh = x | (1 << 16)
-        for at, entry, trust, hit in ((self.at1, self.entry1, self.trust1, hit1), (self.at2, self.entry2, self.trust2, hit2)):
-            other = np.where(trust > 1, entry - (1 << 16), fresh)
-            np.copyto(other, entry + _UP.take(trust), where=hit)
-            self.table[at] = other
-        wide = x.astype(np.int64)
-        turn = wide * 0x9E3779B1
-        self.at1 = (turn >> 15 & _MASK) + self.base1
-        turn ^= self.last * 0x85EBCA6B
+        hit = self.named == x
+        goal = hit * np.int32(65535)
+        goal[0] *= ~hit[1]
+        goal -= self.rate
+        goal >>= 4
+        goal += self.rate
+        self.right[self.i] = goal
+        # a hit adds to the confidence, a miss takes from it; an id without confidence gives way
+        other = np.where(self.trust > 1, self.entry - (1 << 16), x | (1 << 16))
+        np.copyto(other, np.minimum(self.entry + (1 << 16), self.named | (3 << 16)), where=hit)
+        self.table[self.at] = other
+        turn = x.astype(np.int64)
+        last, self.last = self.last, turn
+        turn = turn * 0x9E3779B1
+        self.at[0] = turn >> 15
+        turn ^= last * 0x85EBCA6B
         turn *= 0x27D4EB2F
-        self.at2 = (turn >> 17 & _MASK) + self.base2
-        self.last = wide
+        self.at[1] = turn >> 17
+        self.at &= _MASK
+        self.at += self.base
 
 
 def _lengths(n: np.ndarray, t: int) -> int:
@@ -142,16 +142,17 @@ def _renew(low: np.ndarray, rng: np.ndarray, m: int) -> Iterator[tuple[np.ndarra
     """Rows whose range got small, with the word that leaves each; their state moves on by a word."""
     rows, l, g = None, low[:m], rng[:m]
     while True:
-        small = g < _BOT
-        go = np.flatnonzero(((l ^ (l + g)) < _TOP) | small)
+        apart = (l ^ (l + g)) >= _TOP
+        go = np.flatnonzero(~apart | (g < _BOT))
         if not len(go):
             return
         rows = go if rows is None else rows[go]
-        l, g = l[go], g[go]
-        tight = (l ^ (l + g)) >= _TOP  # small without a common word: cut the range at the next border
-        g = np.where(tight, (_U(0) - l) & (_BOT - _U(1)), g)
-        yield rows, l >> _U(48)
-        l, g = l << _U(16), g << _U(16)
+        l, g, apart = l.take(go), g.take(go), apart.take(go)
+        if apart.any():  # small without a common word: cut the range at the next border
+            g = np.where(apart, (_U(0) - l) & (_BOT - _U(1)), g)
+        yield rows, l >> _U(32)
+        l <<= _U(32)
+        g <<= _U(32)
         low[rows], rng[rows] = l, g
 
 
@@ -160,7 +161,7 @@ def _encode(ids: np.ndarray, n: np.ndarray, below: np.ndarray, share: np.ndarray
     lanes = m = len(n)
     model = Model(lanes)
     low, rng = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
-    out, pos = np.zeros((lanes, int(n[0]) * 5 // 2 + 8), np.uint16), np.zeros(lanes, np.int64)
+    out, pos = np.zeros((lanes, int(n[0]) * 5 // 4 + 8), np.uint32), np.zeros(lanes, np.int64)
     for t in range(int(n[0])):
         if n[m - 1] <= t:
             m = _lengths(n, t)
@@ -177,8 +178,8 @@ def _encode(ids: np.ndarray, n: np.ndarray, below: np.ndarray, share: np.ndarray
         for rows, word in _renew(low, rng, m):
             out[rows, pos[rows]] = word
             pos[rows] += 1
-    for k in (48, 32, 16, 0):
-        out[np.arange(lanes), pos] = (low >> _U(k)) & _U(0xFFFF)
+    for k in (32, 0):
+        out[np.arange(lanes), pos] = (low >> _U(k)) & _U(0xFFFFFFFF)
         pos += 1
     return out, pos
 
@@ -188,12 +189,12 @@ def _decode(words: np.ndarray, at: np.ndarray, end: np.ndarray, n: np.ndarray, b
     ``below`` and ``share`` (by id) and ``slots`` (ids by share) is a row's."""
     lanes = m = len(n)
     model = Model(lanes)
-    words = np.concatenate([words, np.zeros(1, np.uint16)])
+    words = np.concatenate([words, np.zeros(1, np.uint32)])
     limit = len(words) - 1
     low, rng, code = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U), np.zeros(lanes, _U)
     pos = at.copy()
-    for _ in range(4):
-        code = code << _U(16) | words[np.where(pos < end, pos, limit)].astype(_U)
+    for _ in range(2):
+        code = code << _U(32) | words[np.where(pos < end, pos, limit)].astype(_U)
         pos += 1
     out = np.zeros((int(n[0]), lanes), np.uint16)
     by_id, by_slot = table * IDS, table << _ZERO_BITS
@@ -228,7 +229,7 @@ def _decode(words: np.ndarray, at: np.ndarray, end: np.ndarray, n: np.ndarray, b
         model.learn(x)
         for rows, _ in _renew(low, rng, m):
             here = pos[rows]
-            code[rows] = code[rows] << _U(16) | words[np.where(here < end[rows], here, limit)].astype(_U)
+            code[rows] = code[rows] << _U(32) | words[np.where(here < end[rows], here, limit)].astype(_U)
             pos[rows] = here + 1
     return out.T
 
@@ -256,7 +257,7 @@ def pack_ids(streams: list[np.ndarray], block: int = BLOCK) -> list[bytes]:
         words, used = _encode(ids, n[group], under, mine)
         for row, k in enumerate(group.tolist()):
             head = np.array([(n[k], used[row], zlib.crc32(blocks[k][1].astype("<u4").data))], HEAD)
-            coded[k] = head.tobytes() + words[row, : used[row]].astype("<u2").tobytes()
+            coded[k] = head.tobytes() + words[row, : used[row]].astype("<u4").tobytes()
     out: list[list[bytes]] = [[_table_bytes(t)] if len(s) else [] for s, t in zip(streams, tables, strict=True)]
     for (i, _), c in zip(blocks, coded, strict=True):
         out[i].append(c)
@@ -278,14 +279,14 @@ def unpack_ids(payloads: list[bytes]) -> list[np.ndarray]:
             head = np.frombuffer(data, HEAD, 1, at)[0]
             at += HEAD.itemsize
             size = int(head["words"])
-            if at + 2 * size > len(data):
+            if at + 4 * size > len(data):
                 raise ValueError("a block is cut short")
-            parts.append(np.frombuffer(data, "<u2", size, at))
+            parts.append(np.frombuffer(data, "<u4", size, at))
             heads.append(head)
             where.append(base)
             owner.append((i, len(tables) - 1))
             base += size
-            at += 2 * size
+            at += 4 * size
     if not heads:
         return [np.zeros(0, np.uint32) for _ in payloads]
     words = np.concatenate(parts)

@@ -17,9 +17,9 @@ import numpy as np
 from spanledger.llm import words as W
 
 DEFAULT_FOLDER = "/opt/tokenizers"
-KNOWN_PIECES = 400_000  # an encoder forgets its pieces beyond this number,
-KNOWN_IDS = 4_000_000  # and beyond so many ids; with the table of pieces that is 24 MB
-SLOTS = 1 << 20
+KNOWN_PIECES = 1_500_000  # an encoder forgets its pieces beyond this number,
+KNOWN_IDS = 8_000_000  # and beyond so many ids; with the table of pieces that is 76 MB
+SLOTS = 1 << 22
 AT_ONCE = 10_000  # pieces that the library encodes in one call
 LONG_PIECE = 2000
 
