@@ -173,12 +173,15 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, open_w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         encoder, packer = K.encoder(path), Packer(part << 32, size, open_windows)
-        for batch in batches:
-            for rows, buf, offs in W.pieces(batch):
-                ids, first = K.with_end(*encoder.encode(buf, offs), END)
-                for doc, a, b in zip(rows.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    packer.add(doc, ids[a:b])
-                yield _table(packer.take(), part)
+        try:
+            for batch in batches:
+                for rows, buf, offs in W.pieces(batch):
+                    ids, first = K.with_end(*encoder.encode(buf, offs), END)
+                    for doc, a, b in zip(rows.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                        packer.add(doc, ids[a:b])
+                    yield _table(packer.take(), part)
+        finally:
+            encoder.clear()  # other stages of a pipeline use this worker's memory next
         left = [(p, w) for _, _, w in packer.gaps for p in w.pieces]
         yield _table([(d, s, len(i), 0, n, w.number, at) for (d, s, i, n, at), w in left], part, [p[2].tobytes() for p, _ in left])
 
