@@ -506,3 +506,50 @@ def test_audit_keys_are_decoded_and_unreadable_metadata_is_refused(spark):
     rows = spark.createDataFrame([(m,) for m in cases], "metadata_json string").selectExpr(
         "'data_access' as event_type", "'m' as model", "'1' as model_version", "0 as input_tokens", "0 as output_tokens", "metadata_json")
     assert {r.metadata_json: r.reason for r in audit.judged(rows).collect()} == cases
+
+
+def test_packed_ids_come_back(one):
+    from spanledger.functions.ids import packed, unpacked
+
+    texts = {"a": "6ba7b811-9dad-11d1-80b4-00c04fd430c8", "b": "6BA7B811-9dad-11d1-80b4-00c04fd430c8", "c": "", "d": "next-12", "e": "x" * 16,
+             "f": "6ba7b811-9dad-11d1-80b4-00c04fd430c8-retry", "g": "6ba7b8119dad11d180b400c04fd430c8", "h": "éﬁ"}
+    row = one([F.struct(packed(F.col(c)).alias("short"), unpacked(packed(F.col(c))).alias("text")).alias(c) for c in texts]
+              + [unpacked(packed(F.lit(None).cast("string"))).alias("none")], **texts)
+    assert {c: row[c].text for c in texts} == texts and row["none"] is None
+    assert len(row["a"].short) == 17 and len({bytes(row[c].short) for c in texts}) == len(texts)
+
+
+def test_an_extraction_writes_and_moves_each_row_once(spark, tmp_path):
+    """Facts, assertions and spans of documents that differ need no shuffle of whole rows; repeated ones are told apart."""
+    from spanledger.plans.ingest import facts_of, repeated_documents, sentence_extract
+    from spanledger.sources.documents import paragraph_chunks
+
+    def rows(docs):
+        d = spark.createDataFrame(docs, "tenant_id string, document_id string, text string")
+        entities, _ = sentence_extract(paragraph_chunks(d))
+        return facts_of(entities, repeated_documents(d)), facts_of(entities)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    single, plain = rows([("t", "a", "One. Two."), ("t", "b", "One. One.")])
+    assert all("Exchange" not in plan(x) for x in single[1:]) and all("Exchange" in plan(x) for x in plain[1:])
+    # the same id with texts that agree in part, a whole repeat and a tenant that is null
+    for docs in ([("t", "a", "One. Two."), ("t", "b", "One. One.")],
+                 [("t", "a", "One. Two."), ("t", "a", "One. Six."), ("t", "b", "One."), ("t", "b", "One."), (None, "c", "X."), (None, "c", "X.")]):
+        for got, whole in zip(*rows(docs), strict=True):
+            assert sorted(map(str, got.collect())) == sorted(map(str, whole.select(*got.columns).collect()))
+
+
+def test_an_upsert_moves_its_changes_alone(spark):
+    from spanledger.sources.store import upsert
+
+    form = "tenant_id string, row_id string, a string, b string"
+    stored = spark.createDataFrame([("t", "1", "x", None), ("t", "2", "x", "y"), ("t", "2", "z", "y"), ("t", None, "n", "n")], form)
+    news = spark.createDataFrame([("t", "1", None, "x"), ("t", "2", "x", "y"), ("t", "3", "w", None), ("t", "3", "w", None), ("t", None, "n", "n")], form)
+    got = upsert(stored, news, ["tenant_id", "row_id"], ["a", "b"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [("t", "1", None, "x"), ("t", "2", "x", "y"), ("t", "2", "x", "y"), ("t", None, "n", "n"), ("t", None, "n", "n"), ("t", "3", "w", None)], key=str)
+    same = upsert(stored.where("row_id = '1'"), stored.where("row_id = '1'"), ["tenant_id", "row_id"], ["a", "b"])
+    text = same._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in same.collect()] == [("t", "1", "x", None)] and text.count("Aggregate") == 0
