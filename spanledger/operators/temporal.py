@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spanledger.functions.intervals import contains
 from spanledger.operators.interval_join import points_in_intervals
 from spanledger.operators.ordered import with_next
+from spanledger.session import cut_lineage
 
 Instant = dt.datetime | str
 
@@ -78,7 +79,8 @@ def as_of_table(facts: DataFrame, asked: DataFrame, keys: Sequence[str] = ("tena
     def at(points: DataFrame, instant_: str, start: str, end: str) -> DataFrame:
         return points_in_intervals(points, facts, keys, micros(instant_), micros(start), micros(end))
 
-    asked = asked.where(keyed)
+    # both are read several times, and may be joins themselves
+    asked, facts = cut_lineage(asked.where(keyed)), cut_lineage(facts)
     by_valid = at(asked.where(valid.isNotNull()), "valid_at", "valid_from", "valid_to").where(believed)
     by_system = at(asked.where(valid.isNull() & system.isNotNull()), "system_at", "created_at", "expired_at")
     neither = asked.where(valid.isNull() & system.isNull()).join(facts.where(F.col("expired_at").isNull()), list(keys))

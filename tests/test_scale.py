@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from spanledger.operators import graph, similar
+import unicodedata
+
+from pyspark.sql import functions as F
+
+from spanledger.functions import text
+from spanledger.operators import graph, interval_join, similar
 from spanledger.session import cut_lineage
 
 
@@ -56,3 +61,22 @@ def test_far_vectors_are_compared_in_tiles_not_in_bands(spark, monkeypatch):
     distinct = sorted(first.values())
     brute = {(a, b) for k, a in enumerate(distinct) for b in distinct[k + 1:] if sum(x * y for x, y in zip(unit[a], unit[b], strict=True)) > 0.3}
     assert brute == {(a, b) for a, b in want if a in distinct and b in distinct}
+
+
+def test_only_foreign_parts_of_a_text_go_to_python(spark, monkeypatch):
+    texts = ["plain", "", None, "① áȩ́x \r\n각 ﬁn\U0001d400é", "é", "x" * 5000 + "½", "́a\n̈́\r"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = dict(rows.select("i", text.normalize_for_provenance(F.col("t"))).collect())
+    assert got == {i: None if t is None else unicodedata.normalize("NFKC", t).replace("\r\n", "\n").replace("\r", "\n").replace(" ", " ") for i, t in enumerate(texts)}
+    assert "_nfkc(t#" not in plan(rows.select(text.normalize_for_provenance(F.col("t")))) and "array<string>" in str(text._nfkc.returnType.simpleString())
+
+
+def test_points_look_into_levels_that_hold_intervals(spark):
+    points = spark.createDataFrame([("k", i) for i in range(0, 4000, 7)], "k string, p long")
+    spans = spark.createDataFrame([("k", s, s + 5) for s in range(0, 4000, 50)], "k string, s long, e long")
+    met = interval_join.points_in_intervals(points, spans, ["k"], F.col("p"), F.col("s"), F.col("e"))
+    assert sorted((r.p, r.s) for r in met.collect()) == sorted((p, s) for p in range(0, 4000, 7) for s in range(0, 4000, 50) if s <= p < s + 5)
+    looked = [line for line in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "inline(" in line]
+    assert looked and all(line.count("__bucket") <= 3 for line in looked)
+    none = interval_join.points_in_intervals(points, spans.limit(0), ["k"], F.col("p"), F.col("s"), F.col("e"))
+    assert none.count() == 0
