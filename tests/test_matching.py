@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanledger.operators import blocking, interval_join, ontology, quality, registry, similar, temporal, walk
+from spanledger.session import cut_lineage
 from spanledger.sources import archive
 
 
@@ -309,3 +310,23 @@ def test_empty_archive(spark, tmp_path):
     archive.write(table.limit(0), ["id"], a)
     archive.write(table, ["id"], b)
     assert archive.root(spark, a) is None and {r.change for r in archive.changes(spark, a, b).collect()} == {"added"}
+
+
+# what moves
+
+
+def plan_of(df, capsys):
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out
+
+
+
+
+def test_smaller_names_send_fewer_keys(spark):
+    name = [("t", 1, [(k, f"g{k:02d}", k + 1) for k in range(12)], 12, 0, 0)]
+    ordered = spark.createDataFrame(name, "tenant_id string, num long, g array<struct<n: int, gram: string, at: int>>, size int, bits0 long, bits1 long")
+    assert [blocking._keyed(ordered, share, 100).count() for share in (2 / 3, 1 / 2)] == [5, 7]
+    bits = spark.createDataFrame([([(1, g) for g in trigrams],) for trigrams in ("abc", "abd", "xyzw")], "g array<struct<n: int, gram: string>>").select(*(blocking._bits("g", h).alias(f"b{h}") for h in range(2))).collect()
+    apart = lambda x, y: sum(bin((x[h] ^ y[h]) & (2**64 - 1)).count("1") for h in range(2))
+    assert 0 < apart(bits[0], bits[1]) <= 2 and 0 < apart(bits[0], bits[2]) <= 7
