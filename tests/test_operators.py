@@ -13,6 +13,7 @@ from spanledger.plans import delete, evaluation, ingest
 from spanledger.scope import scoped, split_foreign_writes
 from spanledger.sources import dimensions as dim
 from spanledger.sources import documents as docs
+from spanledger.sources import driver_tables as dt
 from spanledger.sources import evaluation as ev_src
 from spanledger.sources.store import SnapshotStore, upsert
 
@@ -553,3 +554,18 @@ def test_an_upsert_moves_its_changes_alone(spark):
     same = upsert(stored.where("row_id = '1'"), stored.where("row_id = '1'"), ["tenant_id", "row_id"], ["a", "b"])
     text = same._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in same.collect()] == [("t", "1", "x", None)] and text.count("Aggregate") == 0
+
+
+
+def test_shipments_are_dealt_by_their_rows(spark, tmp_path, monkeypatch, capsys):
+    at = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+    key = F.when(F.col("id") % 7 > 0, F.col("id") % 50)
+    spark.range(400).select(key.alias("l_orderkey"), F.col("id").alias("l_partkey"), F.lit(1.0).alias("l_quantity"), at.alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(40).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), at.alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    whole = rows(dt.shipments(spark, str(tmp_path)), "l_orderkey", "l_partkey", "o_custkey")
+    monkeypatch.setattr(dt, "SHARE", 10)
+    dealt = dt.shipments(spark, str(tmp_path))
+    capsys.readouterr()
+    dealt.explain()
+    assert "hashpartitioning(l_orderkey" in (told := capsys.readouterr().out) and "REPARTITION_BY_NUM" in told
+    assert rows(dealt, "l_orderkey", "l_partkey", "o_custkey") == whole and whole
