@@ -556,6 +556,14 @@ def test_an_upsert_moves_its_changes_alone(spark):
     assert [tuple(r) for r in same.collect()] == [("t", "1", "x", None)] and text.count("Aggregate") == 0
 
 
+def test_capped_views_read_the_links_they_found_once(chain, capsys):
+    e, d = chain
+    view = graph.capped_search(scoped(e, "t"), scoped(d, "t"), "alpha", 3)
+    capsys.readouterr()
+    view.explain()
+    assert "min(struct(hop" not in capsys.readouterr().out
+    assert not any(r.truncated for r in view.collect())
+
 
 def test_shipments_are_dealt_by_their_rows(spark, tmp_path, monkeypatch, capsys):
     at = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
