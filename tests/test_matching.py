@@ -321,6 +321,15 @@ def plan_of(df, capsys):
     return capsys.readouterr().out
 
 
+def test_triples_look_edges_up_once(spark, capsys):
+    nodes = spark.createDataFrame([("t", "c", "Company"), ("t", "k", "Contract")], "tenant_id string, entity_id string, entity_type string")
+    signatures = spark.createDataFrame([("PARTY", ["Company"], ["Contract"])], "edge_type string, allowed_sources array<string>, allowed_targets array<string>")
+    parents = spark.createDataFrame([("Bank", "Company")], "type string, parent string")
+    edges = cut_lineage(spark.createDataFrame([("t", "e", "PARTY", "c", "k")], "tenant_id string, edge_id string, edge_type string, source_entity_id string, target_entity_id string"))
+    told = ontology.judged_triples(edges, nodes, signatures, parents)
+    scans = [x for x in plan_of(told, capsys).splitlines() if "FileScan" in x and "source_entity_id" in x]
+    assert len(scans) == 1 and rows(told, "edge_id", "reason") == [("e", None)]
+
 
 
 def test_smaller_names_send_fewer_keys(spark):
