@@ -331,6 +331,11 @@ def test_triples_look_edges_up_once(spark, capsys):
     assert len(scans) == 1 and rows(told, "edge_id", "reason") == [("e", None)]
 
 
+def test_links_add_each_pair_up_once(spark, capsys):
+    edges = spark.createDataFrame([("t", "a", "b", 2.0), ("t", "b", "a", 3.0), ("t", "a", "a", 1.0), ("t", None, "a", 1.0)], "tenant_id string, source_entity_id string, target_entity_id string, weight double")
+    got = walk.links(edges)
+    assert "Union" not in plan_of(got, capsys) and rows(got, "a", "b", "weight") == [("a", "b", 5.0), ("b", "a", 5.0)]
+
 
 def test_smaller_names_send_fewer_keys(spark):
     name = [("t", 1, [(k, f"g{k:02d}", k + 1) for k in range(12)], 12, 0, 0)]
