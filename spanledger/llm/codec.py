@@ -1,15 +1,17 @@
-"""A compressed file format for token ids: adaptive context mixing before a range coder.
+"""A compressed file format for token ids: adaptive context mixing before an entropy coder.
 
 A stream of ids begins with a table of how often each id occurs in it, its order-0 distribution. The ids follow in
 blocks. A block starts from an empty model and that table, so it is read without any other, and it carries a checksum of
 its ids. Two tables of the block name the next id after the last two ids (order 2) and after the last one (order 1), each with a
 confidence that grows with every hit. The three orders are one distribution: the weights of order 2 and order 1
 are added to the ids they name, all other weight is spread by order 0. The weights are the rates at which either
-was right so far in this block, learnt apart for each pair of confidences. A range coder codes each id in one step of that mixture
-into 32-bit words. All arithmetic is in integers, so blocks read the same on any machine.
+was right so far in this block, learnt apart for each pair of confidences. A coder with a 64-bit state (range variant of asymmetric
+numeral systems) codes each id in one step of that mixture into 32-bit words. An id's slots are those of order 0 and, where
+an order names it, that order's; they need not lie side by side. Probabilities and states are integers; quotients are taken in
+doubles that hold them exactly or are put right, so blocks read the same on any machine.
 
 Many blocks are coded side by side: every step takes one id of each, so the cost of numpy's calls is shared by
-thousands of ids.
+thousands of ids. The writer knows all ids, so it works out all but the tables' and rates' changes for many steps at once.
 """
 
 from __future__ import annotations
@@ -22,16 +24,19 @@ import numpy as np
 BLOCK = 4096  # ids
 LANES = 2048  # blocks coded side by side
 HASH_BITS = 10
+STEPS = 32  # steps whose parts that don't hang on each other are worked out at once
 IDS = 1 << 16
 HEAD = np.dtype([("ids", "<u4"), ("words", "<u4"), ("crc", "<u4")])
 
 _U = np.uint64
-_TOP, _BOT = _U(1 << 32), _U(1 << 29)  # a word leaves when low and high agree above _TOP, or the range is below _BOT
+_FLOOR = _U(1 << 32)  # a coder's state stays at or above it; a word of 32 bits leaves or comes
 _ZERO_BITS = 18  # an order-0 table's shares add up to 1 << _ZERO_BITS
 _ZERO = 1 << _ZERO_BITS
+_SHARE_BITS = _ZERO_BITS + 1  # a row of an order-0 table: the shares below an id << _SHARE_BITS | its share
+_SHARE = (1 << _SHARE_BITS) - 1
 _MIX_BITS = 10  # weights of the three orders add up to 1 << _MIX_BITS
 _LEAST = 1 << 3  # of order 0's weight
-_WHOLE = _U(_MIX_BITS + _ZERO_BITS)
+_WHOLE = _MIX_BITS + _ZERO_BITS
 _STATES = 32  # confidences of both orders, and whether they name the same id
 _MASK = (1 << HASH_BITS) - 1
 # first guesses: 16-bit rates at which order 2 and, beside it, order 1 are right, by confidences (0 is unknown)
@@ -78,160 +83,205 @@ def _table_from(data: bytes) -> tuple[np.ndarray, int]:
 
 
 class Model:
-    """Predictions and weights of many blocks, a row for each; what both orders have stands in two rows, order 1 first."""
+    """Predictions and weights of many blocks, a column for each; what both orders have stands in two rows, order 1 first.
+
+    Arrays may have a leading axis of steps: whatever does not hang on the step before is worked out for many steps at once.
+    """
 
     def __init__(self, lanes: int) -> None:
-        rows = np.arange(lanes)
-        self.base = np.stack([rows << HASH_BITS, (rows + lanes) << HASH_BITS])
+        columns = np.arange(lanes)
+        self.base = np.stack([columns << HASH_BITS, (columns + lanes) << HASH_BITS])
         self.table = np.zeros(2 * lanes << HASH_BITS, np.int32)  # named id | confidence << 16
-        self.right = np.concatenate([np.tile(_RATES[:, k], lanes) for k in (1, 0)])  # by lane and state: order 1 right beside order 2, order 2 right
-        self.apart = np.array([[0], [lanes * _STATES]])
-        self.state = rows * _STATES
-        self.at = self.base.copy()
-        self.last = np.zeros(lanes, np.int64)
-
-    def narrow(self, m: int) -> None:
-        """From here on only the first ``m`` rows have ids."""
-        self.base, self.at = (np.ascontiguousarray(v[:, :m]) for v in (self.base, self.at))
-        self.state, self.last = self.state[:m], self.last[:m]
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The ids that orders 1 and 2 name and their weights."""
-        self.entry = self.table.take(self.at)
-        self.named = self.entry & 0xFFFF
-        self.trust = self.entry >> 16
-        one, two = self.named
-        i = self.trust[1] << 3
-        i += self.trust[0] << 1
-        i += one == two
-        self.i = self.apart + (self.state + i)
-        self.rate = self.right.take(self.i)
-        w = self.rate >> (16 - _MIX_BITS)
-        w2 = np.minimum(w[1], (1 << _MIX_BITS) - 2 * _LEAST)
-        return one, two, np.minimum(w[0], (1 << _MIX_BITS) - _LEAST - w2), w2
-
-    def learn(self, x: np.ndarray) -> None:
-        """Takes the ids that came and moves on."""
-        hit = self.named == x
-        goal = hit * np.int32(65535)
-        goal[0] *= ~hit[1]
-        goal -= self.rate
-        goal >>= 4
-        goal += self.rate
-        self.right[self.i] = goal
-        # a hit adds to the confidence, a miss takes from it; an id without confidence gives way
-        other = np.where(self.trust > 1, self.entry - (1 << 16), x | (1 << 16))
-        np.copyto(other, np.minimum(self.entry + (1 << 16), self.named | (3 << 16)), where=hit)
-        self.table[self.at] = other
-        turn = x.astype(np.int64)
-        last, self.last = self.last, turn
-        turn = turn * 0x9E3779B1
-        self.at[0] = turn >> 15
-        turn ^= last * 0x85EBCA6B
-        turn *= 0x27D4EB2F
-        self.at[1] = turn >> 17
-        self.at &= _MASK
-        self.at += self.base
+        self.right = np.concatenate([np.tile(_RATES[:, k], lanes) for k in (0, 1)])  # by lane and state: order 1 right beside order 2, order 2 right
+        self.state = np.stack([columns * _STATES, (columns + lanes) * _STATES])
+
+    def places(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Where the tables hold what came after the last id, and after the last two."""
+        m = last.shape[-1]
+        at = np.empty((*last.shape[:-1], 2, m), np.int64)
+        one, two = at[..., 0, :], at[..., 1, :]
+        np.multiply(last, 0x9E3779B1, out=one)
+        np.multiply(before, 0x85EBCA6B, out=two)
+        two ^= one
+        two *= 0x27D4EB2F
+        at >>= 16
+        at &= _MASK
+        at += self.base[:, :m]
+        return at
+
+    def states(self, entry: np.ndarray, named: np.ndarray) -> np.ndarray:
+        """Where the rates stand for these confidences."""
+        trust = entry >> 16
+        i = trust[..., 1, :] << 2
+        i += trust[..., 0, :]
+        i <<= 1
+        i += named[..., 0, :] == named[..., 1, :]
+        return self.state[:, : entry.shape[-1]] + i[..., None, :]
+
+
+def _weights(rate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of both orders, and what they leave to order 0."""
+    w = rate >> (16 - _MIX_BITS)
+    np.minimum(w[..., 1, :], (1 << _MIX_BITS) - 2 * _LEAST, out=w[..., 1, :])
+    room = (1 << _MIX_BITS) - w[..., 1, :]
+    np.minimum(w[..., 0, :], room - _LEAST, out=w[..., 0, :])
+    room -= w[..., 0, :]
+    return w, room
+
+
+def _renewed(entry: np.ndarray, hit: np.ndarray, once: np.ndarray, thrice: np.ndarray) -> np.ndarray:
+    """Entries after an id came: a hit adds to the confidence, a miss takes from it; an id without confidence gives way.
+    ``once`` and ``thrice`` are the id with confidences 1 and 3."""
+    return np.where(hit, np.minimum(entry + (1 << 16), thrice), np.where(entry >= 2 << 16, entry - (1 << 16), once))
+
+
+def _learnt(rate: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """The rates after hits and misses; order 1 counts where order 2 was wrong."""
+    gain = hit * np.int32(4095)
+    gain[..., 0, :] *= ~hit[..., 1, :]
+    gain += rate
+    gain -= rate >> 4
+    return gain
 
 
 def _lengths(n: np.ndarray, t: int) -> int:
     return int(np.searchsorted(-n, -t, "left"))  # rows (longest first) that still have an id at t
 
 
-def _renew(low: np.ndarray, rng: np.ndarray, m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows whose range got small, with the word that leaves each; their state moves on by a word."""
-    rows, l, g = None, low[:m], rng[:m]
-    while True:
-        apart = (l ^ (l + g)) >= _TOP
-        go = np.flatnonzero(~apart | (g < _BOT))
-        if not len(go):
-            return
-        rows = go if rows is None else rows[go]
-        l, g, apart = l.take(go), g.take(go), apart.take(go)
-        if apart.any():  # small without a common word: cut the range at the next border
-            g = np.where(apart, (_U(0) - l) & (_BOT - _U(1)), g)
-        yield rows, l >> _U(32)
-        l <<= _U(32)
-        g <<= _U(32)
-        low[rows], rng[rows] = l, g
-
-
-def _encode(ids: np.ndarray, n: np.ndarray, below: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words and their counts for columns of ids, longest column first, with each id's order-0 share and the shares below it."""
-    lanes = m = len(n)
-    model = Model(lanes)
-    low, rng = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
-    out, pos = np.zeros((lanes, int(n[0]) * 5 // 4 + 8), np.uint32), np.zeros(lanes, np.int64)
-    for t in range(int(n[0])):
-        if n[m - 1] <= t:
-            m = _lengths(n, t)
-            model.narrow(m)
-        x = ids[t, :m]
-        one, two, w1, w2 = model.predict()
-        w0 = (1 << _MIX_BITS) - w1 - w2
-        under = w0 * below[t, :m] + (w1 * (one < x) + w2 * (two < x) << _ZERO_BITS)
-        mine = w0 * share[t, :m] + (w1 * (one == x) + w2 * (two == x) << _ZERO_BITS)
-        r = rng[:m] >> _WHOLE
-        low[:m] += r * under.astype(_U)
-        rng[:m] = r * mine.astype(_U)
-        model.learn(x)
-        for rows, word in _renew(low, rng, m):
-            out[rows, pos[rows]] = word
-            pos[rows] += 1
-    for k in (32, 0):
-        out[np.arange(lanes), pos] = (low >> _U(k)) & _U(0xFFFFFFFF)
-        pos += 1
-    return out, pos
-
-
-def _decode(words: np.ndarray, at: np.ndarray, end: np.ndarray, n: np.ndarray, below: np.ndarray, share: np.ndarray, slots: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Rows of ids from words[at:end] of each row, longest row first. ``table`` says which of the tables one after the other in
-    ``below`` and ``share`` (by id) and ``slots`` (ids by share) is a row's."""
-    lanes = m = len(n)
-    model = Model(lanes)
-    words = np.concatenate([words, np.zeros(1, np.uint32)])
-    limit = len(words) - 1
-    low, rng, code = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U), np.zeros(lanes, _U)
-    pos = at.copy()
-    for _ in range(2):
-        code = code << _U(32) | words[np.where(pos < end, pos, limit)].astype(_U)
+def _predictions(ids: np.ndarray, n: np.ndarray, order0: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For each id, a row for each step, what the coder needs: its row of the order-0 table, the weights of order 1 and order 2,
+    and whether they named it."""
+    lanes, steps = ids.shape
+    model, by_id = Model(lanes), table * IDS
+    out = np.zeros((steps, lanes), np.int64)
+    last = np.zeros((2, lanes), np.int64)  # the id before the last one, and the last
+    for t in range(0, steps, STEPS):
+        m = _lengths(n, t)  # a row that ends among these steps goes on with zeros that nobody reads
+        x = ids[:m, t : t + STEPS].T.astype(np.int32, order="C")
+        k = len(x)
+        past = np.concatenate([last[:, :m], x])
+        last = past[-2:]
+        at = model.places(past[1:-1], past[:-2])
+        once, thrice = x | 1 << 16, x | 3 << 16
+        entry, hit = np.empty((k, 2, m), np.int32), np.empty((k, 2, m), bool)
+        for j in range(k):
+            e, h = entry[j], hit[j]
+            model.table.take(at[j], out=e, mode="clip")
+            np.equal(e & 0xFFFF, x[j], out=h)
+            model.table[at[j].ravel()] = _renewed(e, h, once[j], thrice[j]).ravel()
+        where, rate = model.states(entry, entry & 0xFFFF), np.empty((k, 2, m), np.int32)
+        for j in range(k):
+            model.right.take(where[j], out=rate[j], mode="clip")
+            model.right[where[j].ravel()] = _learnt(rate[j], hit[j]).ravel()
+        w, _ = _weights(rate)
+        w <<= 1
+        w |= hit
+        held = order0.take(by_id[:m] + x)
+        held <<= 2 * (_MIX_BITS + 1)
+        held |= w[:, 0] << (_MIX_BITS + 1) | w[:, 1]
+        out[t : t + k, :m] = held
+    return out
+
+
+def _encode(ids: np.ndarray, n: np.ndarray, order0: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and where each row's begin and end, for rows of ids, longest row first. ``table`` says which of the tables one after
+    the other in ``order0`` is a row's. The coder runs from the last id to the first, so that the words are read forwards."""
+    lanes, steps = ids.shape
+    told = _predictions(ids, n, order0, table)
+    out, pos = np.zeros(lanes * (steps + 2), np.uint32), np.arange(1, lanes + 1) * (steps + 2)
+    end, state = pos.copy(), np.full(lanes, _FLOOR, _U)
+    for t in range((steps - 1) // STEPS * STEPS, -1, -STEPS):
+        part = told[t : t + STEPS]
+        w2, w1 = part & (2 << _MIX_BITS) - 1, part >> (_MIX_BITS + 1) & (2 << _MIX_BITS) - 1
+        held = part >> 2 * (_MIX_BITS + 1)
+        mass2, mass1 = w2 >> 1 << _ZERO_BITS, w1 >> 1 << _ZERO_BITS
+        w0 = (1 << _MIX_BITS) - (w1 >> 1) - (w2 >> 1)
+        zero = w0 * (held & _SHARE)
+        both = zero + mass1 * (w1 & 1)
+        whole = both + mass2 * (w2 & 1)
+        # an id's slots: those of order 0, then those by order 1, then those by order 2
+        to_zero, to_one, to_two = mass2 + mass1 + w0 * (held >> _SHARE_BITS), mass2 - zero, -both
+        f, inverse = whole.view(_U), (1 - 2.0**-50) / np.maximum(whole, 1)
+        for j in range(len(part) - 1, -1, -1):
+            m = lanes if n[-1] > t + j else _lengths(n, t + j)
+            s, size = state[:m], f[j, :m]
+            go = np.flatnonzero(s >> _U(64 - _WHOLE) >= size)
+            if len(go):
+                word, here = s.take(go), pos.take(go)
+                here -= 1
+                out[here], pos[go], s[go] = word.astype(np.uint32), here, word >> _U(32)
+            q = (s * inverse[j, :m]).astype(_U)  # the quotient, or one less
+            rest = (s - q * size).view(np.int64)
+            over = rest >= whole[j, :m]
+            q += over
+            rest -= whole[j, :m] * over
+            move = np.where(rest < zero[j, :m], to_zero[j, :m], np.where(rest < both[j, :m], to_one[j, :m], to_two[j, :m]))
+            move += rest
+            q <<= _U(_WHOLE)
+            np.add(q, move.view(_U), out=s)
+    for k in (0, 32):
+        pos -= 1
+        out[pos] = (state >> _U(k)).astype(np.uint32)
+    return out, np.stack([pos, end])
+
+
+def _decode(words: np.ndarray, at: np.ndarray, n: np.ndarray, order0: np.ndarray, slots: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Rows of ids from the words that begin at ``at``, longest row first. ``table`` says which of the tables one after the other in
+    ``order0`` (by id) and ``slots`` (ids by share) is a row's."""
+    lanes, steps = len(n), int(n[0])
+    model, m = Model(lanes), lanes
+    words, state, pos = words.astype(_U), np.zeros(lanes, _U), at.copy()
+    for _ in range(2):  # a damaged row may read beyond its words; its checksum tells
+        state = state << _U(32) | words.take(pos, mode="clip")
         pos += 1
-    out = np.zeros((int(n[0]), lanes), np.uint16)
+    out = np.zeros((lanes, steps + 33), np.uint16)[:, :-33]  # rows don't begin in the same lines of the cache
     by_id, by_slot = table * IDS, table << _ZERO_BITS
-    for t in range(int(n[0])):
+    last = before = np.zeros(lanes, np.int64)
+    ready = np.zeros((STEPS, lanes), np.uint16)
+    for t in range(steps):
         if n[m - 1] <= t:
             m = _lengths(n, t)
-            model.narrow(m)
-        one, two, w1, w2 = model.predict()
-        w0 = (1 << _MIX_BITS) - w1 - w2
-        r = rng[:m] >> _WHOLE
-        u = np.minimum((code[:m] - low[:m]) // r, _U((1 << int(_WHOLE)) - 1)).astype(np.int32)
-        # the two named ids in order; where they are one id, both weights are the second's
-        same, turned = one == two, one > two
-        a, b = np.where(turned, two, one), np.where(turned, one, two)
-        wb = np.where(turned, w1, w2)
-        wa, wb = (w1 + w2 - wb) * ~same, wb + w1 * same
-        wa, wb = wa << _ZERO_BITS, wb << _ZERO_BITS
-        ia, ib = by_id[:m] + a, by_id[:m] + b
-        begin_a, begin_b = w0 * below.take(ia), w0 * below.take(ib) + wa
-        end_a, end_b = begin_a + w0 * share.take(ia) + wa, begin_b + w0 * share.take(ib) + wb
-        past_a, past_b = u >= end_a, u >= end_b
-        spot = np.minimum((u - wa * past_a - wb * past_b) // w0, _ZERO - 1)
-        x = slots.take(by_slot[:m] + spot)
-        x = np.where((u >= begin_a) & ~past_a, a, x)
-        x = np.where((u >= begin_b) & ~past_b, b, x)
-        ix = by_id[:m] + x
-        under = w0 * below.take(ix) + wa * (a < x) + wb * (b < x)
-        mine = w0 * share.take(ix) + wa * (a == x) + wb * (b == x)
-        low[:m] += r * under.astype(_U)
-        rng[:m] = r * mine.astype(_U)
-        out[t, :m] = x
-        model.learn(x)
-        for rows, _ in _renew(low, rng, m):
-            here = pos[rows]
-            code[rows] = code[rows] << _U(32) | words[np.where(here < end[rows], here, limit)].astype(_U)
-            pos[rows] = here + 1
-    return out.T
+            state, last, before, by_id, by_slot = (v[:m] for v in (state, last, before, by_id, by_slot))
+        place = model.places(last, before)
+        entry = model.table.take(place)
+        named = entry & 0xFFFF
+        where = model.states(entry, named)
+        rate = model.right.take(where)
+        w, w0 = _weights(rate)
+        w <<= _ZERO_BITS
+        u = (state & _U((1 << _WHOLE) - 1)).astype(np.int32)
+        v = u - w[1]
+        z = v - w[0]
+        first, second = z < 0, v < 0
+        x = slots.take(by_slot + (z / w0).astype(np.int64), mode="clip")
+        x = np.where(second, named[1], np.where(first, named[0], x))
+        hit = named == x
+        held = order0.take(by_id + x)
+        zero = w0 * (held & _SHARE)
+        held >>= _SHARE_BITS
+        held *= w0
+        w *= hit
+        both = zero + w[0]
+        rest = np.where(second, both + u, np.where(first, zero + v, z - held))
+        both += w[1]
+        state >>= _U(_WHOLE)
+        state *= both.view(_U)
+        state += rest.view(_U)
+        go = np.flatnonzero(state < _FLOOR)
+        if len(go):
+            here = pos.take(go)
+            state[go] = state.take(go) << _U(32) | words.take(here, mode="clip")
+            here += 1
+            pos[go] = here
+        model.right[where.ravel()] = _learnt(rate, hit).ravel()
+        once = x | 1 << 16
+        model.table[place.ravel()] = _renewed(entry, hit, once, once | 2 << 16).ravel()
+        before, last = last, x.astype(np.int64)
+        j = t % STEPS
+        ready[j, :m] = x
+        if j == STEPS - 1 or t == steps - 1:
+            out[:, t - j : t + 1] = ready[: j + 1].T
+    return out
 
 
 def _groups(n: np.ndarray) -> Iterator[np.ndarray]:
@@ -240,24 +290,28 @@ def _groups(n: np.ndarray) -> Iterator[np.ndarray]:
         yield order[at : at + LANES]
 
 
+def _rows(tables: list[np.ndarray]) -> np.ndarray:
+    """Tables one after the other, by id: the shares below it and its own."""
+    return np.concatenate([(np.cumsum(t) - t) << _SHARE_BITS | t for t in tables]) if tables else np.zeros(0, np.int64)
+
+
 def pack_ids(streams: list[np.ndarray], block: int = BLOCK) -> list[bytes]:
     """Each stream of ids as its table and its blocks one after the other: header, then words. Ids must be below 65,536."""
     if any(len(s) and int(s.max()) >= IDS for s in streams):
         raise ValueError("ids of 65,536 and more don't fit this format")
     tables = [shares(np.bincount(s, minlength=IDS)) if len(s) else np.zeros(IDS, np.int64) for s in streams]
-    below = [np.cumsum(t) - t for t in tables]
     blocks = [(i, s[at : at + block]) for i, s in enumerate(streams) for at in range(0, len(s), block)]
     n = np.array([len(b) for _, b in blocks], np.int64)
+    order0 = _rows(tables)
     coded: list[bytes] = [b""] * len(blocks)
     for group in _groups(n):
-        ids, under, mine = (np.zeros((int(n[group[0]]), len(group)), np.int32) for _ in range(3))
-        for row, k in enumerate(group.tolist()):
-            i, held = blocks[k]
-            ids[: n[k], row], under[: n[k], row], mine[: n[k], row] = held, below[i][held], tables[i][held]
-        words, used = _encode(ids, n[group], under, mine)
+        ids = np.zeros((len(group), int(n[group[0]]) + 33), np.uint16)[:, :-33]  # rows don't begin in the same lines of the cache
         for row, k in enumerate(group.tolist()):
-            head = np.array([(n[k], used[row], zlib.crc32(blocks[k][1].astype("<u4").data))], HEAD)
-            coded[k] = head.tobytes() + words[row, : used[row]].astype("<u4").tobytes()
+            ids[row, : n[k]] = blocks[k][1]
+        words, (begin, end) = _encode(ids, n[group], order0, np.array([blocks[k][0] for k in group.tolist()], np.int64))
+        for k, a, b in zip(group.tolist(), begin.tolist(), end.tolist(), strict=True):
+            head = np.array([(n[k], b - a, zlib.crc32(blocks[k][1].astype("<u4").data))], HEAD)
+            coded[k] = head.tobytes() + words[a:b].astype("<u4").tobytes()
     out: list[list[bytes]] = [[_table_bytes(t)] if len(s) else [] for s, t in zip(streams, tables, strict=True)]
     for (i, _), c in zip(blocks, coded, strict=True):
         out[i].append(c)
@@ -290,16 +344,14 @@ def unpack_ids(payloads: list[bytes]) -> list[np.ndarray]:
     if not heads:
         return [np.zeros(0, np.uint32) for _ in payloads]
     words = np.concatenate(parts)
-    share = np.concatenate(tables).astype(np.int32)
-    below = np.concatenate([np.cumsum(t) - t for t in tables]).astype(np.int32)
+    order0 = _rows(tables)
     slots = np.concatenate([np.repeat(np.arange(IDS, dtype=np.uint16), t) for t in tables])
     n = np.array([h["ids"] for h in heads], np.int64)
     begin = np.array(where, np.int64)
-    end = begin + np.array([h["words"] for h in heads], np.int64)
     of = np.array([t for _, t in owner], np.int64)
     blocks: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(heads)
     for group in _groups(n):
-        ids = _decode(words, begin[group], end[group], n[group], below, share, slots, of[group])
+        ids = _decode(words, begin[group], n[group], order0, slots, of[group])
         for row, k in enumerate(group.tolist()):
             blocks[k] = ids[row, : n[k]].astype("<u4")
             if zlib.crc32(blocks[k].data) != heads[k]["crc"]:

@@ -22,7 +22,7 @@ from spanledger.llm.codec import pack_ids, unpack_ids
 
 END = 1
 SEGMENT = 1 << 20  # ids after which a segment ends with its document
-AT_ONCE = 1 << 22  # ids coded side by side
+AT_ONCE = 1 << 23  # ids coded side by side
 
 _SCHEMA = "shard long, segment long, doc_ids array<long>, lengths array<long>, n_ids long, payload binary"
 

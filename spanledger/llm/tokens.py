@@ -2,7 +2,7 @@
 
 A text is cut where its tokenizer cuts anyway: before white space that follows other characters,
 and between a Latin letter and a following mark of punctuation. The library encodes each distinct
-piece of a batch that the worker does not know yet; texts are put together from the known ids.
+piece of a batch that the worker does not know yet, many as one text; texts are put together from the known ids.
 Texts with unusual white space, zero bytes or the string ``<|`` are encoded whole.
 """
 
@@ -23,11 +23,14 @@ SLOTS = 1 << 22
 AT_ONCE = 10_000  # pieces that the library encodes in one call
 LONG_PIECE = 2000
 
-_GAP, _LETTER, _MARK, _ODD = (np.zeros(256, bool) for _ in range(4))
-_GAP[[9, 10, 13, 32]] = True
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
-_MARK[[33, 44, 46, 58, 59, 63]] = True  # ! , . : ; ?
-_ODD[[0, 11, 12, 28, 29, 30, 31]] = True
+_GAP, _LETTER, _MARK, _ODD = 1, 2, 4, 8
+_kinds = np.zeros(256, np.uint8)
+_kinds[[9, 10, 13, 32]] |= _GAP
+_kinds[[*range(65, 91), *range(97, 123)]] |= _LETTER
+_kinds[[33, 44, 46, 58, 59, 63]] |= _MARK  # ! , . : ; ?
+_kinds[[0, 11, 12, 28, 29, 30, 31]] |= _ODD
+_KINDS, _LOWER = _kinds.tobytes(), W._LOWER.tobytes()
+_LATIN = 0xC3  # the largest byte of letters up to U+00FF, which keep their number of bytes when lower-cased and composed
 
 
 def vocabulary(name: str) -> str:
@@ -80,30 +83,51 @@ class Encoder:
             open_, slot = open_[on], (slot[on] + np.uint64(1)) & np.uint64(SLOTS - 1)
         return out
 
-    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces in turn, and how many each has. One call takes all pieces as words of one
-        text; as a byte-level id stands for so many bytes, the bytes tell where each piece ends."""
-        if all(map(str.isascii, pieces)) or not self.folds:
-            flat = np.array(self.tokenizer.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint16)
-            need = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
-            have = np.cumsum(self.width[flat])
-            last = np.searchsorted(have, need)
-            if len(have) and have[-1] == need[-1] and (have[last] == need).all():
-                return flat, np.diff(last, prepend=-1)
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter(chain.from_iterable(got), np.uint16, int(sizes.sum())), sizes
-
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        order = np.argsort([not p.isascii() for p in pieces], kind="stable")
-        cut = sum(map(str.isascii, pieces))
-        keys, pieces = keys[order], [pieces[i] for i in order]
-        halves = [self._ids(p) for p in (pieces[:cut], pieces[cut:]) if p]
-        flat, sizes = (np.concatenate(x) for x in zip(*halves, strict=True))
+    def _flat(self, given: str | list[str], need: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of pieces in turn, and how many each has, by one call that takes all as words of one text; as a byte-level id
+        stands for so many bytes, ``need``, the bytes up to the end of each piece, tells where it ends. None if that doesn't fit."""
+        got = self.tokenizer.encode_batch_fast([given], is_pretokenized=isinstance(given, list), add_special_tokens=False)[0]
+        flat = np.array(got.ids, np.uint16)
+        have = np.cumsum(self.width[flat])
+        last = np.searchsorted(have, need)
+        if len(have) and have[-1] == need[-1] and (have[last] == need).all():
+            return flat, np.diff(last, prepend=-1)
+        return None
+
+    def _ids(self, form: np.ndarray, starts: np.ndarray, ends: np.ndarray, narrow: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in turn, and how many each has. ``narrow`` says that the tokenizer keeps the pieces' numbers of bytes."""
+        need, got = np.cumsum(ends - starts), None
+        if narrow and self.folds:  # blanks part words and leave no id
+            text = _gather(form, starts, ends - starts + 1).copy()
+            text[need + np.arange(len(need))] = 32
+            got = self._flat(text.tobytes().decode("utf-8"), need)
+        if got is None:
+            data = form.tobytes()
+            pieces = [data[a:b].decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            got = self._flat(pieces, need) if narrow else None
+        if got is None:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            got = np.fromiter(chain.from_iterable(each), np.uint16, int(sizes.sum())), sizes
+        return got
+
+    def _learn(self, keys: np.ndarray, form: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Takes up new pieces of ``form``, which has a byte after its last piece."""
+        wide = np.zeros(len(keys), bool)
+        if self.folds and form.max() > _LATIN:  # letters beyond U+00FF may change their number of bytes when lower-cased or composed
+            seen = np.cumsum(form > _LATIN)
+            wide = seen[ends - 1] > seen[starts] - (form[starts] > _LATIN)
+        flat, sizes, order = [], [], []
+        for chosen in (np.flatnonzero(~wide), np.flatnonzero(wide)):
+            for at in range(0, len(chosen), AT_ONCE):
+                order.append(chosen[at : at + AT_ONCE])
+                for made, part in zip((flat, sizes), self._ids(form, starts[order[-1]], ends[order[-1]], not wide[order[-1][0]]), strict=True):
+                    made.append(part)
+        keys = keys[np.concatenate(order)]
         row = (self.known + np.arange(len(keys))).astype(np.int32)
         self.known += len(keys)
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, flat])
+        self.at = _longer(self.at, self.at[-1] + np.cumsum(np.concatenate(sizes)))
+        self.ids = _longer(self.ids, np.concatenate(flat))
         slot = keys & np.uint64(SLOTS - 1)
         while len(keys):
             free = self.keys[slot] == 0
@@ -117,11 +141,13 @@ class Encoder:
         n = len(offs) - 1
         if self.known > KNOWN_PIECES or len(self.ids) > KNOWN_IDS:
             self.clear()
-        form = W._LOWER[buf] if self.folds else buf
-        starts, ends = _cuts(form, offs, self.folds)
-        row = np.searchsorted(offs, starts, "right") - 1  # of rows that share an offset, the last has the bytes
+        data = buf.tobytes()
+        form = np.frombuffer(data.translate(_LOWER), np.uint8) if self.folds else buf
+        kinds = np.frombuffer(data.translate(_KINDS), np.uint8)
+        starts, ends = _cuts(kinds, offs, self.folds)
+        row = np.repeat(np.arange(n), np.diff(np.searchsorted(starts, offs)))
         strange = np.zeros(n, bool)
-        strange[np.searchsorted(offs, _odd(buf), "right") - 1] = True
+        strange[np.searchsorted(offs, _odd(buf, kinds), "right") - 1] = True
         strange[row[ends - starts > LONG_PIECE]] = True
         plain = ~strange[row]
         starts, ends, row = starts[plain], ends[plain], row[plain]
@@ -130,15 +156,13 @@ class Encoder:
         new = np.flatnonzero(piece < 0)
         if len(new):
             keys, first = np.unique(hashes[new], return_index=True)
-            for at in range(0, len(keys), AT_ONCE):
-                where = new[first[at : at + AT_ONCE]]
-                self._learn(keys[at : at + AT_ONCE], [form[a:b].tobytes().decode("utf-8") for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+            self._learn(keys, np.append(form, np.uint8(32)), starts[new[first]], ends[new[first]])
             piece[new] = self._find(hashes[new])
         size = self.at[piece + 1] - self.at[piece]
         ids = _gather(self.ids, self.at[piece], size)
         counts = np.bincount(row, weights=size, minlength=n).astype(np.int64)
         if strange.any():
-            data, parts, at = buf.tobytes(), [], 0
+            parts, at = [], 0
             for i in range(n):
                 if strange[i]:
                     parts.append(self.whole(data[offs[i] : offs[i + 1]].decode("utf-8")))
@@ -150,24 +174,27 @@ class Encoder:
         return ids, np.concatenate([[0], np.cumsum(counts)])
 
 
-def _cuts(buf: np.ndarray, offs: np.ndarray, folds: bool) -> tuple[np.ndarray, np.ndarray]:
+def _cuts(kinds: np.ndarray, offs: np.ndarray, folds: bool) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of pieces: they cover every byte of every row, or all but white space."""
-    if not len(buf):
+    if not len(kinds):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    gap = _GAP[buf]
-    cut = np.zeros(len(buf) + 1, bool)
-    cut[1:-1] = (gap[1:] != gap[:-1] if folds else gap[1:] & ~gap[:-1]) | (_MARK[buf[1:]] & _LETTER[buf[:-1]])
+    here, before = kinds[1:], kinds[:-1]
+    cut = np.zeros(len(kinds) + 1, bool)
+    cut[1:-1] = ((here ^ before if folds else here & ~before) & _GAP) | (here >> 1 & before & _LETTER)  # a mark lies a bit above a letter
     cut[offs] = True
     at = np.flatnonzero(cut)
     starts, ends = at[:-1], at[1:]
-    return (starts[~gap[starts]], ends[~gap[starts]]) if folds else (starts, ends)
+    if folds:
+        keep = kinds[starts] & _GAP == 0
+        starts, ends = starts[keep], ends[keep]
+    return starts, ends
 
 
-def _odd(buf: np.ndarray) -> np.ndarray:
+def _odd(buf: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """Places of zero bytes, of white space other than blank, tab and line ends, and of ``<|``."""
     if not len(buf):
         return np.zeros(0, np.int64)
-    found = [np.flatnonzero(_ODD[buf])]
+    found = [np.flatnonzero(kinds & _ODD)]
     one, two = np.zeros(len(buf), np.uint8), np.zeros(len(buf), np.uint8)
     one[:-1], two[:-2] = buf[1:], buf[2:]
     for lead, first, least, most in (
@@ -179,6 +206,16 @@ def _odd(buf: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
+def _longer(values: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """``values`` and ``more`` in one array, a view of one with room to grow."""
+    size, room = len(values) + len(more), values.base
+    if room is None or room.ndim != 1 or room.dtype != values.dtype or len(room) < size:
+        room = np.empty(size * 5 // 4 + 1, values.dtype)
+        room[: len(values)] = values
+    room[len(values) : size] = more
+    return room[:size]
+
+
 def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     total = int(sizes.sum())
     if not total:

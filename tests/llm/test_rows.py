@@ -168,6 +168,35 @@ def test_codec_mixes_all_three_orders():
     assert bits(np.array(two)) < 2
 
 
+@pytest.mark.parametrize("lanes, steps", [(3, 5), (64, 32), (2, 1)])
+def test_codec_reads_blocks_of_any_lengths_side_by_side(monkeypatch, lanes, steps):
+    """Blocks that end among the steps worked out at once, both orders naming one id, streams of one id only."""
+    monkeypatch.setattr(codec, "LANES", lanes)
+    monkeypatch.setattr(codec, "STEPS", steps)
+    rng = np.random.default_rng(4)
+    streams = [rng.integers(0, most, n).astype(np.uint32) for n, most in zip(rng.integers(0, 200, 30).tolist(), [1, 2, 3, 9, 65536] * 6, strict=True)]
+    streams += [np.full(n, 65535, np.uint32) for n in (1, 4, 5, 6, 97)] + [np.tile(np.array([7, 7, 3], np.uint32), 60)]
+    for block in (33, 64):
+        assert all(np.array_equal(a, b) for a, b in zip(codec.unpack_ids(codec.pack_ids(streams, block)), streams, strict=True))
+
+
+def test_letters_up_to_ff_need_one_call_of_the_library(monkeypatch):
+    """Pieces whose bytes tell where each ends go to the library as one text, other pieces one by one."""
+    enc, given = tokens.Encoder(tokens.vocabulary("word_bpe_49k.json")), []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **more):
+            given.append(len(texts))
+            return whole.encode_batch_fast(texts, **more)
+
+    whole, enc.tokenizer = enc.tokenizer, Spy()
+    for text, calls in (("Größe où ÉTÉ niño*** ß×÷ µ¼ a-b", [1]), ("größe Straße Ł œuvre İ", [1, 3])):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        assert enc.encode(buf, np.array([0, len(buf)]))[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert given == calls
+        given.clear()
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(name):
     enc = tokens.Encoder(tokens.vocabulary(name))
