@@ -80,3 +80,43 @@ def test_points_look_into_levels_that_hold_intervals(spark):
     assert looked and all(line.count("__bucket") <= 3 for line in looked)
     none = interval_join.points_in_intervals(points, spans.limit(0), ["k"], F.col("p"), F.col("s"), F.col("e"))
     assert none.count() == 0
+
+
+def test_settled_texts_are_in_nfkc_and_stay_out_of_python(spark):
+    marks = [chr(c) for c in range(0x80, 0x3000)] + ["가", "각", "\U0001d400", "ﬁ"]
+    rows = spark.createDataFrame([(i, f"a{m}b {m}") for i, m in enumerate(marks)], "i int, t string")
+    settled = [r.t for r in rows.where(~F.col("t").rlike(text.UNSETTLED)).collect()]
+    assert all(unicodedata.normalize("NFKC", t) == t for t in settled) and {"aéb é", "aßb ß", "aжb ж", "a–b –"} <= set(settled)
+    got = dict(rows.select("i", text.normalize_for_provenance(F.col("t"))).collect())
+    assert got == {i: unicodedata.normalize("NFKC", f"a{m}b {m}").replace(" ", " ") for i, m in enumerate(marks)}
+
+
+def test_sentences_are_the_same_without_a_fold(spark):
+    texts = ["One. Two!  Three?", "", None, "   ", "...", " . a. .b", "é. ü! " * 700, "x" * 3000, "a.b.c" * 90, "  lead. trail  "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(3)
+    want = rows.select("i", F.inline(text.sentence_spans(F.col("text"))))
+    got = text.sentence_rows(rows, "i")
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and "aggregate" not in plan(got)
+
+
+def test_ids_of_written_assertions_are_not_worked_out_again(spark, tmp_path):
+    from spanledger.sources import driver_tables as dt
+
+    told = [(1, "Hi there. You.", "en", "src0"), (1, "Hi there. You.", "en", "src0"), (2, None, "de", "src1"), (3, "Hi there.\nGut.", None, "src0")]
+    spark.createDataFrame(told, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    lazy, held = (dt.provenance(spark, str(tmp_path), stored=True, **more) for more in ({}, {"proven": True}))
+    assert "sha1" in plan(lazy["assertions"]) and "sha1" not in plan(held["assertions"])
+    assert sorted(map(str, lazy["assertions"].collect())) == sorted(map(str, held["assertions"].collect()))
+
+
+def test_what_an_ingest_upserts_is_written_once(spark, tmp_path, monkeypatch):
+    from spanledger.catalog import jobs
+
+    told = [(1, "Hi there. You.", "en", "src0"), (3, "Hi there.\nGut.", "de", "src1")]
+    spark.createDataFrame(told, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    plans, upsert = [], jobs.upsert
+    monkeypatch.setattr(jobs, "upsert", lambda stored, incoming, *more: plans.append(plan(incoming)) or upsert(stored, incoming, *more))
+    sizes = {(r.table_name, r.tenant_id): (r.n_rows, r.n_ids) for r in jobs.job_ingest(spark, str(tmp_path)).collect()}
+    assert len(plans) == 6 and not any("sha1" in p or "Exchange" in p for p in plans)
+    assert sizes["facts", "src0"] == (2, 2) and sizes["assertions", "src1"] == (2, 2)
